@@ -36,7 +36,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rules, train(labelled)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.decontam import find_contaminated
 
@@ -74,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=("text_sha256",))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_token_counts, op6_url_filter, op8_decontamination, op9_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_token_counts, op6_url_filter, op7_near_dedup, op8_decontamination, op9_language_id, op10_exact_dedup)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _SPACES = r"'[\x20\x09-\x0D]+'"
@@ -98,6 +104,18 @@ r AS (SELECT b.doc_id, b.size, t.source_size, t.target,
              row_number() OVER (PARTITION BY b.source ORDER BY b.bin, substr(b.h, 1, 2), b.size, b.h) AS k
       FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(u + rate * k) - floor(u + rate * (k - 1))) * size AS BIGINT) AS taken FROM r
+""",
+    "op7_near_dedup": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i+3], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id, least(n.doc_id, coalesce(m.b, n.doc_id)) = n.doc_id AS kept
+FROM n LEFT JOIN m ON m.a = n.doc_id
 """,
     "op8_decontamination": rf"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS ws FROM documents),

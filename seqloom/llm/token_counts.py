@@ -61,15 +61,15 @@ def _byte_level(path: str) -> bool:
     return kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
-    """Adds n_bytes (UTF-8), n_tokens and over_limit to every row; input columns with these names are replaced.
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
+    """The input's columns (or the ones named) plus n_bytes (UTF-8), n_tokens and over_limit; input columns with these names are replaced.
 
     Texts go through Arrow batches. They are encoded in calls of about `batch_bytes`, a longer text cut at boundaries
     where the tokenizer breaks anyway (byte-level .json files only; other models take it whole), and only lengths come
     back. A null text counts as empty: 0 bytes, 0 tokens. Special strings inside texts are read as the library does by default.
     """
     path = tokenizer or tokenizer_path()
-    kept = [c for c in docs.columns if c not in {"n_bytes", "n_tokens", "over_limit", "__text"}]
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in {"n_bytes", "n_tokens", "over_limit", "__text"}]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length_of, cut = _counter(path), _byte_level(path)
