@@ -39,6 +39,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.substring_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), k=13, columns=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.url_filter import Rule, host_of, judge, match_rule, path_of, train
 
@@ -80,7 +87,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=("text_sha256",))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_token_counts, op6_url_filter, op7_near_dedup, op8_decontamination, op9_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_token_counts, op5_substring_dedup, op6_url_filter, op7_near_dedup, op8_decontamination, op9_language_id, op10_exact_dedup)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _SPACES = r"'[\x20\x09-\x0D]+'"
@@ -104,6 +111,17 @@ r AS (SELECT b.doc_id, b.size, t.source_size, t.target,
              row_number() OVER (PARTITION BY b.source ORDER BY b.bin, substr(b.h, 1, 2), b.size, b.h) AS k
       FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(u + rate * k) - floor(u + rate * (k - 1))) * size AS BIGINT) AS taken FROM r
+""",
+    "op5_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+k AS (SELECT doc_id, i, list_aggregate(ws[i:i+12], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (s) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+g AS (SELECT doc_id, count(*) FILTER (c.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY t.p) FILTER (c.p IS NULL) AS kept
+      FROM t LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
 """,
     "op7_near_dedup": rf"""
 WITH RECURSIVE w AS (
