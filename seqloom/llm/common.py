@@ -40,17 +40,20 @@ def fence(value: Column) -> Column:
     return F.when(F.rand(0) >= 0, value)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. Only a local session without that setting gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint, which survives lost executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 

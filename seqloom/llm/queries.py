@@ -33,6 +33,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.token_output import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.token_counts import count_tokens
 
@@ -87,7 +93,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=("text_sha256",))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_token_counts, op5_substring_dedup, op6_url_filter, op7_near_dedup, op8_decontamination, op9_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_token_output, op4_token_counts, op5_substring_dedup, op6_url_filter, op7_near_dedup, op8_decontamination, op9_language_id, op10_exact_dedup)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _SPACES = r"'[\x20\x09-\x0D]+'"
