@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import checkpointed
@@ -17,14 +17,14 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     edges = edges.where("a <> b")
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = checkpointed(labels)
     for _ in range(most_rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("around"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         new = labels.join(around.withColumnRenamed("a", "node"), "node", "left").join(jump, "label", "left")
-        new = checkpointed(new.select("node", F.least("label", "around", "jump").alias("new"), "label"))
-        changed = new.where("new <> label").limit(1).count()
+        seen = Observation()
+        new = new.select("node", F.least("label", "around", "jump").alias("new"), "label")
+        new = checkpointed(new.observe(seen, F.count_if(F.col("new") != F.col("label")).alias("changed")))
         labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
+        if not seen.get["changed"]:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

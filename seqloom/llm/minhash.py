@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Documents with equal shingle sets are one class from the start.
     Classes that share a band of their signatures are candidates. Groups are never paired off whole: in each round every
-    bucket names leaders (its most linked members; twice as many each round), compares all its members with
+    bucket names leaders (its most linked members; eight times as many each round), compares all its members with
     them, and drops them; buckets whose rest is already in one component are done. Candidates are pruned by signature batches
     under the posterior bound, and survivors are confirmed on full sets. So links found by banding that could join two
     components are all judged. With the default 32 bands of 4 a pair at 0.8 shares a band but for 5 in 10**8 cases.
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = buckets.where("__size = 2").select("a", "b").distinct()
     links, labels, round_no = None, None, 0
     while True:
-        leaders = _leaders(members, links, 1 << round_no)
+        leaders = _leaders(members, links, 8**round_no)
         crossed = members.join(leaders, "__bucket").where("__key <> __leader")
         crossed = crossed.select(F.least("__key", "__leader").alias("a"), F.greatest("__key", "__leader").alias("b")).distinct()
         if labels is not None:
