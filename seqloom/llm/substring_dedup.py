@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import bitset, checkpointed, in_bitset
+from seqloom.llm.common import Scratch, bitset, checkpointed, in_bitset
 
 STEP = wordhash.WORD_STEP
 UNSTEP = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -134,6 +134,30 @@ def _cut(k: int, others: list[str]):
     return cut
 
 
+def _spans(named: DataFrame, k: int, log2_words: int, scratch: Scratch) -> DataFrame:
+    """__id, __mark, __spans: the windows to remove from each document, as (start, number of windows)."""
+    cores = named.select("__id", "__text").mapInArrow(_cores(k), "__core long, __lo long, __hi long")
+    shared = cores.groupBy("__core").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi")).where("lo < hi")
+    known = bitset(shared.select("__core"), "__core", log2_words)
+    chunks = scratch.keep(named.mapInArrow(_chunks(k, False), CHUNK).where(in_bitset(known, F.col("__core"), log2_words)))
+
+    paths = scratch.keep(chunks.groupBy("__core", "__path").agg(F.min("__id").alias("__source")))
+    settled = chunks.join(paths, ["__core", "__path"]).where("__source < __id").select("__id", "__mark", "__start", "__size")
+
+    branching = paths.groupBy("__core").agg(F.min("__source").alias("lo"), F.max("__source").alias("hi")).where("lo < hi").select("__core")
+    sources = scratch.keep(paths.join(branching, "__core", "left_semi").withColumnRenamed("__source", "__id"))
+    places = bitset(sources.select(F.xxhash64("__core", "__path", "__id").alias("h")), "h", log2_words)
+    open_chunks = named.mapInArrow(_chunks(k, True), CHUNK + ", __edges array<long>")
+    open_chunks = open_chunks.where(in_bitset(places, F.xxhash64("__core", "__path", "__id"), log2_words))
+    open_chunks = open_chunks.join(sources, ["__core", "__path", "__id"], "left_semi")
+    edges = scratch.keep(open_chunks.select("__core", "__id", "__mark", "__start", F.posexplode("__edges").alias("__at", "__edge")))
+    firsts = scratch.keep(edges.groupBy("__core", "__edge").agg(F.min("__id").alias("__source"), F.max("__id").alias("__last")).where("__source < __last").drop("__last"))
+    single = edges.join(firsts, ["__core", "__edge"]).where("__source < __id")
+    single = single.select("__id", "__mark", (F.col("__start") + F.col("__at")).alias("__start"), F.lit(1).alias("__size"))
+    span = F.struct(F.col("__start").alias("start"), F.col("__size").alias("size"))
+    return settled.union(single).groupBy("__id", "__mark").agg(F.collect_list(span).alias("__spans"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, columns: list[str] | None = None, log2_words: int = 19) -> DataFrame:
     """Removes every word that is covered by a window of k words which also starts in a document with a smaller id.
 
@@ -158,26 +182,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__mark"), text.alias("__text"))
     named = rows.where("__id is not null")
 
-    cores = named.select("__id", "__text").mapInArrow(_cores(k), "__core long, __lo long, __hi long")
-    shared = cores.groupBy("__core").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi")).where("lo < hi")
-    known = bitset(shared.select("__core"), "__core", log2_words)
-    chunks = named.mapInArrow(_chunks(k, False), CHUNK).where(in_bitset(known, F.col("__core"), log2_words))
-    chunks = checkpointed(chunks)
-
-    paths = checkpointed(chunks.groupBy("__core", "__path").agg(F.min("__id").alias("__source")))
-    settled = chunks.join(paths, ["__core", "__path"]).where("__source < __id").select("__id", "__mark", "__start", "__size")
-
-    branching = paths.groupBy("__core").agg(F.min("__source").alias("lo"), F.max("__source").alias("hi")).where("lo < hi").select("__core")
-    places = bitset(branching, "__core", log2_words)
-    sources = paths.join(branching, "__core", "left_semi").withColumnRenamed("__source", "__id")
-    open_chunks = named.mapInArrow(_chunks(k, True), CHUNK + ", __edges array<long>").where(in_bitset(places, F.col("__core"), log2_words))
-    open_chunks = open_chunks.join(sources, ["__core", "__path", "__id"], "left_semi")
-    edges = checkpointed(open_chunks.select("__core", "__id", "__mark", "__start", F.posexplode("__edges").alias("__at", "__edge")))
-    firsts = checkpointed(edges.groupBy("__core", "__edge").agg(F.min("__id").alias("__source")))
-    single = edges.join(firsts, ["__core", "__edge"]).where("__source < __id")
-    single = single.select("__id", "__mark", (F.col("__start") + F.col("__at")).alias("__start"), F.lit(1).alias("__size"))
-
-    spans = settled.union(single).groupBy("__id", "__mark").agg(F.collect_list(F.struct(F.col("__start").alias("start"), F.col("__size").alias("size"))).alias("__spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        spans = checkpointed(_spans(named, k, log2_words, scratch))
     whole = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__mark"), text.alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)])
     joined = whole.join(spans, ["__id", "__mark"], "left").drop("__id", "__mark")
     others = [f"__c{i}" for i in range(len(kept))]
