@@ -1,12 +1,14 @@
 """Adaptive context-mixing range coder for token ids.
 
-An id is coded as nibbles, highest first. For each nibble three adaptive models predict one of 16 values: order 0 knows the
-nibbles before it, orders 1 and 2 the last one or two ids as well. The three predictions are mixed with weights that
-follow how well each has done, and the mixture drives a carry-less range coder. Every block starts from
-nothing and carries the CRC-32 of its ids. All arithmetic is on integers, so any machine decodes the same. Blocks
-are coded side by side, one numpy lane each.
+Three models predict the next id of a block. Order 2 and order 1 each name the id that last followed the same two ids or
+the same one, with a confidence that grows while it is right. Order 0 knows how often each id of the block has come so far. Their
+shares of the next id's probability are mixed from how often predictions of the same confidences have been right in
+this block; what is left covers ids that are new. The mixture drives a carry-less range coder, one step per id.
+Order 0 is brought up to date at fixed places, the rest after each id. Every block starts from nothing and carries the
+CRC-32 of its ids. All arithmetic is on integers, so any machine decodes the same. Blocks are coded side by side, one
+numpy lane each.
 
-Frame of a block (little endian): magic, nibbles per id (uint8), ids (uint32), payload bytes (uint32), CRC-32 of the ids as
+Frame of a block (little endian): magic, bits per id (uint8), ids (uint32), payload bytes (uint32), CRC-32 of the ids as
 uint32 (uint32), payload of 16-bit words.
 """
 
@@ -14,128 +16,151 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 HEADER = "<4sBIII"
 HEADER_BYTES = struct.calcsize(HEADER)
-MAGIC = b"SLR1"
-ROWS = (1024, 2048, 2048)
-ONE = 1 << 14
-WORD = np.uint64(16)
-TOP, BOTTOM, LOW_MASK = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-#: Pull of each seen value on the cumulative row: everything above it up, the rest down. Column 0 holds a row's count.
-PULL = np.where(np.arange(16)[None, :] > np.arange(16)[:, None], ONE, 0).astype(np.int16)
-STEPS = np.arange(17, dtype=np.int32)
-SLOWEST = 5
+MAGIC = b"SLR2"
+SLOTS_1, SLOTS_2 = 4096, 8192
+#: Parts of a step's whole, and what new ids keep of it at least, as a power of two above the number of ids.
+WHOLE, SPARE = 1 << 24, 2
+WORD, TOP, BOTTOM, LOW_MASK = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+SURE = 7
+LEAST_HIT, MOST_HIT = 64, 3968
+ID_MASK = (1 << 28) - 1
+
+
+def places(longest: int) -> list[int]:
+    """Where order 0 is brought up to date: closer together at first."""
+    out, at = [], 32
+    while at < longest:
+        out.append(at)
+        at += max(32, at // 4)
+    return out
 
 
 class Mixer:
-    """Models and weights of all lanes."""
-
-    def __init__(self, lanes: int, nibbles: int):
-        fresh = (np.arange(16) * (ONE // 16)).astype(np.int16)
-        self.tables = [np.tile(fresh, (lanes * n, 1)) for n in ROWS]
-        self.bases = [np.arange(lanes, dtype=np.int64) * n for n in ROWS]
-        self.sets = nibbles * 16
-        self.weights = np.full((lanes * self.sets, 3), 1 << 14, np.int32)
-        self.weights[:, 0] = 1 << 15
-        self.set_base = np.arange(lanes, dtype=np.int64) * self.sets
-        self.lane = np.arange(lanes)
-
-    def contexts(self, last: np.ndarray, last2: np.ndarray) -> None:
-        """The ids before the next one."""
-        one = (last + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.seeds = (np.zeros_like(one), one, (one ^ (last2 + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA6B) + np.uint32(1))
-
-    def predict(self, nibble: int, node: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies (lanes, 17) up to 65536; node: the nibbles so far behind a leading 1."""
-        n = len(node)
-        mark = node * np.uint32(0xC2B2AE35)
-        self.at, self.rows = [], []
-        for table, base, size, seed in zip(self.tables, self.bases, ROWS, self.seeds):
-            slot = (seed[:n] + mark) * np.uint32(0x27D4EB2F)
-            slot ^= slot >> np.uint32(15)
-            at = base[:n] + (slot & np.uint32(size - 1))
-            self.at.append(at)
-            self.rows.append(table[at])
-        seen = [np.minimum(r[:, 0], 3) for r in self.rows[1:]]
-        self.set_at = self.set_base[:n] + (nibble * 16 + seen[0] * 4 + seen[1])
-        self.w = self.weights[self.set_at]
-        mix = self.rows[0] * self.w[:, :1]
-        mix += self.rows[1] * self.w[:, 1:2]
-        mix += self.rows[2] * self.w[:, 2:]
-        mix >>= 16
-        mix *= 65520
-        mix >>= 14
-        out = np.empty((n, 17), np.int32)
-        out[:, :16] = mix
-        out[:, 0] = 0
-        out[:, 16] = 65520
-        out += STEPS
-        return out
+    """The models of all lanes. share() gives the line of one step: order 2, order 1, order 0 (whole units of its counts), new ids."""
+
+    def __init__(self, lanes: int, bits: int):
+        self.bits = bits
+        self.next1 = np.zeros(lanes * SLOTS_1, np.int32)  # confidence << 28 | id
+        self.next2 = np.zeros(lanes * SLOTS_2, np.int32)
+        self.base1, self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS_1, np.arange(lanes, dtype=np.int64) * SLOTS_2
+        self.hits2 = np.full(lanes * 64, 1024, np.int64)
+        self.hits1 = np.full(lanes * 8, 1024, np.int64)
+        self.hit_base2, self.hit_base1 = np.arange(lanes, dtype=np.int64) * 64, np.arange(lanes, dtype=np.int64) * 8
+        self.seen = 0
+        self.old = np.zeros(lanes, np.int64)  # share of ids that aren't new, of 65536
+
+    def learn(self, seen: int, distinct: np.ndarray) -> None:
+        """Order 0 now counts the first `seen` ids, among which `distinct` differ."""
+        self.seen = seen
+        self.old[: len(distinct)] = (seen << 16) // (seen + distinct)
+
+    def share(self, n: int, last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, ...]:
+        self.at1 = self.base1[:n] + (((last * 0x9E3779B1) >> 13) & (SLOTS_1 - 1))
+        self.at2 = self.base2[:n] + (((last * 0x9E3779B1 + last2 * 0x85EBCA6B) >> 15) & (SLOTS_2 - 1))
+        one, two = self.next1[self.at1], self.next2[self.at2]
+        self.sure1, self.sure2 = (one >> 28).astype(np.int64), (two >> 28).astype(np.int64)
+        self.id1, self.id2 = (one & ID_MASK).astype(np.int64), (two & ID_MASK).astype(np.int64)
+        self.hit_at2 = self.hit_base2[:n] + (self.sure2 * 8 + self.sure1)
+        self.hit_at1 = self.hit_base1[:n] + self.sure1
+        mixed = WHOLE - (1 << (self.bits + SPARE))
+        a2 = np.where(self.sure2 > 0, (self.hits2[self.hit_at2] * mixed) >> 12, 0)
+        rest = mixed - a2
+        self.two_ways = (self.sure1 > 0) & ((self.id1 != self.id2) | (self.sure2 == 0))
+        a1 = np.where(self.two_ways, (self.hits1[self.hit_at1] * rest) >> 12, 0)
+        rest -= a1
+        unit = ((rest * self.old[:n]) >> 16) // self.seen if self.seen else np.zeros(n, np.int64)
+        a12 = a1 + a2
+        known = a12 + unit * self.seen
+        return a2, a12, known, unit, (WHOLE - known) >> self.bits
 
     def update(self, value: np.ndarray) -> None:
-        n, lane = len(value), self.lane[: len(value)]
-        pull = PULL[value]
-        after = np.minimum(value + 1, 15)
-        shares = np.empty((n, 3), np.int64)
-        for i, (table, at, row) in enumerate(zip(self.tables, self.at, self.rows)):
-            count = row[:, 0].copy()
-            row[:, 0] = 0
-            shares[:, i] = np.where(value < 15, row[lane, after], ONE) - row[lane, value] + 1
-            move = pull - row
-            move >>= np.minimum(count + 1, SLOWEST)[:, None]
-            row += move
-            row[:, 0] = np.minimum(count + 1, SLOWEST)
-            table[at] = row
-        w = self.w.astype(np.int64)
-        got = (w[:, 0] * shares[:, 0] + w[:, 1] * shares[:, 1] + w[:, 2] * shares[:, 2]) >> 16
-        w += (w * shares // (got + 1)[:, None] - w) >> 4
-        np.maximum(w, 512, out=w)
-        self.weights[self.set_at] = (w << 16) // (w[:, 0] + w[:, 1] + w[:, 2])[:, None]
-
-
-def _settle(low: np.ndarray, span: np.ndarray, idle: np.ndarray | None = None) -> np.ndarray:
+        right2 = (self.sure2 > 0) & (self.id2 == value)
+        hit = self.hits2[self.hit_at2]
+        hit += ((right2.astype(np.int64) << 12) - hit) >> 5
+        self.hits2[self.hit_at2] = np.clip(hit, LEAST_HIT, MOST_HIT)
+        right1 = (self.sure1 > 0) & (self.id1 == value)
+        asked = self.two_ways & ~right2
+        hit = self.hits1[self.hit_at1]
+        hit += np.where(asked, ((right1.astype(np.int64) << 12) - hit) >> 5, 0)
+        self.hits1[self.hit_at1] = np.clip(hit, LEAST_HIT, MOST_HIT)
+        self.next1[self.at1] = (np.where(right1, np.minimum(self.sure1 + 1, SURE), 1) << 28) | value
+        self.next2[self.at2] = (np.where(right2, np.minimum(self.sure2 + 1, SURE), 1) << 28) | value
+
+
+def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Lanes that must move a word now; shortens the span of those that straddle."""
     same = (low ^ (low + span)) < TOP
-    short = ~same & (span < BOTTOM)
+    short = span < BOTTOM
+    short &= ~same
     if short.any():
         at = np.flatnonzero(short)
         span[at] = (np.uint64(0) - low[at]) & LOW_MASK
-    return np.flatnonzero(same | short)
+        same |= short
+    return np.flatnonzero(same)
+
+
+def _moves(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes that move a word, until none must; a sound block needs few turns."""
+    for _ in range(8):
+        move = _settle(low, span)
+        if not len(move):
+            return
+        yield move
+    raise ValueError("block is damaged")
 
 
-def _encode(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
+def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """blocks: longest first."""
     lanes, longest = len(blocks), len(blocks[0])
-    ids = np.zeros((longest, lanes), np.uint32)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
     lengths = np.array([len(b) for b in blocks])
-    out = np.empty((lanes, longest * nibbles * 2 + 8), np.uint16)
+    ids = np.zeros((longest, lanes), np.int64)
+    dense = np.zeros((longest, lanes), np.int64)
+    kinds = np.zeros(lanes, np.int64)
+    for i, b in enumerate(blocks):
+        found, place = np.unique(b, return_inverse=True)
+        ids[: len(b), i], dense[: len(b), i], kinds[i] = b, place, len(found)
+    width = int(kinds.max())
+    dense += np.arange(lanes) * width
+    counts, before = np.zeros(lanes * width, np.int64), np.zeros(lanes * width, np.int64)
+    out = np.empty((lanes, longest * 2 + 8), np.uint16)
     used = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, zero = Mixer(lanes, nibbles), np.zeros(lanes, np.uint32)
+    mixer, zero, marks = Mixer(lanes, bits), np.zeros(lanes, np.int64), iter(places(longest))
+    mark, counted = next(marks, -1), 0
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, "left"))
-        now = ids[t, :n]
-        mixer.contexts(ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
-        node, lane, lo, sp = np.ones(n, np.uint32), mixer.lane[:n], low[:n], span[:n]
-        for k in range(nibbles):
-            value = ((now >> np.uint32(4 * (nibbles - 1 - k))) & np.uint32(15)).astype(np.int64)
-            table = mixer.predict(k, node)
-            start, stop = table[lane, value], table[lane, value + 1]
-            sp >>= WORD
-            lo += sp * start.astype(np.uint64)
-            sp *= (stop - start).astype(np.uint64)
-            while len(move := _settle(lo, sp)):
-                out[move, used[move]] = (lo[move] >> np.uint64(48)).astype(np.uint16)
-                used[move] += 1
-                lo[move] <<= WORD
-                sp[move] <<= WORD
-            mixer.update(value)
-            node = (node << np.uint32(4)) | value.astype(np.uint32)
+        if t == mark:
+            counts += np.bincount(dense[counted:t, :n].ravel(), minlength=lanes * width)
+            by_lane = counts.reshape(lanes, width)
+            before = (np.cumsum(by_lane, axis=1) - by_lane).ravel()
+            mixer.learn(t, np.count_nonzero(by_lane[:n], axis=1))
+            mark, counted = next(marks, -1), t
+        value, lo, sp = ids[t, :n], low[:n], span[:n]
+        a2, a12, known, unit, new = mixer.share(n, ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
+        at = dense[t, :n]
+        start, size = known + value * new, new
+        times = counts[at]
+        old = (times > 0) & (unit > 0)
+        start, size = np.where(old, a12 + unit * before[at], start), np.where(old, unit * times, size)
+        is1 = mixer.two_ways & (mixer.id1 == value) & (a12 > a2)
+        start, size = np.where(is1, a2, start), np.where(is1, a12 - a2, size)
+        is2 = (mixer.sure2 > 0) & (mixer.id2 == value) & (a2 > 0)
+        start, size = np.where(is2, 0, start), np.where(is2, a2, size)
+        sp >>= np.uint64(24)
+        lo += sp * start.astype(np.uint64)
+        sp *= size.astype(np.uint64)
+        for move in _moves(lo, sp):
+            out[move, used[move]] = (lo[move] >> np.uint64(48)).astype(np.uint16)
+            used[move] += 1
+            lo[move] <<= WORD
+            sp[move] <<= WORD
+        mixer.update(value)
     for _ in range(4):
         out[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
         used += 1
@@ -143,7 +168,7 @@ def _encode(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
     return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def _decode(payloads: list[bytes], lengths: np.ndarray, nibbles: int) -> np.ndarray:
+def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray:
     """lengths: not increasing. Returns ids (longest, lanes)."""
     lanes, longest = len(payloads), int(lengths[0])
     words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), np.uint64)
@@ -152,72 +177,91 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, nibbles: int) -> np.ndar
     used = np.full(lanes, 4, np.int64)
     code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << WORD) | words[:, 3]
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, zero = Mixer(lanes, nibbles), np.zeros(lanes, np.uint32)
-    ids = np.zeros((longest, lanes), np.uint32)
+    mixer, zero, marks = Mixer(lanes, bits), np.zeros(lanes, np.int64), iter(places(longest))
+    mark, ids = next(marks, -1), np.zeros((longest, lanes), np.int64)
+    kind = np.uint16 if bits <= 16 else np.uint32
+    known_id = first = times = None
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, "left"))
-        mixer.contexts(ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
-        node, lane, lo, sp, co = np.ones(n, np.uint32), mixer.lane[:n], low[:n], span[:n], code[:n]
-        for k in range(nibbles):
-            table = mixer.predict(k, node)
-            sp >>= WORD
-            goal = np.minimum((co - lo) // sp, np.uint64(65535)).astype(np.int32)
-            value = (table[:, 1:16] <= goal[:, None]).sum(axis=1)
-            start, stop = table[lane, value], table[lane, value + 1]
-            lo += sp * start.astype(np.uint64)
-            sp *= (stop - start).astype(np.uint64)
-            while len(move := _settle(lo, sp)):
-                last = np.minimum(used[move], words.shape[1] - 1)
-                co[move] = (co[move] << WORD) | words[move, last]
-                used[move] += 1
-                lo[move] <<= WORD
-                sp[move] <<= WORD
-            mixer.update(value)
-            node = (node << np.uint32(4)) | value.astype(np.uint32)
-        ids[t, :n] = node & np.uint32((1 << (4 * nibbles)) - 1) if nibbles < 8 else node
+        if t == mark:
+            known = np.sort(ids[:t, :n].T.astype(kind), axis=1, kind="stable")
+            head = np.ones((n, t), bool)
+            head[:, 1:] = known[:, 1:] != known[:, :-1]
+            head = head.ravel()
+            heads = np.flatnonzero(head)
+            run = np.cumsum(head) - 1
+            first, times = (heads % t).astype(np.int32)[run], np.diff(np.append(heads, n * t)).astype(np.int32)[run]
+            known_id, row = known.ravel(), np.arange(n, dtype=np.int64) * t
+            mixer.learn(t, head.reshape(n, t).sum(axis=1))
+            mark = next(marks, -1)
+        lo, sp, co = low[:n], span[:n], code[:n]
+        a2, a12, old, unit, new = mixer.share(n, ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
+        sp >>= np.uint64(24)
+        goal = np.minimum((co - lo) // sp, np.uint64(WHOLE - 1)).astype(np.int64)
+        value = np.minimum((goal - old) // new, (1 << bits) - 1)
+        start, size = old + value * new, new
+        if mixer.seen:
+            is0 = goal < old
+            at = row[:n] + np.clip((goal - a12) // np.maximum(unit, 1), 0, mixer.seen - 1)
+            value = np.where(is0, known_id[at], value)
+            start, size = np.where(is0, a12 + unit * first[at], start), np.where(is0, unit * times[at], size)
+        is1 = goal < a12
+        value, start, size = np.where(is1, mixer.id1, value), np.where(is1, a2, start), np.where(is1, a12 - a2, size)
+        is2 = goal < a2
+        value, start, size = np.where(is2, mixer.id2, value), np.where(is2, 0, start), np.where(is2, a2, size)
+        lo += sp * start.astype(np.uint64)
+        sp *= size.astype(np.uint64)
+        for move in _moves(lo, sp):
+            co[move] = (co[move] << WORD) | words[move, np.minimum(used[move], words.shape[1] - 1)]
+            used[move] += 1
+            lo[move] <<= WORD
+            sp[move] <<= WORD
+        mixer.update(value)
+        ids[t, :n] = value
     return ids
 
 
+def crc_of(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+
+
 def head_of(frame: bytes) -> tuple:
-    """magic, nibbles, ids, payload bytes, checksum."""
+    """magic, bits, ids, payload bytes, checksum."""
     if len(frame) < HEADER_BYTES or frame[:4] != MAGIC:
         raise ValueError("not a block of token ids")
     return struct.unpack_from(HEADER, frame)
 
 
-def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
-
-
-def encode_blocks(blocks: list[np.ndarray], nibbles: int = 4, lanes: int = 1024) -> list[bytes]:
-    """One frame per block of ids; ids are below 16 ** nibbles."""
+def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 512) -> list[bytes]:
+    """One frame per block of ids; ids are below 2 ** bits, bits from 8 to 20."""
+    if not 8 <= bits <= 20:
+        raise ValueError("bits is 8 to 20")
     frames: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for at in range(0, len(order), lanes):
         part = order[at : at + lanes]
         full = [i for i in part if len(blocks[i])]
-        coded = dict(zip(full, _encode([blocks[i] for i in full], nibbles))) if full else {}
+        coded = dict(zip(full, _encode([blocks[i] for i in full], bits))) if full else {}
         for i in part:
             payload = coded.get(i, b"")
-            frames[i] = struct.pack(HEADER, MAGIC, nibbles, len(blocks[i]), len(payload), crc_of(blocks[i])) + payload
+            frames[i] = struct.pack(HEADER, MAGIC, bits, len(blocks[i]), len(payload), crc_of(blocks[i])) + payload
     return frames
 
 
-def decode_frames(frames: list[bytes], lanes: int = 1024) -> list[np.ndarray]:
+def decode_frames(frames: list[bytes], lanes: int = 512) -> list[np.ndarray]:
     """The ids of each frame; raises ValueError where a frame is damaged."""
-    heads = []
-    for f in frames:
-        heads.append(head_of(f))
-        if len(f) != HEADER_BYTES + heads[-1][3] or heads[-1][3] % 2:
-            raise ValueError("block has a wrong length")
+    heads = [head_of(f) for f in frames]
+    if any(len(f) != HEADER_BYTES + h[3] or h[3] % 2 for f, h in zip(frames, heads)):
+        raise ValueError("block has a wrong length")
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(frames)
-    for nibbles in sorted({h[1] for h in heads}):
-        order = sorted((i for i, h in enumerate(heads) if h[1] == nibbles and h[2]), key=lambda i: -heads[i][2])
+    for bits in sorted({h[1] for h in heads}):
+        order = sorted((i for i, h in enumerate(heads) if h[1] == bits and h[2]), key=lambda i: -heads[i][2])
         for at in range(0, len(order), lanes):
             part = order[at : at + lanes]
-            ids = _decode([frames[i][HEADER_BYTES :] for i in part], np.array([heads[i][2] for i in part]), nibbles)
+            with np.errstate(all="ignore"):  # a damaged block may divide by nothing before its checksum tells
+                ids = _decode([frames[i][HEADER_BYTES:] for i in part], np.array([heads[i][2] for i in part]), bits)
             for lane, i in enumerate(part):
-                out[i] = ids[: heads[i][2], lane]
+                out[i] = ids[: heads[i][2], lane].astype(np.uint32)
     for h, ids in zip(heads, out):
         if crc_of(ids) != h[4]:
             raise ValueError("block has a wrong checksum")

@@ -33,7 +33,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        nibbles = max(4, -(-max(model.get_vocab_size() - 1, end_id).bit_length() // 4))
+        bits = max(16, max(model.get_vocab_size() - 1, end_id).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[list, list, list]] = []  # ids of documents, their lengths, arrays of token ids
         docs, lengths, arrays, size, waiting = [], [], [], 0, 0
@@ -44,7 +44,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
             for _, _, parts in held:
                 ids = np.concatenate(parts)
                 cut.append([ids[i : i + block_ids] for i in range(0, len(ids), block_ids)])
-            frames = iter(rangecoder.encode_blocks([b for blocks in cut for b in blocks], nibbles, lanes))
+            frames = iter(rangecoder.encode_blocks([b for blocks in cut for b in blocks], bits, lanes))
             made = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * len(held), pa.int64()),
@@ -89,7 +89,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
     return encode
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 4096, segment_ids: int = 1 << 16, lanes: int = 1024, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 512, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
     """Encodes every whole text (null: empty), appends `end_id`, and writes the ids in ascending order of id_col.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their text. A text that alone is longer than a
@@ -138,7 +138,7 @@ def _decoder(with_ids: bool, lanes: int):
     return decode
 
 
-def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 1024) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 512) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids (or ids_crc32, their checksum).
 
     Blocks whose checksum or length is wrong raise ValueError.
