@@ -108,6 +108,32 @@ def _bayes(batch: int, least: list[int]):
     return prune
 
 
+def _blocks(batch: int, least: list[int], bands: int, strip: int = 32):
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        keys, labels, chunk, los, his, band = (rows.column(c).to_numpy() for c in ("__key", "__label", "__chunk", "__lo", "__hi", "__band"))
+        sigs = np.frombuffer(b"".join(rows.column("__sig").to_pylist()), np.uint32).reshape(len(keys), -1)
+        lefts, rights = np.flatnonzero(chunk == los[0]), np.flatnonzero(chunk == his[0])
+        a, b = [keys[:0]], [keys[:0]]
+        for at in range(0, len(lefts), strip):
+            x, y = (g.ravel() for g in np.meshgrid(lefts[at : at + strip], rights, indexing="ij"))
+            apart = (labels[x] != labels[y]) & ((x < y) if los[0] == his[0] else True)
+            x, y = x[apart], y[apart]
+            matches = np.zeros(len(x), np.int64)
+            for i, need in enumerate(least):
+                part = slice(i * batch, (i + 1) * batch)
+                matches += (sigs[x, part] == sigs[y, part]).sum(axis=1)
+                alive = matches >= need
+                x, y, matches = x[alive], y[alive], matches[alive]
+            # a pair that shares several bands counts in the first of them only
+            shared = (sigs[x] == sigs[y]).reshape(len(x), bands, sigs.shape[1] // bands).all(axis=2).argmax(axis=1)
+            x, y = x[shared == band[0]], y[shared == band[0]]
+            a.append(np.minimum(keys[x], keys[y])), b.append(np.maximum(keys[x], keys[y]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return compare
+
+
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,15 +157,16 @@ def _confirm(percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, n_hashes: int = 128, bands: int = 32, batch: int = 16, miss: float = 1e-6, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, n_hashes: int = 128, bands: int = 32, batch: int = 16, miss: float = 1e-6, block: int = 1024, seed: int = 3) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of word shingles of at least `percent` / 100.
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Documents with equal shingle sets are one class from the start.
-    Classes that share a band of their signatures are candidates. Groups are never paired off whole: in each round every
-    bucket names leaders (its most linked members; eight times as many each round), compares all its members with
-    them, and drops them; buckets whose rest is already in one component are done. Candidates are pruned by signature batches
-    under the posterior bound, and survivors are confirmed on full sets. So links found by banding that could join two
-    components are all judged. With the default 32 bands of 4 a pair at 0.8 shares a band but for 5 in 10**8 cases.
+    Classes that share a band of their signatures are candidates. Groups are not paired off: first every bucket names a leader, and its
+    members are compared with it; then the member with most links is the leader. That joins almost all copies. Only buckets whose
+    members are still in several components are gone through in blocks of `block` by `block` signatures, which give just those
+    pairs between components that stay likely. Candidates are pruned by signature batches under the posterior bound, and
+    survivors are confirmed on full sets. So all pairs that share a band and could join two components are judged. With the
+    default 32 bands of 4 a pair at 0.8 shares a band but for 5 in 10**8 cases.
 
     Returns one row per input row: id_col, n_shingles, component_id (smallest id in the component), kept (id = component_id).
     Null, empty and blank texts have no shingles, are linked with nothing and are kept. Fewer words than a shingle:
@@ -153,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("__key").agg(F.min("__id").alias("__first"))
     distinct = full.dropDuplicates(["__key"])
 
-    placed = distinct.select("__key", F.explode("__bands").alias("__bucket"))
+    placed = distinct.select("__key", F.posexplode("__bands").alias("__band", "__bucket"))
     buckets = placed.groupBy("__bucket").agg(F.min("__key").alias("a"), F.max("__key").alias("b"), F.count("*").alias("__size")).where("__size > 1")
     buckets = checkpointed(buckets)
     large = buckets.where("__size > 2").select("__bucket")
@@ -162,24 +189,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     signatures = distinct.select("__key", "__sig")
     least = least_matches(batch, n_hashes, percent / 100, miss)
-    pairs = buckets.where("__size = 2").select("a", "b").distinct()
-    links, labels, round_no = None, None, 0
-    while True:
-        leaders = _leaders(members, links, 8**round_no)
-        crossed = members.join(leaders, "__bucket").where("__key <> __leader")
-        crossed = crossed.select(F.least("__key", "__leader").alias("a"), F.greatest("__key", "__leader").alias("b")).distinct()
-        if labels is not None:
-            crossed = _apart(crossed, labels, "a", "b")
-        found = checkpointed(_linked(crossed if round_no else pairs.union(crossed).distinct(), signatures, rows, classes, words, percent, batch, least))
-        links = found if links is None else checkpointed(links.union(found).distinct())
+    confirmed = lambda likely: _confirmed(likely, rows, classes, words, percent)
+    likely = lambda pairs: _both(pairs, signatures, "__sig").mapInArrow(_bayes(batch, least), "a long, b long")
+    first = buckets.where("__size = 2").select("a", "b").union(_with_leaders(members, buckets.select("__bucket", F.col("a").alias("__leader"))))
+    links = checkpointed(confirmed(likely(first.distinct())))
+    labels = components(links)
+    for last in (False, True):
+        members = _unsettled(members, labels)
+        if last:
+            sizes = members.groupBy("__bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("__chunks"))
+            spread = members.join(sizes, "__bucket").join(signatures, "__key")
+            chunk = F.pmod(F.xxhash64("__key"), F.col("__chunks")).cast("int")
+            spread = spread.select("*", chunk.alias("__chunk"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other"))
+            spread = spread.select("__bucket", "__band", "__key", "__label", "__sig", "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
+            found = spread.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(batch, least, bands), "a long, b long")
+        else:
+            found = likely(_apart(_with_leaders(members, _leaders(members, links)).distinct(), labels))
+        links = checkpointed(links.union(confirmed(found)))
         labels = components(links)
-        rest = members.join(leaders.withColumnRenamed("__leader", "__key"), ["__bucket", "__key"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "__key"), "__key", "left").select("__bucket", "__key", F.coalesce("component", "__key").alias("__label"))
-        mixed = rest.groupBy("__bucket").agg(F.min("__label").alias("lo"), F.max("__label").alias("hi")).where("lo <> hi").select("__bucket")
-        members = checkpointed(rest.select("__bucket", "__key").join(mixed, "__bucket", "left_semi"))
-        round_no += 1
-        if not members.limit(1).count():
-            break
 
     smallest = labels.join(classes, labels["node"] == classes["__key"]).groupBy("component").agg(F.min("__first").alias("__smallest"))
     known = labels.join(smallest, "component").select(F.col("node").alias("__key"), "__smallest")
@@ -191,23 +218,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _leaders(members: DataFrame, links: DataFrame | None, most: int) -> DataFrame:
-    """Up to `most` leaders of each bucket, one from each of as many hash slices: the members with most links so far."""
-    ranked = members.withColumn("__links", F.lit(0).cast("long"))
-    if links is not None:
-        degree = links.select(F.explode(F.array("a", "b")).alias("__key")).groupBy("__key").agg(F.count("*").alias("__links"))
-        ranked = members.join(degree, "__key", "left").withColumn("__links", F.coalesce("__links", F.lit(0).cast("long")))
-    hashed = F.xxhash64(F.lit(most), "__key")
-    best = F.min(F.struct(-F.col("__links"), hashed, F.col("__key").alias("k")))
-    return ranked.groupBy("__bucket", F.pmod(hashed, F.lit(most)).alias("__slice")).agg(best.alias("__best")).select("__bucket", F.col("__best.k").alias("__leader"))
+def _leaders(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The member with most links of each bucket."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("__key")).groupBy("__key").agg(F.count("*").alias("__links"))
+    ranked = members.join(degree, "__key", "left")
+    best = F.max(F.struct(F.coalesce("__links", F.lit(0)), F.xxhash64("__key"), F.col("__key").alias("k")))
+    return ranked.groupBy("__bucket").agg(best.alias("__best")).select("__bucket", F.col("__best.k").alias("__leader"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    pairs = members.join(leaders, "__bucket").where("__key <> __leader")
+    return pairs.select(F.least("__key", "__leader").alias("a"), F.greatest("__key", "__leader").alias("b"))
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their component as __label."""
+    rows = members.select("__bucket", "__band", "__key").join(labels.withColumnRenamed("node", "__key"), "__key", "left")
+    rows = rows.select("__bucket", "__band", "__key", F.coalesce("component", "__key").alias("__label"))
+    mixed = rows.groupBy("__bucket").agg(F.min("__label").alias("lo"), F.max("__label").alias("hi")).where("lo <> hi").select("__bucket")
+    return checkpointed(rows.join(mixed, "__bucket", "left_semi"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet in one component."""
-    for c in columns:
+    for c in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"__of_{c}")), c, "left")
-    ends = [F.coalesce(F.col(f"__of_{c}"), F.col(c)) for c in columns]
-    return pairs.where(ends[0] != ends[1]).select(*columns)
+    return pairs.where(F.coalesce("__of_a", "a") != F.coalesce("__of_b", "b")).select("a", "b")
 
 
 def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -216,10 +252,10 @@ def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.select("a", "b", f"{name}_a", f"{name}_b")
 
 
-def _linked(pairs: DataFrame, signatures: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int, batch: int, least: list[int]) -> DataFrame:
-    likely = checkpointed(_both(pairs, signatures, "__sig").mapInArrow(_bayes(batch, least), "a long, b long"))
+def _confirmed(likely: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough. One document of each class is read again; a bit set of fixed size keeps the other texts out."""
+    likely = checkpointed(likely)
     keys = likely.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    # one document of each class is read again; a bit set of fixed size keeps the other texts out
     read = bitset(classes.join(keys, "__key", "left_semi").select(F.xxhash64("__first").alias("h")), "h", 16)
     sets = rows.where(in_bitset(read, F.xxhash64("__id"), 16)).select("__text").mapInArrow(_sets(words), "__key long, __set binary")
     sets = sets.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
