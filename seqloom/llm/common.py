@@ -58,6 +58,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_sample(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of `key`: about twice as many are kept while reading, so no task reads many more.
+
+    All rows where there are few.
+    """
+    n = rows.count()
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30))
+    limit = (1 << 30) if n <= 2 * most else (2 * most << 30) // n
+    return rows.withColumn("__place", place).where(F.col("__place") < limit).orderBy("__place", key).limit(most).drop("__place")
+
+
 class Scratch:
     """Tables written to the scratch folder, gone when the block ends; smaller than checkpoints, since their columns are compressed."""
 

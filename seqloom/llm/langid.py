@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm import common  # noqa: F401  (lets the code below travel to Python workers)
+from seqloom.llm import common
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -85,8 +85,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     language, and predicts `und`.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.lit(5), F.col(order_col).cast("string"), F.xxhash64(text_col))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).alias("text"), key.alias("key")).orderBy("key").limit(most_rows)
+    rows = common.hash_sample(rows, F.concat_ws(":", F.col(order_col).cast("string"), F.md5(text_col)), most_rows, 5)
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).alias("text"))
     words = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     words = words.persist()
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
