@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import hash_sample
+
 FEATURES = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio",
     "entropy", "n_params", "n_hyphens", "suffix_share", "suffix_odds", "domain_share", "domain_odds",
@@ -119,7 +121,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(url_col).isNotNull())
     rows = rows.select(F.col(url_col).alias("__url"), F.col(label_col).cast("double").alias("__label"))
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "__url"), "__url", "__label").limit(most_rows)
+    rows = hash_sample(rows, F.concat_ws(" ", "__url", F.col("__label").cast("string")), most_rows, seed)
     rows = lexical(rows, "__url").persist()
     total, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0.0))).first()
     if not 0 < blocked < total:
