@@ -38,7 +38,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     narrow = checkpointed(rows.drop("__norm", "__len", "__prefix"))
     hashed = narrow.where(F.col("__full").isNotNull())
-    groups = hashed.groupBy("__full").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+    # written, so that both sides of the join are plain exchanges and a hot group can be split
+    groups = checkpointed(hashed.groupBy("__full").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1"))
     found = hashed.join(groups, "__full", "left")
     alone = narrow.where(F.col("__full").isNull()).withColumns({"__keep": F.lit(None).cast(narrow.schema["__id"].dataType), "__size": F.lit(None).cast("long")})
     both = found.unionByName(alone)
