@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES, bitset, fence, in_bitset, let
+from seqloom.llm.common import SPACES, bitset, checkpointed, fence, in_bitset, let
 
 
 def shingle_hashes(text: Column, words: int = 5) -> Column:
@@ -38,7 +38,8 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     class_end = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("__n"))) - 1
     missing = F.floor(class_end * F.lit(1.0 - at_least) + 1e-9)
     rank = F.row_number().over(Window.partitionBy("__item").orderBy("__h"))
-    item_rows = item_rows.withColumn("__in_sketch", rank <= missing + 1)
+    # written, so that both sides of the join with the documents are plain exchanges and a hot passage can be split
+    item_rows = checkpointed(item_rows.withColumn("__in_sketch", rank <= missing + 1))
 
     known = bitset(item_rows.select("__h"), "__h")
     hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), shingle_hashes(F.col(text_col).cast("string"), words).alias("__all"), known.alias("__known"))
