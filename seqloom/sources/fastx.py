@@ -25,8 +25,8 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").collect()]
 
 
-def _pieces(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
-    """source, ordinal, value: the parts of the files between separators, blank ones left out, numbered in input order.
+def _pieces(spark: SparkSession, paths: list[str], separator: str, blank: bool = False) -> DataFrame:
+    """source, ordinal, value: the parts of the files between separators, numbered in input order; blank ones only if asked for.
 
     The number is dense: a count per file split, a prefix sum over the splits, and the place in the split.
     """
@@ -34,7 +34,8 @@ def _pieces(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
     for i, p in enumerate(paths):
         one = spark.read.option("lineSep", separator).text(p).select("value", F.lit(i).alias("__input"), F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__block"))
         read = one if read is None else read.unionAll(one)
-    rows = read.where(F.trim(F.regexp_replace("value", r"[\r\n]+", " ")) != "").withColumn("__at", F.monotonically_increasing_id())
+    rows = read if blank else read.where(F.trim(F.regexp_replace("value", r"[\r\n]+", " ")) != "")
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
     splits = rows.groupBy("__input", "source", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__input", "source", "__block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -76,7 +77,7 @@ def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None
     """
     if multi_line:
         return _multi_line(spark, _paths(path), id_regexp, ncbi)
-    rows = _pieces(spark, _paths(path), "\n@").withColumn("value", F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"\n+\z", ""))
+    rows = _pieces(spark, _paths(path), "\n@", blank=True).withColumn("value", F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"\n+\z", ""))
     lines = F.size(F.split("value", "\n", -1))
     torn = rows.where(lines == 1).select((F.col("ordinal") - 1).alias("ordinal"), F.concat(F.lit("\n@"), F.col("value")).alias("__rest"))
     rows = rows.where(lines > 1).join(torn, "ordinal", "left").withColumn("value", F.concat("value", F.coalesce("__rest", F.lit(""))))

@@ -46,7 +46,7 @@ def read_gtf(spark: SparkSession, path: str, chrs: list[str] | None = None, type
     """chr, s, e, strand, type, attributes (map of the ninth column)."""
     parts = F.split(F.regexp_replace("value", r"\r\z", ""), "\t", -1)
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(parts) >= 9)
-    pairs = F.transform(F.regexp_extract_all(parts[8], F.lit(r'(\S+\s+"[^"]*"|\S+\s+[^;"]+)'), F.lit(1)), lambda p: F.struct(F.regexp_extract(p, r"\A(\S+)", 1).alias("k"), F.regexp_replace(F.regexp_replace(p, r"\A\S+\s+", ""), '"', "").alias("v")))
+    pairs = F.transform(F.regexp_extract_all(parts[8], F.lit(r'([^;\s]+\s+"[^"]*"|[^;\s]+\s+[^;"\s]+)'), F.lit(1)), lambda p: F.struct(F.regexp_extract(p, r"\A(\S+)", 1).alias("k"), F.regexp_replace(F.regexp_replace(p, r"\A\S+\s+", ""), '"', "").alias("v")))
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
     rows = rows.select(parts[0].alias("chr"), parts[3].cast("long").alias("s"), parts[4].cast("long").alias("e"), F.when(parts[6].isin("+", "-"), parts[6]).alias("strand"), parts[2].alias("type"), F.map_from_entries(first).alias("attributes"))
     if chrs:
