@@ -108,26 +108,77 @@ def _bayes(batch: int, least: list[int]):
     return prune
 
 
+def _sides(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, bool]:
+    rows = rows.combine_chunks()
+    sigs = np.frombuffer(b"".join(rows.column("__sig").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
+    chunk, lo, hi = (rows.column(c).to_numpy() for c in ("__chunk", "__lo", "__hi"))
+    return rows, sigs, np.flatnonzero(chunk == lo[0]), np.flatnonzero(chunk == hi[0]), lo[0] == hi[0]
+
+
+def _likely(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, batch: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) that stay likely after each batch."""
+    matches = np.zeros(len(x), np.int64)
+    for i, need in enumerate(least):
+        part = slice(i * batch, (i + 1) * batch)
+        matches += (sigs[x, part] == sigs[y, part]).sum(axis=1)
+        alive = matches >= need
+        x, y, matches = x[alive], y[alive], matches[alive]
+    return x, y
+
+
+def _settle(batch: int, least: list[int], percent: int):
+    """Judges all pairs of a block on full sets, and returns links that join what they join."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        rows, sigs, lefts, rights, same = _sides(rows)
+        keys, labels = rows.column("__key").to_numpy(), rows.column("__label").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("__set")]
+        sizes = np.array([len(v) for v in sets])
+        known, places = np.unique(np.concatenate(sets), return_inverse=True)
+        places = np.split(places, np.cumsum(sizes)[:-1])
+        marked, parent, links = np.zeros(len(known), bool), {}, []
+
+        def root(v: int) -> int:
+            while v in parent:
+                v = parent[v]
+            return v
+
+        roots = labels.copy()
+        for at, x in enumerate(lefts):
+            others = rights[at + 1 :] if same else rights
+            others = others[roots[others] != roots[x]]
+            _, others = _likely(sigs, np.full(len(others), x), others, batch, least)
+            if not len(others):
+                continue
+            marked[places[x]] = True
+            shared = np.add.reduceat(marked[np.concatenate([places[y] for y in others])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            marked[places[x]] = False
+            for y in others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)]:
+                one, two = root(labels[x]), root(labels[y])
+                if one != two:
+                    parent[two] = one
+                    links.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+            if parent:
+                found, back = np.unique(labels, return_inverse=True)
+                roots = np.array([root(v) for v in found])[back]
+        return pa.table({c: pa.array([k[i] for k in links], pa.int64()) for i, c in enumerate(("a", "b"))})
+
+    return settle
+
+
 def _blocks(batch: int, least: list[int], bands: int, strip: int = 32):
+    """The likely pairs of a block of one bucket that no common group has judged, each in the first band that it shares."""
+
     def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        keys, labels, chunk, los, his, band = (rows.column(c).to_numpy() for c in ("__key", "__label", "__chunk", "__lo", "__hi", "__band"))
-        sigs = np.frombuffer(b"".join(rows.column("__sig").to_pylist()), np.uint32).reshape(len(keys), -1)
-        lefts, rights = np.flatnonzero(chunk == los[0]), np.flatnonzero(chunk == his[0])
+        rows, sigs, lefts, rights, same = _sides(rows)
+        keys, labels, groups, band = (rows.column(c).to_numpy() for c in ("__key", "__label", "__group", "__band"))
         a, b = [keys[:0]], [keys[:0]]
         for at in range(0, len(lefts), strip):
             x, y = (g.ravel() for g in np.meshgrid(lefts[at : at + strip], rights, indexing="ij"))
-            apart = (labels[x] != labels[y]) & ((x < y) if los[0] == his[0] else True)
-            x, y = x[apart], y[apart]
-            matches = np.zeros(len(x), np.int64)
-            for i, need in enumerate(least):
-                part = slice(i * batch, (i + 1) * batch)
-                matches += (sigs[x, part] == sigs[y, part]).sum(axis=1)
-                alive = matches >= need
-                x, y, matches = x[alive], y[alive], matches[alive]
-            # a pair that shares several bands counts in the first of them only
-            shared = (sigs[x] == sigs[y]).reshape(len(x), bands, sigs.shape[1] // bands).all(axis=2).argmax(axis=1)
-            x, y = x[shared == band[0]], y[shared == band[0]]
+            apart = (labels[x] != labels[y]) & (groups[x] != groups[y]) & ((x < y) if same else True)
+            x, y = _likely(sigs, x[apart], y[apart], batch, least)
+            first = (sigs[x] == sigs[y]).reshape(len(x), bands, sigs.shape[1] // bands).all(axis=2).argmax(axis=1)
+            x, y = x[first == band[0]], y[first == band[0]]
             a.append(np.minimum(keys[x], keys[y])), b.append(np.maximum(keys[x], keys[y]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -157,16 +208,17 @@ def _confirm(percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, n_hashes: int = 128, bands: int = 32, batch: int = 16, miss: float = 1e-6, block: int = 1024, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, n_hashes: int = 128, bands: int = 32, batch: int = 16, miss: float = 1e-6, block: int = 512, seed: int = 3) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of word shingles of at least `percent` / 100.
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Documents with equal shingle sets are one class from the start.
     Classes that share a band of their signatures are candidates. Groups are not paired off: first every bucket names a leader, and its
-    members are compared with it; then the member with most links is the leader. That joins almost all copies. Only buckets whose
-    members are still in several components are gone through in blocks of `block` by `block` signatures, which give just those
-    pairs between components that stay likely. Candidates are pruned by signature batches under the posterior bound, and
-    survivors are confirmed on full sets. So all pairs that share a band and could join two components are judged. With the
-    default 32 bands of 4 a pair at 0.8 shares a band but for 5 in 10**8 cases.
+    members are compared with it; then the member with most links is the leader. That joins almost all copies. Buckets whose
+    members are still in several components are settled in blocks of `block` by `block` rows: first the members that
+    share a smallest neighbour, once for all their buckets, then what is left bucket by bucket. Candidates are pruned by signature
+    batches under the posterior bound, and survivors are confirmed on full sets. So all pairs that share a band and
+    could join two components are judged, and none of a group's pairs is written out but those that join something. With
+    the default 32 bands of 4 a pair at 0.8 shares a band but for 5 in 10**8 cases.
 
     Returns one row per input row: id_col, n_shingles, component_id (smallest id in the component), kept (id = component_id).
     Null, empty and blank texts have no shingles, are linked with nothing and are kept. Fewer words than a shingle:
@@ -194,19 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = buckets.where("__size = 2").select("a", "b").union(_with_leaders(members, buckets.select("__bucket", F.col("a").alias("__leader"))))
     links = checkpointed(confirmed(likely(first.distinct())))
     labels = components(links)
-    for last in (False, True):
-        members = _unsettled(members, labels)
-        if last:
-            sizes = members.groupBy("__bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("__chunks"))
-            spread = members.join(sizes, "__bucket").join(signatures, "__key")
-            chunk = F.pmod(F.xxhash64("__key"), F.col("__chunks")).cast("int")
-            spread = spread.select("*", chunk.alias("__chunk"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other"))
-            spread = spread.select("__bucket", "__band", "__key", "__label", "__sig", "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
-            found = spread.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(batch, least, bands), "a long, b long")
-        else:
-            found = likely(_apart(_with_leaders(members, _leaders(members, links)).distinct(), labels))
-        links = checkpointed(links.union(confirmed(found)))
-        labels = components(links)
+
+    members = _unsettled(members, labels)
+    links = checkpointed(links.union(confirmed(likely(_apart(_with_leaders(members, _leaders(members, links)).distinct(), labels)))))
+    labels = components(links)
+
+    members = _grouped(_unsettled(members, labels))
+    found = _spread(members.select("__group", "__key", "__label").distinct(), "__group", block).join(signatures, "__key")
+    found = found.join(_sets_of(found.select("__key").distinct(), rows, classes, words), "__key")
+    links = checkpointed(links.union(found.groupBy("__group", "__lo", "__hi").applyInArrow(_settle(batch, least, percent), "a long, b long")))
+    labels = components(links)
+
+    members = _unsettled(members, labels, "__group")
+    found = _spread(members, "__bucket", block).join(signatures, "__key")
+    found = found.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(batch, least, bands), "a long, b long")
+    labels = components(checkpointed(links.union(confirmed(found))))
 
     smallest = labels.join(classes, labels["node"] == classes["__key"]).groupBy("component").agg(F.min("__first").alias("__smallest"))
     known = labels.join(smallest, "component").select(F.col("node").alias("__key"), "__smallest")
@@ -231,12 +285,32 @@ def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
     return pairs.select(F.least("__key", "__leader").alias("a"), F.greatest("__key", "__leader").alias("b"))
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with their component as __label."""
-    rows = members.select("__bucket", "__band", "__key").join(labels.withColumnRenamed("node", "__key"), "__key", "left")
-    rows = rows.select("__bucket", "__band", "__key", F.coalesce("component", "__key").alias("__label"))
-    mixed = rows.groupBy("__bucket").agg(F.min("__label").alias("lo"), F.max("__label").alias("hi")).where("lo <> hi").select("__bucket")
-    return checkpointed(rows.join(mixed, "__bucket", "left_semi"))
+def _unsettled(members: DataFrame, labels: DataFrame, *also: str) -> DataFrame:
+    """Members of buckets that still hold several components (and several values of `also`), with their component as __label."""
+    kept = ["__bucket", "__band", "__key", *also]
+    rows = members.select(*kept).join(labels.withColumnRenamed("node", "__key"), "__key", "left")
+    rows = rows.select(*kept, F.coalesce("component", "__key").alias("__label"))
+    several = [F.min(c) != F.max(c) for c in ("__label", *also)]
+    mixed = rows.groupBy("__bucket").agg(*[x.alias(f"m{i}") for i, x in enumerate(several)])
+    for i in range(len(several)):
+        mixed = mixed.where(f"m{i}")
+    return checkpointed(rows.join(mixed.select("__bucket"), "__bucket", "left_semi"))
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """Adds __group: the smallest key that shares a bucket with the member."""
+    smallest = members.groupBy("__bucket").agg(F.min("__key").alias("__least"))
+    groups = members.join(smallest, "__bucket").groupBy("__key").agg(F.min("__least").alias("__group"))
+    return checkpointed(members.join(groups, "__key"))
+
+
+def _spread(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """Deals the rows of each group that holds several components into chunks, one copy for each chunk that its own meets (__lo, __hi)."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("__chunks"), F.min("__label").alias("lo"), F.max("__label").alias("hi"))
+    spread = rows.join(sizes.where("lo <> hi").select(by, "__chunks"), by)
+    chunk = F.pmod(F.xxhash64("__key"), F.col("__chunks")).cast("int")
+    spread = spread.select(*rows.columns, chunk.alias("__chunk"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other"))
+    return spread.select(*rows.columns, "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,14 +326,18 @@ def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.select("a", "b", f"{name}_a", f"{name}_b")
 
 
+def _sets_of(keys: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """__key, __set. One document of each class is read again; a bit set of fixed size keeps the other texts out."""
+    read = bitset(classes.join(keys, "__key", "left_semi").select(F.xxhash64("__first").alias("h")), "h", 16)
+    sets = rows.where(in_bitset(read, F.xxhash64("__id"), 16)).select("__text").mapInArrow(_sets(words), "__key long, __set binary")
+    return sets.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
+
+
 def _confirmed(likely: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. One document of each class is read again; a bit set of fixed size keeps the other texts out."""
+    """The pairs whose full sets are similar enough."""
     likely = checkpointed(likely)
     keys = likely.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    read = bitset(classes.join(keys, "__key", "left_semi").select(F.xxhash64("__first").alias("h")), "h", 16)
-    sets = rows.where(in_bitset(read, F.xxhash64("__id"), 16)).select("__text").mapInArrow(_sets(words), "__key long, __set binary")
-    sets = sets.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
-    return _both(likely, sets, "__set").mapInArrow(_confirm(percent), "a long, b long")
+    return _both(likely, _sets_of(keys, rows, classes, words), "__set").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
