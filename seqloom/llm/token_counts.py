@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import common  # noqa: F401  (lets the code below travel to Python workers)
 
-#: Between a letter or digit and a space that a letter follows, byte-level pre-tokenizers with the usual pattern always
-#: break, and the part after the break is tokenized as if it stood alone.
-SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+#: Byte-level pre-tokenizers with the usual pattern always break before a space that something else than white space
+#: follows, and the part from there on is tokenized as if it stood alone. For other letters than these no break is assumed.
+SAFE_NEXT = "\x21-\x7eÀ-ÿ"
+SAFE = re.compile(f" (?=[{SAFE_NEXT}])")
+UNSAFE = re.compile(f" (?![{SAFE_NEXT}])")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,77 +27,126 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str, most: int) -> Iterator[str]:
-    """Cuts a long text at safe boundaries, the first after each `most` characters; without one it stays whole."""
-    start = 0
-    while len(text) - start > most:
-        cut = SAFE.search(text, start + most)
-        if cut is None:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+def pieces(text: str) -> list[str]:
+    """Cuts a text at its safe boundaries; all pieces but the first have lost the space they begin with."""
+    return text.split(" ") if UNSAFE.search(text) is None else SAFE.split(text)
 
 
-def _counter(path: str):
-    """list of texts -> list of lengths; safe: whether texts may be cut."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _byte_level(path: str) -> bool:
-    if not path.endswith(".json"):
-        return False
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        kind = json.load(f).get("pre_tokenizer") or {}
-    return kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+class Encoder:
+    """Token ids or counts of many texts.
 
+    Texts are cut at safe boundaries and each different piece is encoded by the library once; pieces are kept until there
+    are `most_pieces` or `most_chars`, so the memory is bounded. Tokenizers without safe boundaries get whole texts.
+    """
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
+    def __init__(self, path: str, most_pieces: int = 1 << 18, most_chars: int = 1 << 23):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.most_pieces, self.most_chars = most_pieces, most_chars
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: model.encode(texts, num_threads=1)
+            self.cut, self.size = False, model.get_piece_size()
+        else:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(path)
+            model.no_truncation()
+            model.no_padding()
+            self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            with open(path, encoding="utf-8") as f:
+                known = json.load(f)
+            before = known.get("pre_tokenizer") or {}
+            usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            special = [t["content"] for t in known.get("added_tokens", ())]
+            self.cut = usual and not known.get("normalizer") and not any(" " in t for t in special)
+            self.size = model.get_vocab_size()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.chars, self.used = 0, 0
+        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, keys: list[str]) -> None:
+        """Encodes pieces; the first piece of a text has a space in front of its key, which no other key has."""
+        for found, key in zip(self.encode([k[1:] if k[:1] == " " else " " + k for k in keys]), keys):
+            at, to = len(self.place), self.used + len(found)
+            while to > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if at == len(self.first):
+                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+            self.flat[self.used : to] = found
+            self.place[key], self.first[at], self.count[at], self.used = at, self.used, len(found), to
+            self.chars += len(key)
+
+    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all pieces, and how many pieces each text has."""
+        if len(self.place) > self.most_pieces or self.chars > self.most_chars:
+            self._clear()
+        keys, sizes = [], []
+        for text in texts:
+            parts = pieces(text)
+            parts[0] = " " + parts[0]
+            keys += parts
+            sizes.append(len(parts))
+        missing = [k for k in dict.fromkeys(keys) if k not in self.place]
+        if missing:
+            self._add(missing)
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys)), np.array(sizes, np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        if not self.cut:
+            return np.array([len(x) for x in self.encode(texts)], np.int64)
+        if not texts:
+            return np.zeros(0, np.int64)
+        places, sizes = self._places(texts)
+        return np.add.reduceat(self.count[places], np.cumsum(sizes) - sizes)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cut:
+            return [np.array(x, np.uint32) for x in self.encode(texts)]
+        if not texts:
+            return []
+        places, sizes = self._places(texts)
+        count = self.count[places]
+        ends = np.cumsum(count)
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.first[places] - (ends - count), count)]
+        return np.split(flat, ends[np.cumsum(sizes) - 1][:-1])
+
+
+def by_bytes(texts: list[str], batch_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about batch_bytes characters each, one text at least."""
+    at = 0
+    while at < len(texts):
+        to, room = at, batch_bytes
+        while to < len(texts) and (to == at or room > 0):
+            room -= len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 21) -> DataFrame:
     """The input's columns (or the ones named) plus n_bytes (UTF-8), n_tokens and over_limit; input columns with these names are replaced.
 
-    Texts go through Arrow batches. They are encoded in calls of about `batch_bytes`, a longer text cut at boundaries
-    where the tokenizer breaks anyway (byte-level .json files only; other models take it whole), and only lengths come
-    back. A null text counts as empty: 0 bytes, 0 tokens. Special strings inside texts are read as the library does by default.
+    Texts go through Arrow batches and only lengths come back. They are encoded in batches of about `batch_bytes`, cut at
+    boundaries where the tokenizer breaks anyway (byte-level .json files only; other models take whole texts), so a long text is
+    many short pieces and a piece that was met before costs a look-up. A null text counts as empty: 0 bytes, 0 tokens.
+    Special strings inside texts are read as the library does by default.
     """
     path = tokenizer or tokenizer_path()
     kept = [c for c in (docs.columns if columns is None else columns) if c not in {"n_bytes", "n_tokens", "over_limit", "__text"}]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length_of, cut = _counter(path), _byte_level(path)
+        encoder = Encoder(path)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            lengths, held, rows, size = [0] * len(texts), [], [], 0
-
-            def flush():
-                for row, n in zip(rows, length_of(held)):
-                    lengths[row] += n
-                held.clear(), rows.clear()
-
-            for row, text in enumerate(texts):
-                for piece in pieces(text or "", piece_chars) if cut else [text or ""]:
-                    if piece:
-                        held.append(piece), rows.append(row)
-                        size += len(piece)
-                    if size >= batch_bytes:
-                        flush()
-                        size = 0
-            flush()
-            rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"]
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            lengths = [encoder.counts(texts[at:to]) for at, to in by_bytes(texts, batch_bytes)]
             names = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lengths, pa.int64())], names=[*names, "__n"])
+            found = pa.array(np.concatenate([np.zeros(0, np.int64), *lengths]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, "__n"])
 
     rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("__text"))
     rows = rows.withColumn("__bytes", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"))

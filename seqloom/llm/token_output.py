@@ -7,7 +7,6 @@ id counted) and frames (array of binary: the segment's ids cut every `block_ids`
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,20 +19,15 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import rangecoder
 from seqloom.llm.common import checkpointed, prefix_sums, scratch_folder
-from seqloom.llm.token_counts import tokenizer_path
+from seqloom.llm.token_counts import Encoder, by_bytes, tokenizer_path
 
 SEGMENT = "part long, seq int, doc_ids array<{id}>, n_tokens array<long>, frames array<binary>"
 
 
 def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: int, batch_bytes: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        bits = max(16, max(model.get_vocab_size() - 1, end_id).bit_length())
+        encoder = Encoder(path)
+        bits = max(16, max(encoder.size - 1, end_id).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[list, list, list]] = []  # ids of documents, their lengths, arrays of token ids
         docs, lengths, arrays, size, waiting = [], [], [], 0, 0
@@ -59,20 +53,14 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
             held.clear()
             return made
 
-        id_type = pa.int64()
+        id_type, end = pa.int64(), np.array([end_id], np.uint32)
         for batch in batches:
             id_type = batch.schema.field("__id").type
             ids, texts = batch.column("__id").to_pylist(), batch.column("__text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, room = at, batch_bytes
-                while to < len(texts) and (to == at or room > 0):
-                    room -= len(texts[to])
-                    to += 1
-                for doc, found in zip(ids[at:to], model.encode_batch_fast(texts[at:to], add_special_tokens=False)):
-                    tokens = np.array([*found.ids, end_id], np.uint32)
-                    docs.append(doc), lengths.append(len(tokens)), arrays.append(tokens)
-                    size += len(tokens)
+            for at, to in by_bytes(texts, batch_bytes):
+                for doc, found in zip(ids[at:to], encoder.ids(texts[at:to])):
+                    docs.append(doc), lengths.append(len(found) + 1), arrays.extend((found, end))
+                    size += len(found) + 1
                     if size >= segment_ids:
                         held.append((docs, lengths, arrays))
                         waiting += size
@@ -80,7 +68,6 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
                     if waiting >= lanes * block_ids:
                         yield rows()
                         waiting = 0
-                at = to
         if docs:
             held.append((docs, lengths, arrays))
         if held:
@@ -89,7 +76,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
     return encode
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 512, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 384, partitions: int | None = None, batch_bytes: int = 1 << 21) -> None:
     """Encodes every whole text (null: empty), appends `end_id`, and writes the ids in ascending order of id_col.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their text. A text that alone is longer than a
@@ -138,7 +125,7 @@ def _decoder(with_ids: bool, lanes: int):
     return decode
 
 
-def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 512) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 384) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids (or ids_crc32, their checksum).
 
     Blocks whose checksum or length is wrong raise ValueError.

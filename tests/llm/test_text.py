@@ -1,5 +1,6 @@
 """Token counts and output, substring dedup, near-duplicates, language ID against plain Python."""
 
+import functools
 import hashlib
 import random
 import re
@@ -18,7 +19,7 @@ from seqloom.llm.graph import components
 from seqloom.llm.langid import UNKNOWN, identify, train
 from seqloom.llm.minhash import least_matches, near_duplicates, one_of_each, shingle_sets
 from seqloom.llm.substring_dedup import remove_repeats
-from seqloom.llm.token_counts import count_tokens, pieces, tokenizer_path
+from seqloom.llm.token_counts import Encoder, count_tokens, pieces, tokenizer_path
 from seqloom.llm.token_output import read_token_ids, token_digest, write_token_ids
 
 from .conftest import ODD
@@ -26,6 +27,7 @@ from .conftest import ODD
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
+@functools.cache
 def tokenizer():
     from tokenizers import Tokenizer
 
@@ -53,17 +55,23 @@ def test_words_match_regex(texts):
 # ---- tokens
 
 
-def test_pieces_join_and_tokenize_alike():
-    text = "Some words, it's 12 o'clock  now\n\nand <|endoftext|> é a b c d. " * 50
-    cut = list(pieces(text, 40))
-    assert "".join(cut) == text and len(cut) > 20
-    model = tokenizer()
-    assert sum(len(model.encode(p, add_special_tokens=False)) for p in cut) == len(model.encode(text, add_special_tokens=False))
-    assert list(pieces("x" * 100, 10)) == ["x" * 100]
+ALPHABET = ["a", "b", "Z", "é", "ÿ", "3", "'s", "'", ",", "!!", " ", "  ", "\n", "\t", "\u2003", "\xa0", "<|endoftext|>", "\U0001f600", "日", "\u0301", "_", "×"]
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join), min_size=1, max_size=4))
+def test_pieces_tokenize_like_whole_texts(texts):
+    encoder = Encoder(tokenizer_path(), most_pieces=5)
+    for _ in range(2):
+        want = [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in encoder.ids(texts)] == want
+        assert encoder.counts(texts).tolist() == [len(x) for x in want]
+    for t in texts:
+        assert " ".join(pieces(t)) == t
 
 
 def test_token_counts(make):
-    got = count_tokens(make(ODD), piece_chars=1000, batch_bytes=5000).collect()
+    got = count_tokens(make(ODD), batch_bytes=5000).collect()
     model = tokenizer()
     assert len(got) == len(ODD)
     for r in got:
@@ -73,6 +81,8 @@ def test_token_counts(make):
     assert count_tokens(make(ODD), columns=["doc_id"]).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     pieces_model = count_tokens(make(ODD), tokenizer_path("piece_bpe_32k.model")).collect()
     assert {r.n_tokens for r in pieces_model if not r.text} == {0}
+    words = count_tokens(make(ODD), tokenizer_path("word_bpe_49k.json")).where("n_tokens > 1024").collect()
+    assert [r.doc_id for r in words] == [8]
 
 
 @settings(max_examples=40, deadline=None)
