@@ -63,31 +63,30 @@ def stats(df: DataFrame, *, all: bool = False, gap_letters: str = "- .", encodin
     return df.agg(*aggregates).join(quartiles).select(F.lit(label).alias("file"), "format", "type", "num_seqs", "sum_len", "min_len", "avg_len", "max_len", "Q1", "Q2", "Q3", "sum_gap", "N50", "L50", "Q20", "Q30")
 
 
-def _duplicates(df: DataFrame, by: str, ignore_case: bool, both_strands: bool, seq_type: str) -> tuple[DataFrame, Column]:
-    """Records with the first ordinal of their key. Keys are aggregated by hash and key, and records don't cross the cluster for it."""
-    strands = by == "seq" and both_strands and seq_type not in ONE_STRAND
-    return df, record_key(by, ignore_case, strands)
+def _key(by: str, ignore_case: bool, both_strands: bool, seq_type: str) -> Column:
+    return record_key(by, ignore_case, by == "seq" and both_strands and seq_type not in ONE_STRAND).alias("__key")
+
+
+def _firsts(df: DataFrame, key: Column) -> DataFrame:
+    """The first ordinal of each key: keys meet in an aggregate, whole records don't cross the cluster for it."""
+    return df.groupBy(key).agg(F.min("ordinal").alias("ordinal")).select("ordinal")
 
 
 def rmdup(df: DataFrame, *, by: str = "id", ignore_case: bool = False, both_strands: bool = True, seq_type: str = "auto") -> DataFrame:
     """The first record of each id, name or sequence; sequences count as equal to their reverse complement with both_strands."""
-    df, key = _duplicates(df, by, ignore_case, both_strands, seq_type)
-    firsts = df.groupBy(key.alias("__key")).agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    return df.join(firsts, "ordinal", "left_semi")
+    return df.join(_firsts(df, _key(by, ignore_case, both_strands, seq_type)), "ordinal", "left_semi")
 
 
 def rmdup_removed(df: DataFrame, *, by: str = "id", ignore_case: bool = False, both_strands: bool = True, seq_type: str = "auto") -> DataFrame:
     """The records that rmdup() drops."""
-    df, key = _duplicates(df, by, ignore_case, both_strands, seq_type)
-    firsts = df.groupBy(key.alias("__key")).agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    return df.join(firsts, "ordinal", "left_anti")
+    return df.join(_firsts(df, _key(by, ignore_case, both_strands, seq_type)), "ordinal", "left_anti")
 
 
 def rmdup_counts(df: DataFrame, *, by: str = "id", ignore_case: bool = False, both_strands: bool = True, seq_type: str = "auto") -> DataFrame:
     """n, ids: for each key of several records their number and their ids in order, joined by `, `."""
-    df, key = _duplicates(df, by, ignore_case, both_strands, seq_type)
-    shared = df.groupBy(key.alias("__key")).agg(F.count("*").alias("n")).where("n > 1")
-    rows = df.select(key.alias("__key"), "ordinal", "id").join(shared, "__key")
+    key = _key(by, ignore_case, both_strands, seq_type)
+    shared = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    rows = df.select(key, "ordinal", "id").join(shared, "__key")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]), ", ")
     return rows.groupBy("__key", "n").agg(ids.alias("ids")).select("n", "ids")
 
