@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = distinct.select("__key", F.posexplode("__bands").alias("__band", "__bucket"))
     buckets = placed.groupBy("__bucket").agg(F.min("__key").alias("a"), F.max("__key").alias("b"), F.count("*").alias("__size")).where("__size > 1")
     buckets = checkpointed(buckets)
+    # tables that buckets are joined with are written first: both sides are plain exchanges then, and a hot bucket can be split
     large = buckets.where("__size > 2").select("__bucket")
     members = placed.where(in_bitset(bitset(large, "__bucket"), F.col("__bucket"))).join(large, "__bucket", "left_semi")
     members = checkpointed(members)
@@ -277,7 +278,7 @@ def _leaders(members: DataFrame, links: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("__key")).groupBy("__key").agg(F.count("*").alias("__links"))
     ranked = members.join(degree, "__key", "left")
     best = F.max(F.struct(F.coalesce("__links", F.lit(0)), F.xxhash64("__key"), F.col("__key").alias("k")))
-    return ranked.groupBy("__bucket").agg(best.alias("__best")).select("__bucket", F.col("__best.k").alias("__leader"))
+    return checkpointed(ranked.groupBy("__bucket").agg(best.alias("__best")).select("__bucket", F.col("__best.k").alias("__leader")))
 
 
 def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -294,12 +295,12 @@ def _unsettled(members: DataFrame, labels: DataFrame, *also: str) -> DataFrame:
     mixed = rows.groupBy("__bucket").agg(*[x.alias(f"m{i}") for i, x in enumerate(several)])
     for i in range(len(several)):
         mixed = mixed.where(f"m{i}")
-    return checkpointed(rows.join(mixed.select("__bucket"), "__bucket", "left_semi"))
+    return checkpointed(rows.join(checkpointed(mixed.select("__bucket")), "__bucket", "left_semi"))
 
 
 def _grouped(members: DataFrame) -> DataFrame:
     """Adds __group: the smallest key that shares a bucket with the member."""
-    smallest = members.groupBy("__bucket").agg(F.min("__key").alias("__least"))
+    smallest = checkpointed(members.groupBy("__bucket").agg(F.min("__key").alias("__least")))
     groups = members.join(smallest, "__bucket").groupBy("__key").agg(F.min("__least").alias("__group"))
     return checkpointed(members.join(groups, "__key"))
 
@@ -307,7 +308,7 @@ def _grouped(members: DataFrame) -> DataFrame:
 def _spread(rows: DataFrame, by: str, block: int) -> DataFrame:
     """Deals the rows of each group that holds several components into chunks, one copy for each chunk that its own meets (__lo, __hi)."""
     sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("__chunks"), F.min("__label").alias("lo"), F.max("__label").alias("hi"))
-    spread = rows.join(sizes.where("lo <> hi").select(by, "__chunks"), by)
+    spread = rows.join(checkpointed(sizes.where("lo <> hi").select(by, "__chunks")), by)
     chunk = F.pmod(F.xxhash64("__key"), F.col("__chunks")).cast("int")
     spread = spread.select(*rows.columns, chunk.alias("__chunk"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__other"))
     return spread.select(*rows.columns, "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
