@@ -66,6 +66,14 @@ def seq(
     return df.select("ordinal", values[only].alias("value"))
 
 
+def seq_type(df: DataFrame, guess_length: int = 10_000) -> str:
+    """The type of a dataset: that of its first record's first letters (0: all of them). One small job; `auto` without records."""
+    if guess_length and guess_length < 1000:
+        raise ValueError("the guess takes 1000 letters at least, or all")
+    text = F.substring("seq", 1, guess_length) if guess_length else F.col("seq")
+    return df.agg(F.min_by(S.guess_type(text), "ordinal")).first()[0] or "auto"
+
+
 def fq2fa(df: DataFrame) -> DataFrame:
     return df.withColumn("qual", F.lit(None).cast("string"))
 

@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--merge", action="store_true", help="one file instead of a folder of parts")
     common.add_argument("--partitions", type=int, default=0)
     common.add_argument("--order", action="store_true", help="keep the order of the inputs")
+    common.add_argument("--alphabet-guess-seq-length", type=int, default=10_000, help="letters of the first record that tell the sequence type; 0: all")
+    common.add_argument("--quiet", action="store_true")
     common.add_argument("--multi-line", action="store_true", help="FASTQ records may span lines")
     top = argparse.ArgumentParser(prog="seqloom")
     subs = top.add_subparsers(dest="command", required=True)
@@ -31,7 +33,9 @@ def parser() -> argparse.ArgumentParser:
         sub = subs.add_parser(name, parents=[common], aliases=[a for a, n in ALIASES.items() if n == name])
         for option, kind in command.options.items():
             flag = "--" + option.replace("_", "-")
-            if kind is bool:
+            if option == "seq_type":
+                sub.add_argument("-t", flag, dest="opt_seq_type", choices=["auto", "dna", "rna", "protein", "unlimit"])
+            elif kind is bool:
                 sub.add_argument(flag, dest=f"opt_{option}", action="store_true", default=None)
             elif kind is list:
                 sub.add_argument(flag, dest=f"opt_{option}", action="append")
@@ -111,6 +115,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if regions:
         files, options = files[:1], options | {"region": [*options.get("region", []), *regions]}
     inputs = [None] if listing else [read(f) for f in files]
+    if "seq_type" in command.options and options.get("seq_type", "auto") == "auto" and not listing and args.command != "seq":
+        options["seq_type"] = O.seq_type(inputs[0], args.alphabet_guess_seq_length)
     result = run(spark, args.command, inputs, options, files, args.order)
     if command.output == "table":
         print(stats_table(result, bool(options.get("tabular"))))
@@ -119,7 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sinks.write_pairs(result, left, out_path(args, []), args.line_width, bool(options.get("force")))
     else:
         store(result, out_path(args, files), args)
-        keyed = {k: v for k, v in (("by", "seq" if options.get("by_seq") else "name" if options.get("by_name") else "id"), ("ignore_case", bool(options.get("ignore_case"))), ("both_strands", not options.get("only_positive_strand")))}
+        keyed = {"by": "seq" if options.get("by_seq") else "name" if options.get("by_name") else "id", "ignore_case": bool(options.get("ignore_case")), "both_strands": not options.get("only_positive_strand"), "seq_type": options.get("seq_type", "auto")}
         whole = inputs[0] if len(inputs) == 1 else O.union(*inputs, ordered=True) if args.command == "rmdup" else None
         if options.get("dup_seqs_file"):
             store(O.rmdup_removed(whole, **keyed), options["dup_seqs_file"], args)

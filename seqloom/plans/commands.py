@@ -25,6 +25,10 @@ class Command:
     options: dict = field(default_factory=dict)
 
 
+def _type(o: dict) -> str:
+    return o.get("seq_type") or "auto"
+
+
 def _patterns(spark: SparkSession, o: dict):
     return tables.read_patterns(spark, o["pattern_file"]) if o.get("pattern_file") else o.get("pattern") or []
 
@@ -33,7 +37,7 @@ def _grep(spark, dfs, o):
     mode = "degenerate" if o.get("degenerate") else "regexp" if o.get("use_regexp") else "exact"
     keep = {k: o[k] for k in ("max_mismatch", "region", "circular", "ignore_case") if o.get(k)}
     by = "seq" if o.get("by_seq") else "name" if o.get("by_name") else "id"
-    common = {"by": by, "mode": mode, "both_strands": not o.get("only_positive_strand"), "invert": bool(o.get("invert_match")), "first_per_pattern": bool(o.get("delete_matched"))}
+    common = {"by": by, "mode": mode, "both_strands": not o.get("only_positive_strand"), "invert": bool(o.get("invert_match")), "first_per_pattern": bool(o.get("delete_matched")), "seq_type": _type(o)}
     return (O.grep_count if o.get("count") else O.grep)(dfs[0], _patterns(spark, o), **common, **keep)
 
 
@@ -41,7 +45,7 @@ def _locate(spark, dfs, o):
     mode = "degenerate" if o.get("degenerate") else "regexp" if o.get("use_regexp") else "literal"
     patterns = fastx.read_fasta(spark, o["pattern_file"]) if o.get("pattern_file") else o.get("pattern") or []
     keep = {k: o[k] for k in ("max_mismatch", "non_greedy", "circular", "ignore_case", "use_fmi") if o.get(k)}
-    found = O.locate(dfs[0], patterns, mode=mode, both_strands=not o.get("only_positive_strand"), **keep)
+    found = O.locate(dfs[0], patterns, mode=mode, both_strands=not o.get("only_positive_strand"), seq_type=_type(o), **keep)
     if o.get("bed"):
         return found.select(sinks.bed_text().alias("value"))
     if o.get("gtf"):
@@ -91,7 +95,7 @@ def _by(o: dict) -> str:
 def _keyed(o: dict) -> dict:
     if o.get("only_positive_strand") and not o.get("by_seq"):
         raise ValueError("strands matter to sequences only")
-    return {"by": _by(o), "ignore_case": bool(o.get("ignore_case")), "both_strands": not o.get("only_positive_strand")}
+    return {"by": _by(o), "ignore_case": bool(o.get("ignore_case")), "both_strands": not o.get("only_positive_strand"), "seq_type": _type(o)}
 
 
 def _sort(spark, dfs, o):
@@ -108,7 +112,7 @@ def _translate(spark, dfs, o):
     if o.get("list_transl_table_with_amb_codons") is not None:
         return O.genetic_codes(spark, o["list_transl_table_with_amb_codons"], ambiguous=True).select(F.concat_ws("\t", "*").alias("value"))
     frames = tuple(int(x) for f in o.get("frame") or ["1"] for x in f.split(","))
-    return O.translate(dfs[0], table=o.get("transl_table") or 1, frames=frames, trim=bool(o.get("trim")), clean=bool(o.get("clean")), allow_unknown=bool(o.get("allow_unknown_codon")), init_as_m=bool(o.get("init_codon_as_M")), append_frame=bool(o.get("append_frame")))
+    return O.translate(dfs[0], table=o.get("transl_table") or 1, frames=frames, trim=bool(o.get("trim")), clean=bool(o.get("clean")), allow_unknown=bool(o.get("allow_unknown_codon")), init_as_m=bool(o.get("init_codon_as_M")), append_frame=bool(o.get("append_frame")), seq_type=_type(o))
 
 
 def _faidx(spark, dfs, o):
@@ -126,8 +130,8 @@ def _concat(spark, dfs, o):
     return out
 
 
-_STRANDS = {"by_name": bool, "by_seq": bool, "ignore_case": bool, "only_positive_strand": bool}
-_SEARCH = {"pattern": list, "pattern_file": str, "use_regexp": bool, "degenerate": bool, "ignore_case": bool, "only_positive_strand": bool, "circular": bool, "max_mismatch": int}
+_STRANDS = {"by_name": bool, "by_seq": bool, "ignore_case": bool, "only_positive_strand": bool, "seq_type": str}
+_SEARCH = {"pattern": list, "pattern_file": str, "use_regexp": bool, "degenerate": bool, "ignore_case": bool, "only_positive_strand": bool, "circular": bool, "max_mismatch": int, "seq_type": str}
 
 COMMANDS: dict[str, Command] = {
     "common": Command(lambda s, d, o: O.common(*d, **_keyed(o)), "several", options=_STRANDS),
@@ -151,7 +155,7 @@ COMMANDS: dict[str, Command] = {
     "sort": Command(_sort, "joined", options={"natural_order": bool, "by_seq": bool, "by_name": bool, "by_length": bool, "by_bases": bool, "reverse": bool, "ignore_case": bool, "seq_prefix_length": int}),
     "stats": Command(lambda s, d, o: O.stats(d[0], all=bool(o.get("all")), gap_letters=o.get("gap_letters") or "- .", encoding=o.get("fq_encoding") or "sanger", label=o["label"]), "each", "table", {"all": bool, "tabular": bool, "gap_letters": str, "fq_encoding": str}),
     "subseq": Command(_subseq, options={"region": str, "gtf": str, "bed": str, "chr": list, "feature": list, "up_stream": int, "down_stream": int, "only_flank": bool, "gtf_tag": str}),
-    "translate": Command(_translate, "per", "auto", {"transl_table": int, "frame": list, "trim": bool, "clean": bool, "allow_unknown_codon": bool, "init_codon_as_M": bool, "append_frame": bool, "list_transl_table": int, "list_transl_table_with_amb_codons": int}),
+    "translate": Command(_translate, "per", "auto", {"transl_table": int, "frame": list, "trim": bool, "clean": bool, "allow_unknown_codon": bool, "init_codon_as_M": bool, "append_frame": bool, "seq_type": str, "list_transl_table": int, "list_transl_table_with_amb_codons": int}),
 }
 ALIASES = {"concate": "concat", "dup": "duplicate"}
 

@@ -33,6 +33,12 @@ def test_commands(spark, fa, tmp_path, capsys):
     assert lines(spark, out) == [">s2:1-2", "TT"]
     go("translate", "--list-transl-table", "0")
     assert len(lines(spark, out)) == 24
+    proteins = tmp_path / "p.fa"
+    proteins.write_text(">p\nMKLEFQ\n>q\nQFELKM\n")
+    go("grep", "--pattern", "FQ", "--by-seq", str(proteins))
+    assert lines(spark, out) == [">p", "MKLEFQ"]
+    with pytest.raises(ValueError, match="DNA and RNA"):
+        go("translate", str(proteins))
     main(["stats", "--tabular", fa], spark)
     assert capsys.readouterr().out.splitlines()[1].split("\t")[1:5] == ["FASTA", "DNA", "3", "16"]
     with pytest.raises(ValueError):
