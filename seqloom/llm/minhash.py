@@ -342,7 +342,7 @@ def _confirmed(likely: DataFrame, rows: DataFrame, classes: DataFrame, words: in
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that near_duplicates() keeps, with their own columns."""
+    """The documents that near_duplicates() keeps, with their own columns. Rows that repeat an id stay or go together: they go if none is kept. Null ids stay."""
     found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.max("kept").alias("__any")).where(~F.col("__any")).select("__gone")
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
