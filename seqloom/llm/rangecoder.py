@@ -83,35 +83,35 @@ class Mixer:
         right2 = (self.sure2 > 0) & (self.id2 == value)
         hit = self.hits2[self.hit_at2]
         hit += ((right2.astype(np.int64) << 12) - hit) >> 5
-        self.hits2[self.hit_at2] = np.clip(hit, LEAST_HIT, MOST_HIT)
+        self.hits2[self.hit_at2] = np.minimum(np.maximum(hit, LEAST_HIT), MOST_HIT)
         right1 = (self.sure1 > 0) & (self.id1 == value)
         asked = self.two_ways & ~right2
         hit = self.hits1[self.hit_at1]
         hit += np.where(asked, ((right1.astype(np.int64) << 12) - hit) >> 5, 0)
-        self.hits1[self.hit_at1] = np.clip(hit, LEAST_HIT, MOST_HIT)
+        self.hits1[self.hit_at1] = np.minimum(np.maximum(hit, LEAST_HIT), MOST_HIT)
         self.next1[self.at1] = (np.where(right1, np.minimum(self.sure1 + 1, SURE), 1) << 28) | value
         self.next2[self.at2] = (np.where(right2, np.minimum(self.sure2 + 1, SURE), 1) << 28) | value
 
 
-def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that must move a word now; shortens the span of those that straddle."""
-    same = (low ^ (low + span)) < TOP
-    short = span < BOTTOM
-    short &= ~same
-    if short.any():
-        at = np.flatnonzero(short)
-        span[at] = (np.uint64(0) - low[at]) & LOW_MASK
-        same |= short
-    return np.flatnonzero(same)
-
-
 def _moves(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
-    """Lanes that move a word, until none must; a sound block needs few turns."""
+    """Lanes that must move a word, until none must; a sound block needs few turns. Shortens the span of lanes that straddle."""
+    at, lo, sp = None, low, span
     for _ in range(8):
-        move = _settle(low, span)
-        if not len(move):
+        must = (lo ^ (lo + sp)) < TOP
+        short = sp < BOTTOM
+        short &= ~must
+        if short.any():
+            cut = np.flatnonzero(short)
+            sp[cut] = (np.uint64(0) - lo[cut]) & LOW_MASK
+            if at is not None:
+                span[at[cut]] = sp[cut]
+            must |= short
+        found = must.nonzero()[0]
+        if not len(found):
             return
-        yield move
+        at = found if at is None else at[found]
+        yield at
+        lo, sp = low[at], span[at]
     raise ValueError("block is damaged")
 
 
@@ -119,20 +119,20 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """blocks: longest first."""
     lanes, longest = len(blocks), len(blocks[0])
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.int64)
-    dense = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((longest, lanes), np.int32)
+    dense = np.zeros((longest, lanes), np.int32)
     kinds = np.zeros(lanes, np.int64)
     for i, b in enumerate(blocks):
         found, place = np.unique(b, return_inverse=True)
         ids[: len(b), i], dense[: len(b), i], kinds[i] = b, place, len(found)
     width = int(kinds.max())
-    dense += np.arange(lanes) * width
+    dense += np.arange(lanes, dtype=np.int32) * np.int32(width)
     counts, before = np.zeros(lanes * width, np.int64), np.zeros(lanes * width, np.int64)
     out = np.empty((lanes, longest * 2 + 8), np.uint16)
     used = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, zero, marks = Mixer(lanes, bits), np.zeros(lanes, np.int64), iter(places(longest))
-    mark, counted = next(marks, -1), 0
+    mixer, marks = Mixer(lanes, bits), iter(places(longest))
+    mark, counted, last, last2 = next(marks, -1), 0, np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, "left"))
         if t == mark:
@@ -141,8 +141,8 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             before = (np.cumsum(by_lane, axis=1) - by_lane).ravel()
             mixer.learn(t, np.count_nonzero(by_lane[:n], axis=1))
             mark, counted = next(marks, -1), t
-        value, lo, sp = ids[t, :n], low[:n], span[:n]
-        a2, a12, known, unit, new = mixer.share(n, ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
+        value, lo, sp = ids[t, :n].astype(np.int64), low[:n], span[:n]
+        a2, a12, known, unit, new = mixer.share(n, last[:n], last2[:n])
         at = dense[t, :n]
         start, size = known + value * new, new
         times = counts[at]
@@ -161,6 +161,7 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             lo[move] <<= WORD
             sp[move] <<= WORD
         mixer.update(value)
+        last, last2 = value, last
     for _ in range(4):
         out[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
         used += 1
@@ -177,8 +178,8 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
     used = np.full(lanes, 4, np.int64)
     code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << WORD) | words[:, 3]
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, zero, marks = Mixer(lanes, bits), np.zeros(lanes, np.int64), iter(places(longest))
-    mark, ids = next(marks, -1), np.zeros((longest, lanes), np.int64)
+    mixer, marks, ids = Mixer(lanes, bits), iter(places(longest)), np.zeros((longest, lanes), np.int32)
+    mark, last, last2 = next(marks, -1), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     kind = np.uint16 if bits <= 16 else np.uint32
     known_id = first = times = None
     for t in range(longest):
@@ -189,20 +190,20 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
             head[:, 1:] = known[:, 1:] != known[:, :-1]
             head = head.ravel()
             heads = np.flatnonzero(head)
-            run = np.cumsum(head) - 1
+            run = np.cumsum(head, dtype=np.int32) - 1
             first, times = (heads % t).astype(np.int32)[run], np.diff(np.append(heads, n * t)).astype(np.int32)[run]
             known_id, row = known.ravel(), np.arange(n, dtype=np.int64) * t
             mixer.learn(t, head.reshape(n, t).sum(axis=1))
             mark = next(marks, -1)
         lo, sp, co = low[:n], span[:n], code[:n]
-        a2, a12, old, unit, new = mixer.share(n, ids[t - 1, :n] if t else zero[:n], ids[t - 2, :n] if t > 1 else zero[:n])
+        a2, a12, old, unit, new = mixer.share(n, last[:n], last2[:n])
         sp >>= np.uint64(24)
         goal = np.minimum((co - lo) // sp, np.uint64(WHOLE - 1)).astype(np.int64)
         value = np.minimum((goal - old) // new, (1 << bits) - 1)
         start, size = old + value * new, new
         if mixer.seen:
             is0 = goal < old
-            at = row[:n] + np.clip((goal - a12) // np.maximum(unit, 1), 0, mixer.seen - 1)
+            at = row[:n] + np.minimum(np.maximum((goal - a12) // np.maximum(unit, 1), 0), mixer.seen - 1)
             value = np.where(is0, known_id[at], value)
             start, size = np.where(is0, a12 + unit * first[at], start), np.where(is0, unit * times[at], size)
         is1 = goal < a12
@@ -217,7 +218,7 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
             lo[move] <<= WORD
             sp[move] <<= WORD
         mixer.update(value)
-        ids[t, :n] = value
+        ids[t, :n], last, last2 = value, value, last
     return ids
 
 
@@ -232,7 +233,7 @@ def head_of(frame: bytes) -> tuple:
     return struct.unpack_from(HEADER, frame)
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 512) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 448) -> list[bytes]:
     """One frame per block of ids; ids are below 2 ** bits, bits from 8 to 20."""
     if not 8 <= bits <= 20:
         raise ValueError("bits is 8 to 20")
@@ -248,7 +249,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 512) ->
     return frames
 
 
-def decode_frames(frames: list[bytes], lanes: int = 512) -> list[np.ndarray]:
+def decode_frames(frames: list[bytes], lanes: int = 448) -> list[np.ndarray]:
     """The ids of each frame; raises ValueError where a frame is damaged."""
     heads = [head_of(f) for f in frames]
     if any(len(f) != HEADER_BYTES + h[3] or h[3] % 2 for f, h in zip(frames, heads)):

@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,15 +72,18 @@ class Encoder:
 
     def _add(self, keys: list[str]) -> None:
         """Encodes pieces; the first piece of a text has a space in front of its key, which no other key has."""
-        for found, key in zip(self.encode([k[1:] if k[:1] == " " else " " + k for k in keys]), keys):
-            at, to = len(self.place), self.used + len(found)
-            while to > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.flat[self.used : to] = found
-            self.place[key], self.first[at], self.count[at], self.used = at, self.used, len(found), to
-            self.chars += len(key)
+        found = self.encode([k[1:] if k[:1] == " " else " " + k for k in keys])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        ends = self.used + np.cumsum(count)
+        at, to, used = len(self.place), len(self.place) + len(keys), int(ends[-1])
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while to > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+        self.first[at:to], self.count[at:to], self.used = ends - count, count, used
+        self.place.update(zip(keys, range(at, to)))
+        self.chars += sum(map(len, keys))
 
     def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all pieces, and how many pieces each text has."""
