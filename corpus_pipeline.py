@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, langid, minhash, mixing, token_output
-from seqloom.llm.common import scratch_folder, table
+from seqloom.llm.common import remove, scratch_folder, table
 
 #: A document stays if its language is certain to at least this degree.
 LEAST_CERTAIN = 0.5
@@ -57,6 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     out = STAGES[-1][1](spark, docs, sf_dir)  # complete when it returns
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     return out

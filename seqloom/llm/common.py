@@ -93,6 +93,14 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers and Arrow buffers hold a batch of whole texts: no more than this many rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Adds `out`: the sum of `amount` over smaller `order` (a long from 0) in the same group.
 

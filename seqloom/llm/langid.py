@@ -42,7 +42,7 @@ class LanguageModel:
                     break
         return tuple(x / found for x in total) if found else tuple(total)
 
-    def scorer(self, memo_words: int = 1 << 20):
+    def scorer(self, memo_words: int = 1 << 17):
         """text -> (language, its probability). The memo of word scores is emptied when it is full."""
         memo: dict[str, int] = {}
         table = np.zeros((memo_words + 1, len(self.langs)))
@@ -110,6 +110,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     Null, empty and letterless texts get `und` with score 0. Ties go to the language that sorts first.
     """
+    common.bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.longest))
 
     @F.pandas_udf("lang_pred string, score double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import bitset, checkpointed, in_bitset
+from seqloom.llm.common import bitset, bound_batches, checkpointed, in_bitset
 from seqloom.llm.graph import components
 
 
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the whole sequence counts as one. Rows that repeat an id and set are kept together. Null ids lose to any other; a
     component of null ids has component_id null and keeps its rows. Empty tables give an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     id_type = rows.schema["__id"].dataType.simpleString()
     sketches = checkpointed(rows.mapInArrow(_sketch(words, n_hashes, bands, seed), f"__id {id_type}, __n long, __key long, __sig binary, __bands array<long>"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import Scratch, bitset, checkpointed, in_bitset
+from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset
 
 STEP = wordhash.WORD_STEP
 UNSTEP = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -176,6 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if k <= CORE:
         raise ValueError(f"k must be above {CORE}")
+    bound_batches(docs.sparkSession)
     added = ["n_words", "n_removed", "spans", "kept_text"]
     kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
     text = F.col(text_col).cast("string")

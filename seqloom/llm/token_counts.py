@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm import common  # noqa: F401  (lets the code below travel to Python workers)
+from seqloom.llm import common
 
 #: Byte-level pre-tokenizers with the usual pattern always break before a space that something else than white space
 #: follows, and the part from there on is tokenized as if it stood alone. For other letters than these no break is assumed.
@@ -140,6 +140,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str =
     many short pieces and a piece that was met before costs a look-up. A null text counts as empty: 0 bytes, 0 tokens.
     Special strings inside texts are read as the library does by default.
     """
+    common.bound_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     kept = [c for c in (docs.columns if columns is None else columns) if c not in {"n_bytes", "n_tokens", "over_limit", "__text"}]
 

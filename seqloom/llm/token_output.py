@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import rangecoder
-from seqloom.llm.common import checkpointed, prefix_sums, scratch_folder
+from seqloom.llm.common import bound_batches, checkpointed, prefix_sums, remove, scratch_folder
 from seqloom.llm.token_counts import Encoder, by_bytes, tokenizer_path
 
 SEGMENT = "part long, seq int, doc_ids array<{id}>, n_tokens array<long>, frames array<binary>"
@@ -84,6 +84,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id
     An empty table gives files without rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, F.col("__id")).sortWithinPartitions("__id", F.xxhash64("__text"))
@@ -130,6 +131,7 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes:
 
     Blocks whose checksum or length is wrong raise ValueError.
     """
+    bound_batches(spark)
     files = spark.read.parquet(path)
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = files.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
@@ -148,6 +150,5 @@ def token_digest(docs: DataFrame, **options) -> DataFrame:
     path = f"{scratch_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     write_token_ids(docs, path, **options)
     found = checkpointed(read_token_ids(spark, path, with_ids=False))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, path)
     return found
