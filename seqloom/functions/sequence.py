@@ -127,19 +127,22 @@ def mismatches(window: Column, pattern: str) -> Column:
 def near(seq: Column, pattern: str, most: int) -> Column:
     """Start positions (from 1) of windows within `most` mismatches of the pattern, in order.
 
-    With at most m mismatches one of m + 1 pieces is exact, so sequences without any of the pieces are not scanned.
+    With at most m mismatches one of m + 1 pieces of the pattern is exact: the places of the pieces are found first, and only
+    the windows around them are compared. A pattern with fewer letters than pieces has all windows compared.
     """
     k = len(pattern)
     edges = [i * k // (most + 1) for i in range(most + 2)]
-    pieces = [pattern[a:b] for a, b in zip(edges, edges[1:])]
     none = F.array().cast("array<int>")
 
+    def around(text: Column, a: int, b: int) -> Column:
+        if a == b:
+            return F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(none)
+        return F.transform(match_starts(text, re.escape(pattern[a:b])), lambda i: i - a)
+
     def found(text: Column) -> Column:
-        some = F.lit("" in pieces)
-        for piece in pieces:
-            some = some | text.contains(piece)
-        windows = F.when((F.length(text) >= k) & some, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(none)
-        return F.filter(windows, lambda i: let(F.substring(text, i, k), lambda w: mismatches(w, pattern)) <= most)
+        spots = F.array_sort(F.array_distinct(F.concat(*[around(text, a, b) for a, b in zip(edges, edges[1:])])))
+        inside = F.filter(spots, lambda i: (i >= 1) & (i <= F.length(text) - k + 1))
+        return F.filter(inside, lambda i: let(F.substring(text, i, k), lambda w: mismatches(w, pattern)) <= most)
 
     return let(seq, found)
 
