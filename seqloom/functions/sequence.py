@@ -153,12 +153,29 @@ def match_starts(seq: Column, regexp: str) -> Column:
 
 
 def _match_starts(seq: Column, regexp: str) -> Column:
-    pieces = F.transform(F.split(seq, f"(?={regexp})"), lambda p: F.length(p))
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
-    rest = lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found")))["found"]
-    first = F.when(seq.rlike(f"\\A(?:{regexp})"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    found = let(pieces, lambda p: F.when(F.size(p) > 1, F.concat(first, rest(p))).otherwise(first))
-    return F.when(seq.rlike(regexp), found).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    first = F.when(seq.rlike(f"\\A(?:{regexp})"), F.array(F.lit(1))).otherwise(none)
+    lengths = F.transform(F.split(seq, f"(?={regexp})"), lambda p: F.length(p))
+    rest = let(lengths, lambda p: F.when(F.size(p) > 1, running_sums(F.slice(p, 1, F.size(p) - 1), 1)).otherwise(none))
+    return F.when(seq.rlike(regexp), F.concat(first, rest)).otherwise(none)
+
+
+def running_sums(values: Column, start: int, block: int = 256) -> Column:
+    """start + v1, start + v1 + v2, ... Sums are taken within blocks and over blocks, for an array grows by copying."""
+
+    def sums(part: Column, before: Column) -> Column:
+        zero = F.struct(before.cast("int").alias("at"), F.array().cast("array<int>").alias("found"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found"))
+        return F.aggregate(part, zero, step, lambda a: a["found"])
+
+    def over(v: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.call_function("div", F.size(v) - 1, F.lit(block)).cast("int"))
+        blocks = F.transform(cuts, lambda i: F.slice(v, i * block + 1, block))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+        before = F.concat(F.array(F.lit(start)), sums(totals, F.lit(start)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(before) - 1), sums))
+
+    return let(values, lambda v: F.when(F.size(v) > block, over(v)).otherwise(sums(v, F.lit(start))))
 
 
 def translate(seq: Column, frame: int = 1, table: int = 1, allow_unknown: bool = False, init_as_m: bool = False, clean: bool = False, trim: bool = False) -> Column:

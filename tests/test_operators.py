@@ -139,6 +139,12 @@ def test_locate_against_loops(spark):
     assert O.locate(records(spark, [("a", "")]), ["A"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums(spark, n):
+    df = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("v") if n else F.array().cast("array<int>").alias("v"))
+    assert df.select(S.running_sums(F.col("v"), 5).alias("s")).first().s == [5 + i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
 def test_two_inputs(spark):
     a = records(spark, [("x one", "AC", "II"), ("x two", "GG", "II"), ("y three", "T", "I")], 3)
     b = records(spark, [("x four", "TT", "55"), ("z five", "CCC", "555")], 2)
