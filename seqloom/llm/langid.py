@@ -32,25 +32,28 @@ class LanguageModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        padded, total, found = f" {word} ", [0.0] * len(self.langs), 0
+        padded, found, get = f" {word} ", [], self.grams.get
+        lengths = range(self.longest, 0, -1)
         for i in range(len(padded) - 1):
-            for n in range(min(self.longest, len(padded) - i), 0, -1):
-                score = self.grams.get(padded[i : i + n])
+            for n in lengths:
+                score = get(padded[i : i + n])
                 if score is not None:
-                    total = [a + b for a, b in zip(total, score)]
-                    found += 1
+                    found.append(score)
                     break
-        return tuple(x / found for x in total) if found else tuple(total)
+        return tuple([sum(x) / len(found) for x in zip(*found)]) if found else (0.0,) * len(self.langs)
 
     def scorer(self, memo_words: int = 1 << 17):
-        """text -> (language, its probability). The memo of word scores is emptied when it is full."""
-        memo: dict[str, int] = {}
-        table = np.zeros((memo_words + 1, len(self.langs)))
+        """text -> (language, its probability). The memo of word scores is emptied when it is full; it holds 4096 words at least."""
+        memo_words = max(memo_words, 4096)
+        table = np.zeros((memo_words, len(self.langs)))
 
-        def row(word: str) -> int:
-            memo[word] = at = len(memo)
-            table[at] = self.word(word)
-            return at
+        class Memo(dict):
+            def __missing__(memo, word: str) -> int:
+                memo[word] = at = len(memo)
+                table[at] = self.word(word)
+                return at
+
+        memo = Memo()
 
         def score(text: str | None) -> tuple[str, float]:
             words = LETTERS.findall(text.lower()) if text else []
@@ -61,7 +64,7 @@ class LanguageModel:
                 part = words[start : start + 4096]
                 if len(memo) + len(part) > memo_words:
                     memo.clear()
-                total += table[[memo[w] if w in memo else row(w) for w in part]].sum(axis=0)
+                total += table[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0)
             best = int(total.argmax())
             return self.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
 
