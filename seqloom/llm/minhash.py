@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import bitset, bound_batches, checkpointed, in_bitset
+from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset
 from seqloom.llm.graph import components
 
 
@@ -213,8 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Documents with equal shingle sets are one class from the start.
     Classes that share a band of their signatures are candidates. Groups are not paired off: first every bucket names a leader, and its
-    members are compared with it; then the member with most links is the leader. That joins almost all copies. Buckets whose
-    members are still in several components are settled in blocks of `block` by `block` rows: first the members that
+    members are compared with it, which joins most copies. Buckets whose members are still in several components are settled in blocks of `block` by `block` rows: first the members that
     share a smallest neighbour, once for all their buckets, then what is left bucket by bucket. Candidates are pruned by signature
     batches under the posterior bound, and survivors are confirmed on full sets. So all pairs that share a band and
     could join two components are judged, and none of a group's pairs is written out but those that join something. With
@@ -228,11 +227,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     id_type = rows.schema["__id"].dataType.simpleString()
-    sketches = checkpointed(rows.mapInArrow(_sketch(words, n_hashes, bands, seed), f"__id {id_type}, __n long, __key long, __sig binary, __bands array<long>"))
-    full = sketches.where("__n > 0")
-    classes = full.groupBy("__key").agg(F.min("__id").alias("__first"))
-    distinct = full.dropDuplicates(["__key"])
+    least = least_matches(batch, n_hashes, percent / 100, miss)
+    sets_of = lambda keys: _sets_of(keys, rows, classes, words)
+    with Scratch(docs.sparkSession) as scratch:
+        sketches = scratch.keep(rows.mapInArrow(_sketch(words, n_hashes, bands, seed), f"__id {id_type}, __n long, __key long, __sig binary, __bands array<long>"))
+        sizes = checkpointed(sketches.select("__id", "__n", "__key"))
+        full = sizes.where("__n > 0")
+        classes = checkpointed(full.groupBy("__key").agg(F.min("__id").alias("__first")))
+        distinct = scratch.keep(sketches.where("__n > 0").dropDuplicates(["__key"]).select("__key", "__sig", "__bands"))
+        labels = _labels(distinct, sets_of, batch, least, bands, percent, block)
 
+    smallest = labels.join(classes, labels["node"] == classes["__key"]).groupBy("component").agg(F.min("__first").alias("__smallest"))
+    known = labels.join(smallest, "component").select(F.col("node").alias("__key"), "__smallest")
+    named = classes.join(known, "__key", "left").select("__key", F.coalesce("__smallest", "__first").alias("component_id"))
+    some = full.join(named, "__key").select("__id", "__n", "component_id")
+    none = sizes.where("__n = 0").select("__id", "__n", F.col("__id").alias("component_id"))
+    return some.union(none).select(
+        F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def _labels(distinct: DataFrame, sets_of, batch: int, least: list[int], bands: int, percent: int, block: int) -> DataFrame:
+    """node, component of all classes that are linked with another."""
+    signatures = distinct.select("__key", "__sig")
     placed = distinct.select("__key", F.posexplode("__bands").alias("__band", "__bucket"))
     buckets = placed.groupBy("__bucket").agg(F.min("__key").alias("a"), F.max("__key").alias("b"), F.count("*").alias("__size")).where("__size > 1")
     buckets = checkpointed(buckets)
@@ -241,45 +258,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = placed.where(in_bitset(bitset(large, "__bucket"), F.col("__bucket"))).join(large, "__bucket", "left_semi")
     members = checkpointed(members)
 
-    signatures = distinct.select("__key", "__sig")
-    least = least_matches(batch, n_hashes, percent / 100, miss)
-    confirmed = lambda likely: _confirmed(likely, rows, classes, words, percent)
-    likely = lambda pairs: _both(pairs, signatures, "__sig").mapInArrow(_bayes(batch, least), "a long, b long")
     first = buckets.where("__size = 2").select("a", "b").union(_with_leaders(members, buckets.select("__bucket", F.col("a").alias("__leader"))))
-    links = checkpointed(confirmed(likely(first.distinct())))
-    labels = components(links)
-
-    members = _unsettled(members, labels)
-    links = checkpointed(links.union(confirmed(likely(_apart(_with_leaders(members, _leaders(members, links)).distinct(), labels)))))
+    likely = _both(first.distinct(), signatures, "__sig").mapInArrow(_bayes(batch, least), "a long, b long")
+    links = checkpointed(_confirmed(likely, sets_of, percent))
     labels = components(links)
 
     members = _grouped(_unsettled(members, labels))
     found = _spread(members.select("__group", "__key", "__label").distinct(), "__group", block).join(signatures, "__key")
-    found = found.join(_sets_of(found.select("__key").distinct(), rows, classes, words), "__key")
+    found = found.join(sets_of(found.select("__key").distinct()), "__key")
     links = checkpointed(links.union(found.groupBy("__group", "__lo", "__hi").applyInArrow(_settle(batch, least, percent), "a long, b long")))
     labels = components(links)
 
     members = _unsettled(members, labels, "__group")
-    found = _spread(members, "__bucket", block).join(signatures, "__key")
-    found = found.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(batch, least, bands), "a long, b long")
-    labels = components(checkpointed(links.union(confirmed(found))))
-
-    smallest = labels.join(classes, labels["node"] == classes["__key"]).groupBy("component").agg(F.min("__first").alias("__smallest"))
-    known = labels.join(smallest, "component").select(F.col("node").alias("__key"), "__smallest")
-    named = classes.join(known, "__key", "left").select("__key", F.coalesce("__smallest", "__first").alias("component_id"))
-    some = full.select("__id", "__n", "__key").join(named, "__key").select("__id", "__n", "component_id")
-    none = sketches.where("__n = 0").select("__id", "__n", F.col("__id").alias("component_id"))
-    return some.union(none).select(
-        F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
-
-
-def _leaders(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The member with most links of each bucket."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("__key")).groupBy("__key").agg(F.count("*").alias("__links"))
-    ranked = members.join(degree, "__key", "left")
-    best = F.max(F.struct(F.coalesce("__links", F.lit(0)), F.xxhash64("__key"), F.col("__key").alias("k")))
-    return checkpointed(ranked.groupBy("__bucket").agg(best.alias("__best")).select("__bucket", F.col("__best.k").alias("__leader")))
+    if members.limit(1).count():
+        found = _spread(members, "__bucket", block).join(signatures, "__key")
+        found = found.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(batch, least, bands), "a long, b long")
+        labels = components(checkpointed(links.union(_confirmed(found, sets_of, percent))))
+    return labels
 
 
 def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -315,13 +310,6 @@ def _spread(rows: DataFrame, by: str, block: int) -> DataFrame:
     return spread.select(*rows.columns, "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"__of_{c}")), c, "left")
-    return pairs.where(F.coalesce("__of_a", "a") != F.coalesce("__of_b", "b")).select("a", "b")
-
-
 def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     for c in ("a", "b"):
         pairs = pairs.join(values.select(F.col("__key").alias(c), F.col(name).alias(f"{name}_{c}")), c)
@@ -335,11 +323,11 @@ def _sets_of(keys: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -
     return sets.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
 
 
-def _confirmed(likely: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(likely: DataFrame, sets_of, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     likely = checkpointed(likely)
     keys = likely.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    return _both(likely, _sets_of(keys, rows, classes, words), "__set").mapInArrow(_confirm(percent), "a long, b long")
+    return _both(likely, sets_of(keys), "__set").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
