@@ -1,8 +1,13 @@
 """The pipeline's stages against brute force on a small corpus."""
 
+import os
 import random
 from collections import Counter
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from seqloom.llm.queries import QUERIES, SQL
 
@@ -55,3 +60,27 @@ def test_stages(spark, tmp_path):
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11)) and set(SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "mix", "tokens"]
+
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_held_out_accuracy(spark):
+    found = QUERIES["op9_language_id"](spark, D).join(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 20 and right >= 0.95 * n
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    got = QUERIES[name](spark, D)
+    columns = sorted(got.columns)
+    plain = lambda rows: sorted(repr([round(float(x), 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    want = con.sql(SQL[name])
+    assert sorted(want.columns) == columns
+    assert plain(got.select(*columns).collect()) == plain(want.select(*columns).fetchall())
