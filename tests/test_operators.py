@@ -222,3 +222,17 @@ def test_headers(spark):
     assert df.select(S.parse_header(F.col("name"), ncbi=True)[0].alias("i")).collect()[3].i == "NC_002516.2"
     with pytest.raises(ValueError):
         S.parse_header(F.col("name"), "^abc")
+
+
+def test_properties(spark):
+    draw = random.Random(9)
+    df = records(spark, [(f"r{i % 20} x", "".join(draw.choice("ACGTN") for _ in range(draw.randrange(40)))) for i in range(80)], 5)
+    both = O.seq(O.seq(df, reverse=True, complement=True), reverse=True, complement=True)
+    assert rows(both, "seq") == rows(df, "seq")
+    for options in ({"patterns": ["r3"]}, {"patterns": ["AC"], "by": "seq"}, {"patterns": ["A.C"], "by": "seq", "mode": "regexp"}):
+        assert O.grep(df, **options).count() + O.grep(df, **options, invert=True).count() == 80
+    assert O.rmdup(df, by="seq").count() + O.rmdup_removed(df, by="seq").count() == 80
+    other = df.where("ordinal % 3 = 0")
+    assert 2 * O.pair(df, other).count() + O.unpaired(df, other).count() == 80 + other.count()
+    renamed = O.rename(df)
+    assert renamed.select("id").distinct().count() == 80
