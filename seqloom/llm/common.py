@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +104,23 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def lean(function):
+    """An Arrow function that gives its memory back to the system when its task ends, since Spark keeps the worker for other tasks."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Adds `out`: the sum of `amount` over smaller `order` (a long from 0) in the same group.
 

@@ -80,7 +80,7 @@ def _log_frequencies(rows: list, langs: list[str], floor: float) -> dict[str, tu
     return {k: tuple(v) for k, v in out.items()}
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, most_words: int = 50_000, most_grams: int = 50_000, longest: int = 4, order_col: str = "doc_id") -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, most_words: int = 30_000, most_grams: int = 30_000, longest: int = 4, order_col: str = "doc_id") -> LanguageModel:
     """Learns from at most `most_rows` labelled rows: those with the smallest hash of `order_col`, a bounded sample by design.
 
     Words and n-grams are counted by Spark; the `most_words` and `most_grams` most frequent ones come to the driver, so the
@@ -118,9 +118,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = LanguageModel(*held.value).scorer()
-        for batch in texts:
-            yield pd.DataFrame([score(x) for x in batch], columns=["lang_pred", "score"])
+        def scored(batches):
+            score = LanguageModel(*held.value).scorer()
+            for batch in batches:
+                yield pd.DataFrame([score(x) for x in batch], columns=["lang_pred", "score"])
+
+        yield from common.lean(scored)(texts)
 
     kept = [c for c in docs.columns if c not in {"lang_pred", "score"}]
     found = docs.select(*kept, predict(F.col(text_col).cast("string")).alias("__found"))

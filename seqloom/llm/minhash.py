@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset
+from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset, lean
 from seqloom.llm.graph import components
 
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_matches(batch, n_hashes, percent / 100, miss)
     sets_of = lambda keys: _sets_of(keys, rows, classes, words)
     with Scratch(docs.sparkSession) as scratch:
-        sketches = scratch.keep(rows.mapInArrow(_sketch(words, n_hashes, bands, seed), f"__id {id_type}, __n long, __key long, __sig binary, __bands array<long>"))
+        sketches = scratch.keep(rows.mapInArrow(lean(_sketch(words, n_hashes, bands, seed)), f"__id {id_type}, __n long, __key long, __sig binary, __bands array<long>"))
         sizes = checkpointed(sketches.select("__id", "__n", "__key"))
         full = sizes.where("__n > 0")
         classes = checkpointed(full.groupBy("__key").agg(F.min("__id").alias("__first")))
@@ -259,7 +259,7 @@ def _labels(distinct: DataFrame, sets_of, batch: int, least: list[int], bands: i
     members = checkpointed(members)
 
     first = buckets.where("__size = 2").select("a", "b").union(_with_leaders(members, buckets.select("__bucket", F.col("a").alias("__leader"))))
-    likely = _both(first.distinct(), signatures, "__sig").mapInArrow(_bayes(batch, least), "a long, b long")
+    likely = _both(first.distinct(), signatures, "__sig").mapInArrow(lean(_bayes(batch, least)), "a long, b long")
     links = checkpointed(_confirmed(likely, sets_of, percent))
     labels = components(links)
 
@@ -319,7 +319,7 @@ def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
 def _sets_of(keys: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """__key, __set. One document of each class is read again; a bit set of fixed size keeps the other texts out."""
     read = bitset(classes.join(keys, "__key", "left_semi").select(F.xxhash64("__first").alias("h")), "h", 16)
-    sets = rows.where(in_bitset(read, F.xxhash64("__id"), 16)).select("__text").mapInArrow(_sets(words), "__key long, __set binary")
+    sets = rows.where(in_bitset(read, F.xxhash64("__id"), 16)).select("__text").mapInArrow(lean(_sets(words)), "__key long, __set binary")
     return sets.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
 
 
@@ -327,7 +327,7 @@ def _confirmed(likely: DataFrame, sets_of, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     likely = checkpointed(likely)
     keys = likely.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    return _both(likely, sets_of(keys), "__set").mapInArrow(_confirm(percent), "a long, b long")
+    return _both(likely, sets_of(keys), "__set").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

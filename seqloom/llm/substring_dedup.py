@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset
+from seqloom.llm.common import Scratch, bitset, bound_batches, checkpointed, in_bitset, lean
 
 STEP = wordhash.WORD_STEP
 UNSTEP = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -136,10 +136,10 @@ def _cut(k: int, others: list[str]):
 
 def _spans(named: DataFrame, k: int, log2_words: int, scratch: Scratch) -> DataFrame:
     """__id, __mark, __spans: the windows to remove from each document, as (start, number of windows)."""
-    cores = named.select("__id", "__text").mapInArrow(_cores(k), "__core long, __lo long, __hi long")
+    cores = named.select("__id", "__text").mapInArrow(lean(_cores(k)), "__core long, __lo long, __hi long")
     shared = cores.groupBy("__core").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi")).where("lo < hi")
     known = bitset(shared.select("__core"), "__core", log2_words)
-    chunks = scratch.keep(named.mapInArrow(_chunks(k, False), CHUNK).where(in_bitset(known, F.col("__core"), log2_words)))
+    chunks = scratch.keep(named.mapInArrow(lean(_chunks(k, False)), CHUNK).where(in_bitset(known, F.col("__core"), log2_words)))
 
     paths = scratch.keep(chunks.groupBy("__core", "__path").agg(F.min("__id").alias("__source")))
     settled = chunks.join(paths, ["__core", "__path"]).where("__source < __id").select("__id", "__mark", "__start", "__size")
@@ -147,7 +147,7 @@ def _spans(named: DataFrame, k: int, log2_words: int, scratch: Scratch) -> DataF
     branching = paths.groupBy("__core").agg(F.min("__source").alias("lo"), F.max("__source").alias("hi")).where("lo < hi").select("__core")
     sources = scratch.keep(paths.join(branching, "__core", "left_semi").withColumnRenamed("__source", "__id"))
     places = bitset(sources.select(F.xxhash64("__core", "__path", "__id").alias("h")), "h", log2_words)
-    open_chunks = named.mapInArrow(_chunks(k, True), CHUNK + ", __edges array<long>")
+    open_chunks = named.mapInArrow(lean(_chunks(k, True)), CHUNK + ", __edges array<long>")
     open_chunks = open_chunks.where(in_bitset(places, F.xxhash64("__core", "__path", "__id"), log2_words))
     open_chunks = open_chunks.join(sources, ["__core", "__path", "__id"], "left_semi")
     edges = scratch.keep(open_chunks.select("__core", "__id", "__mark", "__start", F.posexplode("__edges").alias("__at", "__edge")))
@@ -189,4 +189,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = whole.join(spans, ["__id", "__mark"], "left").drop("__id", "__mark")
     others = [f"__c{i}" for i in range(len(kept))]
     schema = joined.select(*others).schema.add("n_words", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()))).add("kept_text", "string")
-    return joined.mapInArrow(_cut(k, others), schema).withColumnsRenamed(dict(zip(others, kept)))
+    return joined.mapInArrow(lean(_cut(k, others)), schema).withColumnsRenamed(dict(zip(others, kept)))

@@ -132,7 +132,7 @@ def by_bytes(texts: list[str], batch_bytes: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 21) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
     """The input's columns (or the ones named) plus n_bytes (UTF-8), n_tokens and over_limit; input columns with these names are replaced.
 
     Texts go through Arrow batches and only lengths come back. They are encoded in batches of about `batch_bytes`, cut at
@@ -155,7 +155,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str =
 
     rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("__text"))
     rows = rows.withColumn("__bytes", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"))
-    out = rows.mapInArrow(count, rows.drop("__text").schema.add("__n", "long"))
+    out = rows.mapInArrow(common.lean(count), rows.drop("__text").schema.add("__n", "long"))
     return out.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)],
         F.col("__bytes").alias("n_bytes"),

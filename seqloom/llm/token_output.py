@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import rangecoder
-from seqloom.llm.common import bound_batches, checkpointed, prefix_sums, remove, scratch_folder
+from seqloom.llm.common import bound_batches, checkpointed, lean, prefix_sums, remove, scratch_folder
 from seqloom.llm.token_counts import Encoder, by_bytes, tokenizer_path
 
 SEGMENT = "part long, seq int, doc_ids array<{id}>, n_tokens array<long>, frames array<binary>"
@@ -76,7 +76,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
     return encode
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 448, partitions: int | None = None, batch_bytes: int = 1 << 21) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 384, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
     """Encodes every whole text (null: empty), appends `end_id`, and writes the ids in ascending order of id_col.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their text. A text that alone is longer than a
@@ -90,7 +90,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id
     rows = rows.repartitionByRange(n, F.col("__id")).sortWithinPartitions("__id", F.xxhash64("__text"))
     schema = SEGMENT.format(id=rows.schema["__id"].dataType.simpleString())
     encode = _encoder(tokenizer or tokenizer_path(), end_id, block_ids, segment_ids, lanes, batch_bytes)
-    rows.mapInArrow(encode, schema).write.mode("overwrite").parquet(path)
+    rows.mapInArrow(lean(encode), schema).write.mode("overwrite").parquet(path)
 
 
 def _decoder(with_ids: bool, lanes: int):
@@ -126,7 +126,7 @@ def _decoder(with_ids: bool, lanes: int):
     return decode
 
 
-def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 448) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 384) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids (or ids_crc32, their checksum).
 
     Blocks whose checksum or length is wrong raise ValueError.
@@ -139,7 +139,7 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes:
     parts = prefix_sums(parts, [], "part", "n", "__of_part").select("part", "__of_part")
     starts = prefix_sums(sizes, ["part"], "seq", "n", "__of_seq").select("part", "seq", "__of_seq").join(parts, "part")
     schema = f"part long, seq int, doc_id {id_type}, __begin long, n_tokens long, {'ids array<int>' if with_ids else 'ids_crc32 long'}"
-    found = files.mapInArrow(_decoder(with_ids, lanes), schema)
+    found = files.mapInArrow(lean(_decoder(with_ids, lanes)), schema)
     start = F.col("__of_part") + F.col("__of_seq") + F.col("__begin")
     return found.join(starts, ["part", "seq"]).select("doc_id", start.alias("start"), "n_tokens", "ids" if with_ids else "ids_crc32")
 

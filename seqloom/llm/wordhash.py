@@ -62,7 +62,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, step_bytes: int = 1 << 21) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, step_bytes: int = 1 << 19) -> np.ndarray:
     """One 64-bit hash per word, in steps that bound the memory."""
     out = np.empty(len(starts), np.uint64)
     lengths = ends - starts
@@ -91,7 +91,7 @@ def hash_runs(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def in_parts(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def in_parts(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about most_bytes of text each, one row at least."""
     sizes = np.cumsum(np.diff(buffers(texts)[1]))
     at = 0
