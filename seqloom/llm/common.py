@@ -89,6 +89,9 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         remove(self.spark, self.folder)
+        # shuffle files of the steps behind us go when the driver's JVM sees that nothing refers to them
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, folder: str) -> None:
