@@ -127,7 +127,7 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         ids[: len(b), i], dense[: len(b), i], kinds[i] = b, place, len(found)
     width = int(kinds.max())
     dense += np.arange(lanes, dtype=np.int32) * np.int32(width)
-    counts, before = np.zeros(lanes * width, np.int64), np.zeros(lanes * width, np.int64)
+    counts, before = np.zeros(lanes * width, np.int32), np.zeros(lanes * width, np.int32)
     out = np.empty((lanes, longest * 2 + 8), np.uint16)
     used = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -136,9 +136,9 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, "left"))
         if t == mark:
-            counts += np.bincount(dense[counted:t, :n].ravel(), minlength=lanes * width)
+            counts += np.bincount(dense[counted:t, :n].ravel(), minlength=lanes * width).astype(np.int32)
             by_lane = counts.reshape(lanes, width)
-            before = (np.cumsum(by_lane, axis=1) - by_lane).ravel()
+            before = (np.cumsum(by_lane, axis=1, dtype=np.int32) - by_lane).ravel()
             mixer.learn(t, np.count_nonzero(by_lane[:n], axis=1))
             mark, counted = next(marks, -1), t
         value, lo, sp = ids[t, :n].astype(np.int64), low[:n], span[:n]
@@ -233,7 +233,7 @@ def head_of(frame: bytes) -> tuple:
     return struct.unpack_from(HEADER, frame)
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 448) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 256) -> list[bytes]:
     """One frame per block of ids; ids are below 2 ** bits, bits from 8 to 20."""
     if not 8 <= bits <= 20:
         raise ValueError("bits is 8 to 20")
@@ -249,7 +249,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 448) ->
     return frames
 
 
-def decode_frames(frames: list[bytes], lanes: int = 448) -> list[np.ndarray]:
+def decode_frames(frames: list[bytes], lanes: int = 256) -> list[np.ndarray]:
     """The ids of each frame; raises ValueError where a frame is damaged."""
     heads = [head_of(f) for f in frames]
     if any(len(f) != HEADER_BYTES + h[3] or h[3] % 2 for f, h in zip(frames, heads)):

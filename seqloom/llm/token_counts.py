@@ -40,7 +40,7 @@ class Encoder:
     are `most_pieces` or `most_chars`, so the memory is bounded. Tokenizers without safe boundaries get whole texts.
     """
 
-    def __init__(self, path: str, most_pieces: int = 1 << 18, most_chars: int = 1 << 23):
+    def __init__(self, path: str, most_pieces: int = 1 << 17, most_chars: int = 1 << 22):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.most_pieces, self.most_chars = most_pieces, most_chars
         if path.endswith(".model"):

@@ -76,7 +76,7 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
     return encode
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 384, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 256, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
     """Encodes every whole text (null: empty), appends `end_id`, and writes the ids in ascending order of id_col.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their text. A text that alone is longer than a
@@ -126,7 +126,7 @@ def _decoder(with_ids: bool, lanes: int):
     return decode
 
 
-def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 384) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 256) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids (or ids_crc32, their checksum).
 
     Blocks whose checksum or length is wrong raise ValueError.
