@@ -262,6 +262,15 @@ def test_components(spark):
     assert set(got) == set(around)
 
 
+def test_components_long_path(spark):
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    path = [*zip(ids, ids[1:]), (9001, 9000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, 0) | {9000: 9000, 9001: 9000}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 # ---- language
 
 
