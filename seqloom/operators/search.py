@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +12,21 @@ from seqloom.functions import codes
 from seqloom.functions import sequence as S
 from seqloom.operators.keys import ONE_STRAND
 
-#: More patterns than this are joined, not written into one expression.
+#: More patterns than this are joined or searched in blocks, not written into one expression.
 INLINE = 1000
 
 
 def _listed(patterns: list[str] | DataFrame) -> list[str]:
-    """Patterns as a list; a search of sequences reads them all, so there may be INLINE at most."""
+    """Distinct patterns as a list, all of them."""
     if isinstance(patterns, DataFrame):
-        patterns = [r[0] for r in patterns.select("pattern").limit(INLINE + 1).collect()]
+        patterns = [r[0] for r in patterns.select("pattern").distinct().collect()]
     if not patterns or any(not p for p in patterns):
         raise ValueError("patterns are needed, none of them empty")
-    if len(patterns) > INLINE:
-        raise ValueError(f"sequences can be searched for {INLINE} patterns at a time")
-    return list(patterns)
+    return list(dict.fromkeys(patterns))
+
+
+def _blocks(items: list) -> list[list]:
+    return [items[i : i + INLINE] for i in range(0, len(items), INLINE)]
 
 
 def _check_letters(patterns: list[str]) -> None:
@@ -76,7 +79,8 @@ def grep(
 
     by id or name: the whole of it, or a regexp. by seq: anywhere, on both strands unless the type has one; degenerate patterns, mismatches and a region search
     sequences whatever `by` says. first_per_pattern keeps only the first record of each pattern, and is ignored with `invert` or mismatches.
-    patterns: a list, or a DataFrame with a column `pattern`; exact ids and names are then joined, however many there are.
+    patterns: a list, or a DataFrame with a column `pattern`; exact ids and names are then joined, however many there are. Other searches
+    hold all patterns on the driver and read the records once for each block of INLINE; ordinals must then differ.
     """
     if mode not in ("exact", "regexp", "degenerate"):
         raise ValueError("mode is exact, regexp or degenerate")
@@ -93,16 +97,17 @@ def grep(
         _check_letters(patterns)
         if max_mismatch > min(map(len, patterns)):
             raise ValueError("more mismatches than letters in a pattern")
-    hits = _hits(patterns, by, mode, max_mismatch, region, circular, both_strands and seq_type not in ONE_STRAND, ignore_case)
+    blocks = [_hits(b, by, mode, max_mismatch, region, circular, both_strands and seq_type not in ONE_STRAND, ignore_case) for b in _blocks(patterns)]
     if first_per_pattern and not invert and not max_mismatch:
-        # each pattern's smallest matching ordinal: one aggregate, then a join with as many rows as patterns at most
-        firsts = df.agg(*[F.min(F.when(h, F.col("ordinal"))).alias(f"f{i}") for i, h in enumerate(hits)])
-        firsts = firsts.select(F.explode(F.array(*[f"f{i}" for i in range(len(hits))])).alias("ordinal")).where("ordinal is not null").distinct()
-        return df.join(firsts, "ordinal", "left_semi")
-    found = F.lit(False)
-    for h in hits:
-        found = found | h
-    return df.where(~found if invert else found)
+        # each pattern's smallest matching ordinal: one aggregate a block, then a join with as many rows as patterns at most
+        firsts = [df.agg(*[F.min(F.when(h, F.col("ordinal"))).alias(f"f{i}") for i, h in enumerate(b)]).select(F.explode(F.array(*[f"f{i}" for i in range(len(b))])).alias("ordinal")) for b in blocks]
+        return df.join(reduce(DataFrame.union, firsts).where("ordinal is not null").distinct(), "ordinal", "left_semi")
+    founds = [reduce(Column.__or__, b, F.lit(False)) for b in blocks]
+    if len(founds) == 1:
+        return df.where(~founds[0] if invert else founds[0])
+    # a null condition is neither a hit nor the lack of one
+    marked = [df.where(F.coalesce(f, F.lit(invert))).select("ordinal") for f in founds]
+    return df.join(reduce(DataFrame.union, marked).distinct(), "ordinal", "left_anti" if invert else "left_semi")
 
 
 def _joined(df: DataFrame, patterns: list[str] | DataFrame, by: str, ignore_case: bool, invert: bool, first: bool) -> DataFrame:
@@ -130,17 +135,25 @@ def locate(
 
     Positions count from 1, the end is inclusive, on the plus strand also for hits on the minus strand. Hits may overlap; with non_greedy the next
     one begins behind the last, one base skipped. Regular expressions report no hit that lies within an earlier one. circular: the end may
-    lie beyond the sequence. patterns: name -> pattern, a list, or FASTA records (id, seq). use_fmi is a hint without effect.
+    lie beyond the sequence. patterns: name -> pattern, a list, or FASTA records (id, seq, and ordinal if they have it): the last one of an id
+    counts, and every id is searched, INLINE at a time. use_fmi is a hint without effect.
     """
     if isinstance(patterns, DataFrame):
-        patterns = {r["id"]: r["seq"] for r in patterns.select("id", "seq").limit(INLINE + 1).collect()}
+        ordered = patterns.orderBy("ordinal") if "ordinal" in patterns.columns else patterns
+        patterns = {r["id"]: r["seq"] for r in ordered.select("id", "seq").collect()}
     elif not isinstance(patterns, dict):
         patterns = {p: p for p in patterns}
     _listed(list(patterns.values()))
     if mode not in ("literal", "regexp", "degenerate") or (max_mismatch and mode != "literal") or (use_fmi and mode != "literal"):
         raise ValueError("mode is literal, regexp or degenerate; mismatches and the index go with literal patterns")
+    found = [_located(df, dict(b), mode, max_mismatch, non_greedy, circular, both_strands and seq_type not in ONE_STRAND, ignore_case, hide_matched) for b in _blocks(list(patterns.items()))]
+    return reduce(DataFrame.union, found)
+
+
+def _located(df: DataFrame, patterns: dict[str, str], mode: str, max_mismatch: int, non_greedy: bool, circular: bool, both_strands: bool, ignore_case: bool, hide_matched: bool) -> DataFrame:
+    """locate() for one block of patterns."""
     length = F.length("seq")
-    strands = [("+", F.col("seq"))] + ([("-", S.revcomp(F.col("seq")))] if both_strands and seq_type not in ONE_STRAND else [])
+    strands = [("+", F.col("seq"))] + ([("-", S.revcomp(F.col("seq")))] if both_strands else [])
     rows = []
     for strand, text in strands:
         doubled = F.concat(text, text) if circular else text

@@ -139,6 +139,20 @@ def test_locate_against_loops(spark):
     assert O.locate(records(spark, [("a", "")]), ["A"]).count() == 0
 
 
+def test_more_patterns_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr("seqloom.operators.search.INLINE", 2)
+    df = records(spark, [("a", "AACC"), ("b", "GGTA"), ("c", "TTTT"), ("d", "CACA")], 3)
+    file = records(spark, [("p", "GGG"), ("q", "GGT"), ("p", "AAC"), ("r", "TTT"), ("s", "CAC"), ("t", "ATG")], 1)
+    found = O.locate(df, file, both_strands=False)
+    assert sorted((r.seq_id, r.pattern_name, r.start) for r in found.collect()) == [("a", "p", 1), ("b", "q", 1), ("c", "r", 1), ("c", "r", 2), ("d", "s", 1)]
+    wanted = ["GGT", "AAC", "CAC", "AA", "CCCC", "GGT"]
+    for patterns in (wanted, spark.createDataFrame([(p,) for p in wanted], "pattern string")):
+        grep = lambda **options: rows(O.grep(df, patterns, both_strands=False, **options), "ordinal")  # noqa: B023, E731
+        assert grep(by="seq") == [(0,), (1,), (3,)] and grep(by="seq", invert=True) == [(2,)]
+        assert grep(by="seq", first_per_pattern=True) == [(0,), (1,), (3,)]
+    assert rows(O.grep(df, ["^a", "x", "y", "[cd]$"], mode="regexp"), "ordinal") == [(0,), (2,), (3,)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
 def test_running_sums(spark, n):
     df = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("v") if n else F.array().cast("array<int>").alias("v"))
