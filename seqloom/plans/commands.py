@@ -77,6 +77,7 @@ def _seq(spark, dfs, o):
     case = "lower" if o.get("lower_case") else "upper" if o.get("upper_case") else None
     to = "rna" if o.get("dna2rna") else "dna" if o.get("rna2dna") else None
     keep = {k: o[k] for k in ("reverse", "complement", "only_id", "remove_gaps", "gap_letters", "min_len", "max_len", "min_qual", "max_qual", "seq_type") if o.get(k)}
+    keep |= {k: o[n] for n, k in (("validate_seq_length", "validate_len"), ("qual_ascii_base", "qual_base")) if o.get(n) is not None}
     return O.seq(dfs[0], only=only, case=case, to=to, validate=bool(o.get("validate_seq")), **keep)
 
 
@@ -150,7 +151,7 @@ COMMANDS: dict[str, Command] = {
     "replace": Command(_replace, options={"pattern": str, "replacement": str, "nr_width": int, "by_seq": bool, "ignore_case": bool, "kv_file": str, "keep_untouch": bool, "keep_key": bool, "key_capt_idx": int, "key_miss_repl": str}),
     "rmdup": Command(lambda s, d, o: O.rmdup(d[0], **_keyed(o)), "joined", options=_STRANDS | {"dup_seqs_file": str, "dup_num_file": str}),
     "sample": Command(lambda s, d, o: O.sample(d[0], proportion=o.get("proportion"), number=o.get("number"), seed=11 if o.get("seed") is None else o["seed"]), "one", options={"proportion": float, "number": int, "seed": int}),
-    "seq": Command(_seq, "per", "auto", {k: bool for k in ("reverse", "complement", "name", "seq", "qual", "only_id", "remove_gaps", "lower_case", "upper_case", "dna2rna", "rna2dna", "validate_seq")} | {"gap_letters": str, "min_len": int, "max_len": int, "min_qual": float, "max_qual": float, "seq_type": str}),
+    "seq": Command(_seq, "per", "auto", {k: bool for k in ("reverse", "complement", "name", "seq", "qual", "only_id", "remove_gaps", "lower_case", "upper_case", "dna2rna", "rna2dna", "validate_seq")} | {"gap_letters": str, "min_len": int, "max_len": int, "min_qual": float, "max_qual": float, "seq_type": str, "validate_seq_length": int, "qual_ascii_base": int}),
     "shuffle": Command(lambda s, d, o: O.shuffle(d[0], 23 if o.get("seed") is None else o["seed"]), options={"seed": int}),
     "sort": Command(_sort, "joined", options={"natural_order": bool, "by_seq": bool, "by_name": bool, "by_length": bool, "by_bases": bool, "reverse": bool, "ignore_case": bool, "seq_prefix_length": int}),
     "stats": Command(lambda s, d, o: O.stats(d[0], all=bool(o.get("all")), gap_letters=o.get("gap_letters") or "- .", encoding=o.get("fq_encoding") or "sanger", label=o["label"]), "each", "table", {"all": bool, "tabular": bool, "gap_letters": str, "fq_encoding": str}),

@@ -45,6 +45,17 @@ def test_commands(spark, fa, tmp_path, capsys):
         go("sample", "--proportion", "1", fa, fa)
 
 
+def test_seq_validates_all_letters_and_knows_the_quality_base(spark, tmp_path):
+    out, fa, fq = (str(tmp_path / n) for n in ("out", "long.fa", "b.fq"))
+    (tmp_path / "long.fa").write_text(">s\n" + "ACGT" * 2500 + "!\n")
+    (tmp_path / "b.fq").write_text("@a\nAC\n+\nhh\n@b\nAC\n+\nBB\n")
+    main(["seq", "--validate-seq", fa, "-o", out, "--merge"], spark)
+    with pytest.raises(Exception, match="letters not of dna"):
+        main(["seq", "--validate-seq", "--validate-seq-length", "0", fa, "-o", out, "--merge"], spark)
+    main(["seq", "--min-qual", "20", "--qual-ascii-base", "64", "--name", fq, "-o", out, "--merge"], spark)
+    assert lines(spark, out) == ["a"]
+
+
 def test_pipe(spark, fa, tmp_path):
     job = tmp_path / "job.json"
     job.write_text(json.dumps({"cmd": ["rename"], "pipe": [{"cmd": ["head", "--number", "3", fa]}]}))
