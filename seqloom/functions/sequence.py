@@ -33,9 +33,9 @@ def canonical(seq: Column) -> Column:
 
 def check_region(start: int, end: int) -> None:
     if start == 0 or end == 0:
-        raise ValueError("both start and end should not be 0")
+        raise ValueError("positions count from 1, or from -1 backwards: 0 is none")
     if start < 0 < end:
-        raise ValueError("when start < 0, end should not be > 0")
+        raise ValueError("a region that begins from the end must end from the end too")
 
 
 def parse_span(region: str) -> tuple[int, int]:
@@ -79,8 +79,12 @@ def letter_class(letters: str) -> str:
 
 def mean_quality(qual: Column, base: int = 33) -> Column:
     """-10 log10 of the mean error probability; null for an empty quality."""
-    errors = F.transform(F.split(qual, ""), lambda c: F.pow(F.lit(10.0), (F.lit(base) - F.ascii(c)) / F.lit(10.0)))
-    total = F.aggregate(errors, F.lit(0.0), lambda a, x: a + x)
+
+    def errors(c: Column) -> Column:
+        """Of all letters that equal c."""
+        return F.pow(F.lit(10.0), (F.lit(base) - F.ascii(c)) / F.lit(10.0)) * (F.length(qual) - F.length(F.replace(qual, c, F.lit(""))))
+
+    total = F.aggregate(F.array_sort(F.array_distinct(F.split(qual, ""))), F.lit(0.0), lambda a, c: a + errors(c))
     return F.when(F.length(qual) > 0, F.lit(-10.0) * F.log10(total / F.length(qual)))
 
 
@@ -201,7 +205,7 @@ def translate(seq: Column, frame: int = 1, table: int = 1, allow_unknown: bool =
     if allow_unknown:
         protein = F.translate(protein, "?", "X")
     else:
-        protein = let(protein, lambda p: F.when(F.locate("?", p) > 0, F.raise_error(F.lit("unknown codon detected; allow_unknown=True translates it to X")).cast("string")).otherwise(p))
+        protein = let(protein, lambda p: F.when(F.locate("?", p) > 0, F.raise_error(F.lit("a codon without a reading; allow_unknown=True gives X for it")).cast("string")).otherwise(p))
     if clean:
         protein = F.translate(protein, "*", "X")
     return F.regexp_replace(protein, r"[X*]+\z", "") if trim else protein

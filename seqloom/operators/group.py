@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import codes
 from seqloom.functions import sequence as S
-from seqloom.operators.keys import ONE_STRAND, record_key
+from seqloom.operators.keys import ONE_STRAND, group_key, record_key
 
 OFFSETS = {"sanger": 33, "solexa": 64, "illumina-1.3+": 64, "illumina-1.5+": 64, "illumina-1.8+": 33}
 
@@ -64,7 +64,7 @@ def stats(df: DataFrame, *, all: bool = False, gap_letters: str = "- .", encodin
 
 
 def _key(by: str, ignore_case: bool, both_strands: bool, seq_type: str) -> Column:
-    return record_key(by, ignore_case, by == "seq" and both_strands and seq_type not in ONE_STRAND).alias("__key")
+    return group_key(by, ignore_case, by == "seq" and both_strands and seq_type not in ONE_STRAND).alias("__key")
 
 
 def _firsts(df: DataFrame, key: Column) -> DataFrame:
@@ -124,7 +124,7 @@ def faidx_index(df: DataFrame, *, full_head: bool = False, block: int = 4096) ->
         F.col("name" if full_head else "id").alias("name"),
         F.length("seq").cast("long").alias("length"),
         offset.cast("long").alias("offset"),
-        F.when(bad, F.raise_error(F.concat(F.lit("different line length in sequence: "), F.col("id"))).cast("long")).otherwise(first.cast("long")).alias("line_bases"),
+        F.when(bad, F.raise_error(F.concat(F.lit("lines differ in length before the last one of record "), F.col("id"))).cast("long")).otherwise(first.cast("long")).alias("line_bases"),
         F.when(first > 0, first + breaks).otherwise(0).cast("long").alias("line_width"),
         F.when(F.col("qual").isNotNull(), offset + F.length("seq") + breaks + 1 + breaks).cast("long").alias("qual_offset"),
     )

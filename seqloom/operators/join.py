@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
-from seqloom.operators.keys import ONE_STRAND, record_key
+from seqloom.operators.keys import ONE_STRAND, group_key
 from seqloom.sources.tables import parse_region
 
 
+#: Features of one chromosome that travel together.
+FEATURES = 10_000
+
+
 def common(first: DataFrame, *others: DataFrame, by: str = "id", ignore_case: bool = False, both_strands: bool = True, seq_type: str = "auto") -> DataFrame:
     """Records of the first input whose key is in all others, repeated ones too."""
     if not others:
         raise ValueError("at least two inputs are needed")
-    key = record_key(by, ignore_case, both_strands and seq_type not in ONE_STRAND)
+    key = group_key(by, ignore_case, both_strands and seq_type not in ONE_STRAND)
     out = first.withColumn("__key", key)
     for other in others:
         out = out.join(other.select(key.alias("__key")).distinct(), "__key", "left_semi")
@@ -66,7 +70,7 @@ def fa2fq(fq: DataFrame, fa: DataFrame, *, both_strands: bool = True) -> DataFra
     """The part of each FASTQ record that equals the FASTA sequence of its id, else the part of its reverse complement. Header: the id."""
     parts = fa.groupBy("id").agg(F.max_by("seq", "ordinal").alias("__part")) if "ordinal" in fa.columns else fa.select("id", F.col("seq").alias("__part"))
     rows = fq.join(parts, "id")
-    rows = rows.withColumn("qual", F.when(F.col("qual").isNull(), F.raise_error(F.lit("this operator only works for FASTQ records")).cast("string")).otherwise(F.col("qual")))
+    rows = rows.withColumn("qual", F.when(F.col("qual").isNull(), F.raise_error(F.lit("records need qualities here")).cast("string")).otherwise(F.col("qual")))
     size = F.length("__part")
     found = F.when(F.contains("seq", "__part"), F.struct(F.col("seq").alias("s"), F.col("qual").alias("q"), F.lit("+").alias("strand")))
     if both_strands:
@@ -96,7 +100,11 @@ def subseq_features(
         features = features.where(F.lower("chr").isin([c.lower() for c in chrs]))
     label = F.coalesce(F.try_element_at("attributes", F.lit(tag)), F.lit("")) if "attributes" in features.columns else F.coalesce("feat", F.lit(""))
     spots = features.select(F.lower("chr").alias("__chr"), F.col("s").alias("__s"), F.col("e").alias("__e"), F.coalesce("strand", F.lit(".")).alias("__strand"), label.alias("__label"))
-    rows = df.join(spots, F.lower("id") == F.col("__chr"))
+    # features of a chromosome come in arrays of about FEATURES: its sequence is sent once for each array, and cut where it is
+    many = spots.groupBy("__chr").agg(F.ceil(F.count("*") / FEATURES).cast("int").alias("__arrays"))
+    packed = spots.join(many, "__chr").groupBy("__chr", F.pmod(F.xxhash64("__s", "__e", "__strand", "__label"), F.col("__arrays")).alias("__array"))
+    packed = packed.agg(F.collect_list(F.struct("__s", "__e", "__strand", "__label")).alias("__spots")).drop("__array")
+    rows = df.join(packed, F.lower("id") == F.col("__chr")).withColumn("__spot", F.explode("__spots")).select(*df.columns, "__spot.*")
     s, e, minus = F.col("__s"), F.col("__e"), F.col("__strand") == "-"
     if only_flank and up > 0:
         begin, end = F.when(minus, e + 1).otherwise(s - up), F.when(minus, e + up).otherwise(s - 1)

@@ -56,7 +56,7 @@ def head_genome(df: DataFrame, min_words: int = 1) -> DataFrame:
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
     first = df.agg(F.min_by("descr", "ordinal").alias("__first"), F.min("ordinal").alias("__least"))
-    descr = F.when(F.col("descr") == "", F.raise_error(F.concat(F.lit("no description: "), F.col("id"))).cast("string")).otherwise(F.col("descr"))
+    descr = F.when(F.col("descr") == "", F.raise_error(F.concat(F.lit("a record without description: "), F.col("id"))).cast("string")).otherwise(F.col("descr"))
     rows = df.join(first).withColumn("__shared", S.shared_words(descr, F.col("__first")))
     second = rows.where("ordinal > __least").agg(F.min_by("__shared", "ordinal").alias("__second"))
     rows = rows.join(second, how="left")

@@ -189,8 +189,9 @@ def _spans(text: Column, p: str, mode: str, most: int, ignore_case: bool, length
         spans = F.transform(begins, lambda b: F.struct(b.alias("b"), (b + (len(p) - 1)).alias("e"), F.substring(text, b, len(p)).alias("t")))
     else:
         regexp = _regexp(p, mode, ignore_case)
-        matched = lambda b: F.regexp_extract(F.substring(text, b, 1 << 30), f"\\A(?:{regexp})", 0)
-        spans = F.transform(S.match_starts(text, regexp), lambda b: S.let(matched(b), lambda t: F.struct(b.alias("b"), (b + F.length(t) - 1).alias("e"), t.alias("t"))))
+        # what matches at each of these places, in the same order, in one more pass
+        matched = F.regexp_extract_all(text, F.lit(f"(?=({regexp}))"), F.lit(1))
+        spans = F.zip_with(S.match_starts(text, regexp), matched, lambda b, t: F.struct(b.alias("b"), (b + F.length(t) - 1).alias("e"), t.alias("t")))
     return spans if length is None else F.filter(spans, lambda x: x["b"] <= length)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import operators as O
-from seqloom.plans.commands import ALIASES, COMMANDS, run, run_pipe
+from seqloom.plans.commands import ALIASES, COMMANDS, LONG, SHORT, run, run_pipe
 from seqloom.sources import fastx, sinks
 
 
@@ -32,15 +32,17 @@ def parser() -> argparse.ArgumentParser:
     for name, command in COMMANDS.items():
         sub = subs.add_parser(name, parents=[common], aliases=[a for a, n in ALIASES.items() if n == name])
         for option, kind in command.options.items():
-            flag = "--" + option.replace("_", "-")
+            flags = ["--" + option.replace("_", "-"), *LONG.get(option, ())]
+            if short := SHORT.get(name, {}).get(option):
+                flags.insert(0, "-" + short)
             if option == "seq_type":
-                sub.add_argument("-t", flag, dest="opt_seq_type", choices=["auto", "dna", "rna", "protein", "unlimit"])
+                sub.add_argument("-t", *flags, dest="opt_seq_type", choices=["auto", "dna", "rna", "protein", "unlimit"])
             elif kind is bool:
-                sub.add_argument(flag, dest=f"opt_{option}", action="store_true", default=None)
+                sub.add_argument(*flags, dest=f"opt_{option}", action="store_true", default=None)
             elif kind is list:
-                sub.add_argument(flag, dest=f"opt_{option}", action="append")
+                sub.add_argument(*flags, dest=f"opt_{option}", action="append")
             else:
-                sub.add_argument(flag, dest=f"opt_{option}", type=kind)
+                sub.add_argument(*flags, dest=f"opt_{option}", type=kind)
         sub.add_argument("files", nargs="*")
     pipe = subs.add_parser("pipe", parents=[common])
     pipe.add_argument("job", help="a JSON tree of commands")

@@ -124,6 +124,12 @@ def _faidx(spark, dfs, o):
     return found.select("ordinal", F.col("head").alias("id"), F.col("head").alias("name"), F.lit("").alias("descr"), "seq", F.lit(None).cast("string").alias("qual"))
 
 
+def _needed(o: dict, option: str) -> str:
+    if not o.get(option):
+        raise ValueError(f"--{option.replace('_', '-')} is needed")
+    return o[option]
+
+
 def _concat(spark, dfs, o):
     out = dfs[0]
     for other in dfs[1:]:
@@ -138,7 +144,7 @@ COMMANDS: dict[str, Command] = {
     "common": Command(lambda s, d, o: O.common(*d, **_keyed(o)), "several", options=_STRANDS),
     "concat": Command(_concat, "several", options={"full": bool, "separator": str}),
     "duplicate": Command(lambda s, d, o: O.duplicate(d[0], 1 if o.get("times") is None else o["times"]), options={"times": int}),
-    "fa2fq": Command(lambda s, d, o: O.fa2fq(d[0], fastx.read_fasta(s, o["fasta_file"]), both_strands=not o.get("only_positive_strand")), options={"fasta_file": str, "only_positive_strand": bool}),
+    "fa2fq": Command(lambda s, d, o: O.fa2fq(d[0], fastx.read_fasta(s, _needed(o, "fasta_file")), both_strands=not o.get("only_positive_strand")), options={"fasta_file": str, "only_positive_strand": bool}),
     "faidx": Command(_faidx, "one", "auto", {"region": list, "region_file": str, "use_regexp": bool, "ignore_case": bool, "full_head": bool}),
     "fq2fa": Command(lambda s, d, o: O.fq2fa(d[0])),
     "grep": Command(_grep, "joined", "auto", _SEARCH | {"by_name": bool, "by_seq": bool, "delete_matched": bool, "invert_match": bool, "count": bool, "region": str}),
@@ -146,7 +152,7 @@ COMMANDS: dict[str, Command] = {
     "head-genome": Command(lambda s, d, o: O.head_genome(d[0], o.get("mini_common_words") or 1), options={"mini_common_words": int}),
     "locate": Command(_locate, "joined", "lines", _SEARCH | {"use_fmi": bool, "non_greedy": bool, "gtf": bool, "bed": bool, "hide_matched": bool}),
     "pair": Command(lambda s, d, o: O.pair(*d), "two", "pairs", {"save_unpaired": bool, "force": bool}),
-    "range": Command(lambda s, d, o: O.record_range(d[0], o["range"]), options={"range": str}),
+    "range": Command(lambda s, d, o: O.record_range(d[0], _needed(o, "range")), options={"range": str}),
     "rename": Command(lambda s, d, o: O.rename(d[0], by="name" if o.get("by_name") else "id"), options={"by_name": bool}),
     "replace": Command(_replace, options={"pattern": str, "replacement": str, "nr_width": int, "by_seq": bool, "ignore_case": bool, "kv_file": str, "keep_untouch": bool, "keep_key": bool, "key_capt_idx": int, "key_miss_repl": str}),
     "rmdup": Command(lambda s, d, o: O.rmdup(d[0], **_keyed(o)), "joined", options=_STRANDS | {"dup_seqs_file": str, "dup_num_file": str}),
@@ -158,6 +164,35 @@ COMMANDS: dict[str, Command] = {
     "subseq": Command(_subseq, options={"region": str, "gtf": str, "bed": str, "chr": list, "feature": list, "up_stream": int, "down_stream": int, "only_flank": bool, "gtf_tag": str}),
     "translate": Command(_translate, "per", "auto", {"transl_table": int, "frame": list, "trim": bool, "clean": bool, "allow_unknown_codon": bool, "init_codon_as_M": bool, "append_frame": bool, "seq_type": str, "list_transl_table": int, "list_transl_table_with_amb_codons": int}),
 }
+#: The usual short names of options; an upper-case or doubled meaning depends on the command.
+_KEYED = {"by_name": "n", "by_seq": "s", "ignore_case": "i", "only_positive_strand": "P"}
+_FOUND = {"pattern": "p", "pattern_file": "f", "use_regexp": "r", "degenerate": "d", "ignore_case": "i", "only_positive_strand": "P", "max_mismatch": "m", "circular": "c"}
+SHORT: dict[str, dict[str, str]] = {
+    "common": _KEYED,
+    "concat": {"full": "f", "separator": "s"},
+    "duplicate": {"times": "n"},
+    "fa2fq": {"fasta_file": "f", "only_positive_strand": "P"},
+    "faidx": {"use_regexp": "r", "ignore_case": "i", "full_head": "f", "region_file": "l"},
+    "grep": _FOUND | _KEYED | {"invert_match": "v", "region": "R", "count": "C"},
+    "head": {"number": "n"},
+    "head-genome": {"mini_common_words": "m"},
+    "locate": _FOUND | {"use_fmi": "F", "non_greedy": "G", "hide_matched": "M"},
+    "pair": {"save_unpaired": "u", "force": "f"},
+    "range": {"range": "r"},
+    "rename": {"by_name": "n"},
+    "replace": {"pattern": "p", "replacement": "r", "by_seq": "s", "ignore_case": "i", "kv_file": "k", "keep_untouch": "U", "keep_key": "K", "key_capt_idx": "I", "key_miss_repl": "m"},
+    "rmdup": _KEYED | {"dup_seqs_file": "d", "dup_num_file": "D"},
+    "sample": {"seed": "s", "number": "n", "proportion": "p"},
+    "seq": {"reverse": "r", "complement": "p", "name": "n", "seq": "s", "qual": "q", "only_id": "i", "remove_gaps": "g", "gap_letters": "G", "lower_case": "l", "upper_case": "u", "validate_seq": "v",
+            "validate_seq_length": "V", "min_len": "m", "max_len": "M", "qual_ascii_base": "b", "min_qual": "Q", "max_qual": "R"},
+    "shuffle": {"seed": "s"},
+    "sort": {"natural_order": "N", "by_name": "n", "by_seq": "s", "by_length": "l", "by_bases": "b", "reverse": "r", "ignore_case": "i", "seq_prefix_length": "L"},
+    "stats": {"tabular": "T", "gap_letters": "G", "all": "a", "fq_encoding": "E"},
+    "subseq": {"region": "r", "up_stream": "u", "down_stream": "d", "only_flank": "f"},
+    "translate": {"transl_table": "T", "frame": "f", "allow_unknown_codon": "x", "init_codon_as_M": "M", "list_transl_table": "l", "list_transl_table_with_amb_codons": "L", "append_frame": "F"},
+}
+#: Long names that mean the same.
+LONG = {"seed": ["--rand-seed"]}
 ALIASES = {"concate": "concat", "dup": "duplicate"}
 
 

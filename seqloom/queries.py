@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import operators as O
 from seqloom.operators.order import hash_place, with_rank
+from seqloom.functions.sequence import wrap
+from seqloom.sources import fastx, sinks, tables
 from seqloom.sources.sinks import bed_text
 
 # ---- views: records made from the table of documents
@@ -30,11 +37,13 @@ def dup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    return dup(spark, d).where("ordinal % 3 <> 0")
+    return dup(spark, d)
 
 
 def r2(spark: SparkSession, d: str) -> DataFrame:
-    return dup(spark, d).where("ordinal % 4 <> 0 and (ordinal % 97) % 5 <> 0")
+    """All records again, under other ids, two thirds of them with other sequences."""
+    new, size = F.concat(F.lit("g"), (F.col("ordinal") % 131).cast("string")), F.greatest(F.length("seq") - (F.col("ordinal") % 3).cast("int"), F.lit(0))
+    return reads(spark, d).withColumns({"id": new, "name": F.concat(new, F.lit(" "), "descr"), "seq": F.substring(F.col("seq"), F.lit(1), size), "qual": F.substring(F.col("qual"), F.lit(1), size)})
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +79,9 @@ _VIEWS = {
     "fx_reads": """SELECT doc_id AS ordinal, concat('d', doc_id) AS id, concat('d', doc_id, ' ', lang, ' ', source) AS name, concat(lang, ' ', source) AS descr,
       regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq, translate(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 'ACGT', '5?I#') AS qual FROM documents""",
     "fx_dup": "SELECT ordinal, concat('g', ordinal % 97) AS id, concat('g', ordinal % 97, ' ', descr) AS name, descr, seq, qual FROM fx_reads",
-    "fx_r1": "SELECT * FROM fx_dup WHERE ordinal % 3 <> 0",
-    "fx_r2": "SELECT * FROM fx_dup WHERE ordinal % 4 <> 0 AND (ordinal % 97) % 5 <> 0",
+    "fx_r1": "SELECT * FROM fx_dup",
+    "fx_r2": """SELECT ordinal, concat('g', ordinal % 131) AS id, concat('g', ordinal % 131, ' ', descr) AS name, descr,
+      substring(seq, 1, CAST(greatest(length(seq) - ordinal % 3, 0) AS BIGINT)) AS seq, substring(qual, 1, CAST(greatest(length(qual) - ordinal % 3, 0) AS BIGINT)) AS qual FROM fx_reads""",
     "fx_gaps": "SELECT doc_id AS ordinal, concat('d', doc_id) AS id, regexp_replace(upper(text), '[^ACGT .-]', '', 'g') AS seq FROM documents",
     "fx_kv": "SELECT concat('d', doc_id) AS k, concat('q', quality) AS v FROM labels",
     "fx_bed": """SELECT id AS chr, CAST(10 + ordinal % 50 AS BIGINT) AS s, CAST(29 + ordinal % 50 AS BIGINT) AS e, concat('f', ordinal) AS feat,
@@ -448,9 +458,9 @@ def sort_id(s, d):
     return with_rank(O.sort(dup(s, d)).select("ordinal"))
 
 
-@_query(_sorted("substring(seq, 1, 20) DESC, ordinal") + "fx_reads")
+@_query(_sorted("seq DESC, ordinal") + "fx_reads")
 def sort_seq(s, d):
-    return with_rank(O.sort(reads(s, d), by="seq", prefix=20, reverse=True).select("ordinal"))
+    return with_rank(O.sort(reads(s, d), by="seq", prefix=0, reverse=True).select("ordinal"))
 
 
 @_query(_sorted("length(seq), ordinal") + "fx_reads")
@@ -490,6 +500,13 @@ def head_genome(s, d):
     return O.head_genome(reads(s, d)).select("ordinal", "id")
 
 
+@_query("SELECT ordinal, id FROM fx_reads WHERE ordinal < 20")
+def head_genome_strains(s, d):
+    """Strains of twenty records each: the first strain is the head."""
+    rows = reads(s, d).withColumn("descr", F.concat(F.lit("Some species strain s"), F.floor(F.col("ordinal") / 20)))
+    return O.head_genome(rows, 2).select("ordinal", "id")
+
+
 _PLACE = "CAST('0x' || substr(md5('{}:' || ordinal), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
 
 
@@ -518,6 +535,174 @@ def union_order(s, d):
     return O.union(r1(s, d), r2(s, d), ordered=True).select("ordinal", "id")
 
 
+# ---- files: written from the tables, and read back
+
+
+def _place(spark: SparkSession) -> str:
+    """A new folder among the checkpoints, which all executors share; a local session without that setting has one of its own."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="seqloom-files-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return f"{top}/files-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, ending: str, **options) -> str:
+    path = f"{_place(df.sparkSession)}{ending}"
+    sinks.write_fastx(df, path, **options)
+    return path
+
+
+def _lines(df: DataFrame, *columns, ending: str = ".tsv") -> str:
+    path = f"{_place(df.sparkSession)}{ending}"
+    sinks.write_text(df, F.concat_ws("\t", *columns), path, order=None)
+    return path
+
+
+_WHOLE = ("ordinal", "id", "name", "descr", "seq", "qual")
+
+
+@_query("SELECT ordinal, id, name, descr, seq, CAST(NULL AS VARCHAR) AS qual FROM fx_reads")
+def file_fasta(s, d):
+    return fastx.read_fasta(s, _written(O.fq2fa(reads(s, d)), ".fa")).select(*_WHOLE)
+
+
+@_query("SELECT ordinal, id, name, descr, seq, CAST(NULL AS VARCHAR) AS qual FROM fx_reads")
+def file_fasta_partitions(s, d):
+    path = _written(O.fq2fa(reads(s, d)), ".fasta", width=0, partitions=5)
+    return fastx.read_fasta(s, path, min_partitions=7).select(*_WHOLE)
+
+
+@_query("SELECT ordinal, id, name, descr, seq, qual FROM fx_reads")
+def file_fastq(s, d):
+    return fastx.read_fastq(s, _written(reads(s, d), ".fq")).select(*_WHOLE)
+
+
+@_query("SELECT ordinal, id, name, descr, seq, qual FROM fx_reads")
+def file_fastq_partitions(s, d):
+    return fastx.read_fastq(s, _written(reads(s, d), ".fastq", merge=True), min_partitions=7).select(*_WHOLE)
+
+
+@_query("SELECT ordinal, id, seq, '@' || substring(qual, 2) AS qual FROM fx_reads WHERE length(seq) > 0")
+def file_fastq_torn(s, d):
+    """Qualities that begin like a header."""
+    rows = O.seq(reads(s, d), min_len=1).withColumn("qual", F.concat(F.lit("@"), F.substring("qual", 2, 1 << 30)))
+    back = fastx.read_fastq(s, _written(rows, ".fq"))
+    return back.select(F.substring("id", 2, 20).cast("long").alias("ordinal"), "id", "seq", "qual")
+
+
+@_query("SELECT ordinal, id, seq, qual FROM fx_reads WHERE length(seq) > 0")
+def file_fastq_multi_line(s, d):
+    rows = O.seq(reads(s, d), min_len=1)
+    path = f"{_place(s)}.fq"
+    fold = lambda c: wrap(F.col(c), 70)
+    sinks.write_text(rows, F.concat(F.lit("@"), "name", F.lit("\n"), fold("seq"), F.lit("\n+\n"), fold("qual")), path)
+    back = fastx.read_fastq(s, path, multi_line=True)
+    return back.select(F.substring("id", 2, 20).cast("long").alias("ordinal"), "id", "seq", "qual")
+
+
+@_query("SELECT ordinal, id, seq, CAST(NULL AS VARCHAR) AS qual FROM fx_reads UNION ALL SELECT ordinal + (SELECT max(ordinal) + 1 FROM fx_reads), id, seq, qual FROM fx_reads")
+def file_sniffed(s, d):
+    """A FASTA and a FASTQ folder without telling endings, from a list of inputs."""
+    paths = [_written(O.fq2fa(reads(s, d)), ""), _written(reads(s, d), "")]
+    listed = _lines(s.createDataFrame([(p,) for p in paths], "p string"), "p", ending=".txt")
+    return O.union(*[fastx.read_auto(s, p) for p in sorted(fastx.read_list(s, listed), key=paths.index)], ordered=True).select("ordinal", "id", "seq", "qual")
+
+
+@_query("SELECT ordinal, regexp_extract(name, 'src(\\d+)$', 1) AS found, 'x' || ordinal AS ncbi FROM fx_reads")
+def file_header_ids(s, d):
+    """Ids by a regular expression, and between bars."""
+    plain = O.fq2fa(reads(s, d))
+    bars = plain.withColumn("name", F.concat(F.lit("gi|1|ref|x"), "ordinal", F.lit("| y")))
+    one = fastx.read_fasta(s, _written(plain, ".fa"), id_regexp=r"src(\d+)$").select("ordinal", F.col("id").alias("found"))
+    return one.join(fastx.read_fasta(s, _written(bars, ".fa"), ncbi=True).select("ordinal", F.col("id").alias("ncbi")), "ordinal")
+
+
+@_query("SELECT ordinal, id FROM fx_reads WHERE id IN (SELECT k FROM fx_kv WHERE v = 'q0')")
+def file_patterns(s, d):
+    wanted = tables.read_patterns(s, _lines(key_values(s, d).where("v = 'q0'"), "k", ending=".txt"))
+    return O.grep(reads(s, d), wanted).select("ordinal", "id")
+
+
+@_query("SELECT ordinal, concat(id, ':', coalesce(v, 'none'), ' ', descr) AS name FROM fx_reads LEFT JOIN fx_kv ON k = id")
+def file_key_values(s, d):
+    kv = tables.read_key_values(s, _lines(key_values(s, d), "k", "v"))
+    return O.replace(reads(s, d), r"^(d\d+) ", "$1:{kv} ", kv=kv, on_miss="replace", miss_text="none").select("ordinal", "name")
+
+
+@_query("SELECT chr, s, e, feat, strand FROM fx_bed")
+def file_bed(s, d):
+    return tables.read_bed(s, _lines(bed(s, d).select("chr", F.col("s") - 1, "e", "feat", F.lit("0").alias("score"), "strand"), "*", ending=".bed")).select("chr", "s", "e", "feat", "strand")
+
+
+@_query("SELECT chr, s, e, strand, CASE WHEN s % 3 = 0 THEN 'CDS' ELSE 'exon' END AS type, concat('gene_', feat) AS gene, 'x' AS source FROM fx_bed")
+def file_gtf(s, d):
+    rows = gtf(s, d).select("chr", F.lit("made"), "type", "s", "e", F.lit("."), "strand", F.lit("."), F.concat(F.lit('gene_id "'), F.col("attributes")["gene_id"], F.lit('"; source "x";')))
+    back = tables.read_gtf(s, _lines(rows, "*", ending=".gtf"))
+    return back.select("chr", "s", "e", "strand", "type", F.col("attributes")["gene_id"].alias("gene"), F.col("attributes")["source"].alias("source"))
+
+
+@_query("SELECT concat('d', doc_id, ':2-', 2 + doc_id % 7) AS head, substring(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 2, CAST(1 + doc_id % 7 AS BIGINT)) AS seq FROM documents WHERE doc_id < 30 AND length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) >= 2")
+def file_regions(s, d):
+    """Thirty regions from a file; a region list is short."""
+    regions = s.range(30).select(F.concat(F.lit("d"), "id", F.lit(":2-"), F.col("id") % 7 + 2).alias("r"))
+    return O.faidx_query(reads(s, d), tables.read_regions(s, _lines(regions, "r", ending=".txt"))).select("head", "seq")
+
+
+@_query("""SELECT id AS name, CAST(length(seq) AS BIGINT) AS length,
+  CAST(coalesce(sum(length(name) + 6 + 2 * length(seq)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(name) + 2 AS BIGINT) AS "offset",
+  CAST(length(seq) AS BIGINT) AS line_bases, CAST(CASE WHEN length(seq) = 0 THEN 0 ELSE length(seq) + 1 END AS BIGINT) AS line_width,
+  CAST(coalesce(sum(length(name) + 6 + 2 * length(seq)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(name) + length(seq) + 5 AS BIGINT) AS qual_offset FROM fx_reads""")
+def file_fastq_index(s, d):
+    """An index of FASTQ records, written and read again."""
+    path = f"{_place(s)}.fai"
+    sinks.write_index(O.faidx_index(reads(s, d).withColumn("raw", sinks.fastx_text())), path)
+    return tables.read_index(s, path).select("name", "length", "offset", "line_bases", "line_width", "qual_offset")
+
+
+@_query(f"SELECT side, ordinal, id, seq FROM (SELECT 1 AS side, a.ordinal, a.id, a.seq FROM {_ROWS.format('fx_r1')} a JOIN {_ROWS.format('fx_r2')} b USING (id, k) UNION ALL SELECT 2, b.ordinal, b.id, b.seq FROM {_ROWS.format('fx_r1')} a JOIN {_ROWS.format('fx_r2')} b USING (id, k))")
+def file_pairs(s, d):
+    """Both folders of a pairing, with the ordinal in the description."""
+    one, two = (r(s, d).withColumn("name", F.concat("id", F.lit(" "), "ordinal")) for r in (r1, r2))
+    path = _place(s)
+    sinks.write_pairs(O.pair(one, two), O.unpaired(one, two), path)
+    sides = [fastx.read_fastq(s, f"{path}/paired.{i}").select(F.lit(i).alias("side"), F.col("descr").cast("long").alias("ordinal"), "id", "seq") for i in (1, 2)]
+    return sides[0].unionAll(sides[1])
+
+
+@_query(f"SELECT a.ordinal, a.id, a.seq FROM {_ROWS.format('fx_r1')} a JOIN {_ROWS.format('fx_r2')} b USING (id, k)")
+def pick_side(s, d):
+    return O.pick(O.pair(r1(s, d), r2(s, d)), 0).select("ordinal", "id", "seq")
+
+
+@_query("SELECT ordinal, translate(seq, ' .-', '') AS seq, translate(qual, '!', '') AS qual FROM (SELECT ordinal, seq, translate(seq, 'ACGT .-', '5?I#!!!') AS qual FROM fx_gaps)")
+def seq_rmgaps_quality(s, d):
+    """Qualities go with the gaps that they belong to."""
+    rows = gaps(s, d).withColumn("qual", F.translate("seq", "ACGT .-", "5?I#!!!"))
+    return O.seq(rows, remove_gaps=True).select("ordinal", "seq", "qual")
+
+
+@_query("SELECT count(*) AS n FROM fx_reads WHERE NOT regexp_matches(seq, '[^ACGT]')")
+def seq_validate(s, d):
+    """All records pass; a letter of no alphabet is an error (see the tests)."""
+    return O.seq(reads(s, d), validate=True, validate_len=0).agg(F.count("seq").alias("n"))
+
+
+@_query("SELECT id AS seq_id, i AS start, length(m) + i - 1 AS \"end\", m AS matched FROM (SELECT id, i, regexp_extract(substring(seq, i), '^TA+C') AS m FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM fx_reads)) WHERE m <> ''")
+def locate_regexp(s, d):
+    """Hits of different lengths; none of them can lie within another."""
+    return O.locate(reads(s, d), ["TA+C"], mode="regexp", both_strands=False).select("seq_id", "start", F.col("end").cast("int").alias("end"), "matched")
+
+
+@_query("SELECT seq_id, pattern_name, start FROM (SELECT id AS seq_id, 'p' || length(p) AS pattern_name, CAST(i AS BIGINT) AS start, p FROM (SELECT *, unnest(range(1, greatest(length(seq) - 2, 1))) AS i FROM fx_reads) JOIN (VALUES ('ACTA'), ('GATTA')) AS v(p) ON substring(seq, i, length(p)) = p)")
+def locate_pattern_file(s, d):
+    """Patterns from a FASTA file."""
+    found = s.createDataFrame([(0, "p4", "ACTA"), (1, "p5", "GATTA")], "ordinal long, name string, seq string").withColumn("qual", F.lit(None).cast("string"))
+    return O.locate(reads(s, d), fastx.read_fasta(s, _written(found, ".fa")), both_strands=False).select("seq_id", "pattern_name", "start")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the distinct sequences, both strands being one."""
     return O.stats(O.rmdup(reads(spark, d), by="seq"), all=True)

@@ -65,7 +65,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], id_regexp: str | None
 
 
 def _checked(name: Column, seq: Column, qual: Column) -> Column:
-    return F.when(F.length(seq) == F.length(qual), qual).otherwise(F.raise_error(F.concat(F.lit("unmatched length of sequence and quality: "), name)).cast("string"))
+    return F.when(F.length(seq) == F.length(qual), qual).otherwise(F.raise_error(F.concat(F.lit("as many qualities as letters are needed: "), name)).cast("string"))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None = None, ncbi: bool = False, multi_line: bool = False, min_partitions: int | None = None, with_raw: bool = False) -> DataFrame:

@@ -210,7 +210,7 @@ def test_head_genome(spark):
     df = records(spark, [(f"n{i} {h}", "A") for i, h in enumerate(heads)], 3)
     assert rows(O.head_genome(df), "ordinal") == [(0,), (1,), (2,)]
     assert rows(O.head_genome(df, 5), "ordinal") == [(0,)]
-    with pytest.raises(Exception, match="no description"):
+    with pytest.raises(Exception, match="without description"):
         O.head_genome(records(spark, [("a b", "A"), ("c", "A")])).collect()
 
 
