@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+import math
 import sys
 import tempfile
 import uuid
@@ -56,27 +58,40 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which survives lost executors."""
+    """Cuts the lineage of a result with a reliable checkpoint, which survives lost executors.
+
+    Only what an operator returns is kept this way, since its caller may read it at any time; steps in between are in a Scratch.
+    """
     scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def hash_sample(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
-    """At most `most` rows, those with the smallest hash of `key`: about twice as many are kept while reading, so no task reads many more.
+def hash_sample(rows: DataFrame, key: Column, most: int, seed: int, parts: int | None = None) -> DataFrame:
+    """At most `most` rows, one for each of the smallest hashes of `key`, dealt over `parts` tasks; rows of equal keys count once.
 
-    All rows where there are few.
+    Only hashes are sorted, about twice as many as wanted, and rows are read again up to the last hash. All different rows where there are
+    few. The rows of a key must agree in all columns that matter.
     """
-    n = rows.count()
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30))
-    limit = (1 << 30) if n <= 2 * most else (2 * most << 30) // n
-    return rows.withColumn("__place", place).where(F.col("__place") < limit).orderBy("__place", key).limit(most).drop("__place")
+    place = F.xxhash64(F.lit(seed), key)
+    hashes = rows.select(place.alias("__place"))
+    n = hashes.agg(F.approx_count_distinct("__place")).first()[0]
+    if n > 3 * most:
+        hashes = hashes.where(F.col("__place") < int(-(2**63) + 2**64 * 2 * most / n))
+    last = hashes.distinct().orderBy("__place").limit(most).agg(F.max("__place")).first()[0]
+    found = rows.withColumn("__place", place).where(F.col("__place") <= last if last is not None else F.lit(False))
+    return found.repartition(parts or rows.sparkSession.sparkContext.defaultParallelism, "__place").dropDuplicates(["__place"]).drop("__place")
 
 
 class Scratch:
-    """Tables written to the scratch folder, gone when the block ends; smaller than checkpoints, since their columns are compressed."""
+    """Tables written to the shared scratch folder, gone when the block ends, also after an error.
+
+    A reliable cut of the lineage like a checkpoint, but compressed, read back in few tasks where a table is small, and dropped
+    when nothing needs it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, f"{scratch_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -85,13 +100,26 @@ class Scratch:
         self.n += 1
         path = f"{self.folder}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((kept, path))
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes kept tables that nothing reads any more."""
+        for kept, path in self.kept:
+            if any(kept is t for t in tables):
+                remove(self.spark, path)
+        self.kept = [x for x in self.kept if not any(x[0] is t for t in tables)]
+
+    def sweep(self) -> None:
+        """Shuffle files of the steps behind us go when the driver's JVM sees that nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def __exit__(self, *_) -> None:
+        self.kept.clear()
         remove(self.spark, self.folder)
-        # shuffle files of the steps behind us go when the driver's JVM sees that nothing refers to them
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        self.sweep()
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -99,12 +127,20 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers and Arrow buffers hold a batch of whole texts: no more than this many rows, unless the session asks for fewer."""
+@contextlib.contextmanager
+def bound_batches(spark: SparkSession, rows: int = 1000):
+    """Python workers and Arrow buffers hold a batch of whole texts: no more than this many rows for jobs of this block, unless the
+    session asks for fewer. The session's own setting comes back after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def lean(function):
@@ -142,11 +178,12 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, amount: str, out: s
     )
 
 
-def bitset(keys: DataFrame, key: str, log2_words: int = 14) -> Column:
-    """A set of hashes as `2**log2_words` longs in one value, whatever the number of keys.
+#: A set of keys as bits takes so many bits a key, and so many in all at most (8 MB); larger sets are joined.
+BITS_A_KEY, MOST_BITS = 10, 1 << 26
 
-    It may say yes to a key that is not in it, never no to one that is.
-    """
+
+def bitset(keys: DataFrame, key: str, log2_words: int) -> Column:
+    """A set of hashes as `2**log2_words` longs in one value. It may say yes to a key that is not in it, never no to one that is."""
     words = 1 << log2_words
     bit = F.pmod(F.col(key), F.lit(words * 64))
     marks = keys.select(
@@ -159,6 +196,58 @@ def bitset(keys: DataFrame, key: str, log2_words: int = 14) -> Column:
     return dense.agg(F.transform(pairs, lambda x: x["__b"]).alias("bits")).scalar()
 
 
-def in_bitset(bits: Column, hashed: Column, log2_words: int = 14) -> Column:
+def in_bitset(bits: Column, hashed: Column, log2_words: int) -> Column:
     bit = F.pmod(hashed, F.lit(64 << log2_words))
     return F.getbit(F.element_at(bits, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
+
+
+class KeySet:
+    """A table of hashes (one long column) that others are filtered by.
+
+    Its bit set follows the number of keys, so about one foreign key in `BITS_A_KEY` passes at any size. Beyond `most_bits` no bit
+    set is made, and filters are joins on the key. `keys` is a kept table: it is counted here and read again.
+    """
+
+    def __init__(self, keys: DataFrame, most_bits: int = MOST_BITS):
+        self.keys, self.name = keys, keys.columns[0]
+        n = max(keys.count(), 1)
+        self.log2_words = max(6, math.ceil(math.log2(n * BITS_A_KEY / 64)))
+        self.bits = bitset(keys, self.name, self.log2_words) if 64 << self.log2_words <= most_bits else None
+
+    def test(self, bits: Column, hashed: Column) -> Column:
+        """Whether the set may hold the hash; `bits` is the set's own, or a column that it was put into."""
+        return in_bitset(bits, hashed, self.log2_words)
+
+    def marked(self, rows: DataFrame, hashed: Column, out: str) -> DataFrame:
+        """Adds `out`: whether the row's hash is in the set; by bits (which may say yes to others), or by a join."""
+        if self.bits is not None:
+            return rows.withColumn(out, self.test(self.bits, hashed))
+        known = self.keys.select(F.col(self.name).alias("__hash_of_key"), F.lit(True).alias("__known")).distinct()
+        joined = rows.withColumn("__hash_of_row", hashed).join(known, F.col("__hash_of_row") == F.col("__hash_of_key"), "left")
+        return joined.select(*rows.columns, F.col("__known").isNotNull().alias(out))
+
+    def filtered(self, rows: DataFrame, hashed: Column) -> DataFrame:
+        return self.marked(rows, hashed, "__in_set").where("__in_set").drop("__in_set")
+
+
+def row_key(*columns: Column) -> Column:
+    """128 bits that stand for the values of some columns, nulls told from values."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (c.cast("string") for c in columns)]
+    return F.md5(F.concat(*parts))
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose `key` is not in `gone` (a kept table of that one column). Only rows that a bit set of its hashes lets
+    through are joined with it, so the others are not shuffled."""
+    held = KeySet(gone.select(F.xxhash64(key).alias("__h")), most_bits)
+    if held.bits is None:
+        return rows.join(gone, key, "left_anti")
+    maybe = held.test(held.bits, F.xxhash64(key))
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, key, "left_anti").select(*rows.columns))
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...], apply) -> DataFrame:
+    """apply(docs), with the same columns in the end: all but the needed ones have names meanwhile that no operator uses."""
+    held = {c: c if c in needed else f"__own{i}" for i, c in enumerate(docs.columns)}
+    out = apply(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in held.items()])
