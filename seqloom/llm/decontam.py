@@ -5,18 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES, bitset, checkpointed, fence, in_bitset, let
+from seqloom.llm.common import SPACES, KeySet, Scratch, checkpointed, fence, let, row_key, without
 
 
-def shingle_hashes(text: Column, words: int = 5) -> Column:
-    """Distinct hashes of each run of `words` words, lower-cased; empty for null and for fewer words."""
+def word_hashes(text: Column) -> Column:
+    """Hashes of the words, lower-cased; empty for null and for blank texts."""
     trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{SPACES}|{SPACES}$", "")
-    hashes = F.transform(F.split(trimmed, SPACES), lambda w: F.xxhash64(w))
-    return let(hashes, lambda hs: F.array_distinct(F.transform(_starts(hs, words), lambda i: F.xxhash64(*[F.element_at(hs, i + k) for k in range(words)]))))
+    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, SPACES), lambda w: F.xxhash64(w)))
 
 
-def _starts(hashes: Column, words: int) -> Column:
-    return F.when(F.size(hashes) >= words, F.sequence(F.lit(1), F.size(hashes) - (words - 1))).otherwise(F.array().cast("array<int>"))
+def runs(hashes: Column, words: int) -> Column:
+    """Distinct hashes of all runs of `words` word hashes; the run's length goes into the hash."""
+    starts = F.when(F.size(hashes) >= words, F.sequence(F.lit(1), F.size(hashes) - (words - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(words), *[F.element_at(hashes, i + k) for k in range(words)])))
+
+
+def _item_shingles(items: DataFrame, item_col: str, text_col: str, words: int) -> DataFrame:
+    """__item, __h: an item's shingles; an item of fewer words has its whole sequence as its only one."""
+    rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("__item"), word_hashes(F.col(text_col).cast("string")).alias("__ws"))
+    shingles = runs(F.col("__ws"), words)
+    for n in range(1, words):
+        shingles = F.when(F.size("__ws") == n, runs(F.col("__ws"), n)).otherwise(shingles)
+    return rows.select("__item", F.explode(shingles).alias("__h"), F.least(F.size("__ws"), F.lit(words)).alias("__length")).distinct()
+
+
+def _found(docs: DataFrame, key: Column, items: DataFrame, text_col: str, item_col: str, item_text_col: str, words: int, at_least: float, scratch: Scratch) -> DataFrame:
+    """__doc (the key), __item, __n, __shared of all pairs with the wanted containment."""
+    rows = scratch.keep(_item_shingles(items, item_col, item_text_col, words))
+    sizes = rows.groupBy("__item").agg(F.count("__h").alias("__n"))
+    class_end = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("__n"))) - 1
+    missing = F.floor(class_end * F.lit(1.0 - at_least) + 1e-9)
+    rank = F.row_number().over(Window.partitionBy("__item").orderBy("__h"))
+    sketch = scratch.keep(rows.withColumn("__rank", rank).join(sizes, "__item").where(F.col("__rank") <= missing + 1).select("__item", "__h"))
+    whole = scratch.keep(rows.groupBy("__item").agg(F.collect_list("__h").alias("__of_item")))
+    lengths = sorted(r[0] for r in rows.select("__length").distinct().collect())  # 1 to `words`
+
+    # one pass over the texts: documents that hold a hash of a sketch, with those hashes and all their own
+    known = KeySet(scratch.keep(sketch.select("__h").distinct()))
+    hashes = let(word_hashes(F.col(text_col).cast("string")), lambda ws: F.flatten(F.array(*[runs(ws, n) for n in lengths])) if lengths else F.array().cast("array<bigint>"))
+    texts = docs.select(key.alias("__doc"), hashes.alias("__all")).where("__doc is not null")
+    if known.bits is not None:
+        texts = texts.withColumn("__bits", known.bits)
+        hits = F.filter("__all", lambda h: known.test(F.col("__bits"), h))
+        texts = texts.withColumn("__hits", fence(hits)).where(F.size("__hits") > 0).select("__doc", "__all", "__hits")
+        texts = scratch.keep(texts)
+    else:  # more sketch hashes than a bit set holds
+        texts = scratch.keep(texts.withColumn("__hits", F.col("__all")))
+    pairs = scratch.keep(texts.select("__doc", F.explode("__hits").alias("__h")).join(sketch, "__h").select("__doc", "__item").distinct())
+
+    # full shingles of candidate pairs only
+    judged = pairs.join(whole, "__item").withColumn("__n", F.size("__of_item").cast("long"))
+    judged = judged.join(texts.select("__doc", "__all"), "__doc").select("__doc", "__item", "__n", F.explode(F.array_intersect("__all", "__of_item")).alias("__h"))
+    shared = judged.groupBy("__doc", "__item", "__n").agg(F.count_distinct("__h").alias("__shared"))
+    return shared.where(F.col("__shared") / F.col("__n") >= at_least)
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 5, at_least: float = 0.8) -> DataFrame:
@@ -25,37 +66,31 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     Items are partitioned by size, each class twice as wide as the one before. An item's MinHash sketch is its k smallest
     shingle hashes. A document with the wanted containment lacks at most (1 - at_least) of the item's shingles, so
     with k one above that share of the class's largest size it holds one of the sketch: the search misses nothing.
-    Documents that hit a sketch are candidates, and are verified by exact counts of the shingles that they share.
-    Before any shuffle a bit set of fixed size over the items' shingles drops the documents' other shingles.
+    Only sketch hashes are searched for. Documents that hold one are candidates for its items, and only candidate pairs are
+    verified, on the exact number of shingles that they share.
 
-    Returns id_col, item_col, n_shared, n_item, containment. Case and white space don't count. Null and empty texts, and items of
-    fewer than `words` words, match nothing. Rows that repeat an id are one document, and items that repeat an id
-    one item (their shingles together); null ids never match. Empty tables give an empty result.
+    Returns id_col, item_col, n_shared, n_item, containment. Case and white space don't count. An item of fewer than `words`
+    words is one shingle of that length, and is found where a document holds this run of words. Null and empty texts match
+    nothing. Rows that repeat an id are one document, and items that repeat an id one item (their shingles together); null ids
+    never match. Empty tables give an empty result.
     """
-    item_rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("__item"), F.explode(shingle_hashes(F.col(item_text_col).cast("string"), words)).alias("__h")).distinct()
-    sizes = item_rows.groupBy("__item").agg(F.count("*").alias("__n"))
-    item_rows = item_rows.join(sizes, "__item")
-    class_end = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("__n"))) - 1
-    missing = F.floor(class_end * F.lit(1.0 - at_least) + 1e-9)
-    rank = F.row_number().over(Window.partitionBy("__item").orderBy("__h"))
-    # written, so that both sides of the join with the documents are plain exchanges and a hot passage can be split
-    item_rows = checkpointed(item_rows.withColumn("__in_sketch", rank <= missing + 1))
-
-    known = bitset(item_rows.select("__h"), "__h")
-    hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), shingle_hashes(F.col(text_col).cast("string"), words).alias("__all"), known.alias("__known"))
-    hits = hits.select("__id", F.explode(fence(F.filter("__all", lambda h: in_bitset(F.col("__known"), h)))).alias("__h"))
-    matched = hits.join(item_rows, "__h").groupBy("__id", "__item", "__n").agg(F.count_distinct("__h").alias("__shared"), F.max("__in_sketch").alias("__candidate"))
-    share = F.col("__shared") / F.col("__n")
-    return matched.where(F.col("__candidate") & (share >= at_least)).select(
-        F.col("__id").alias(id_col),
-        F.col("__item").alias(item_col),
-        F.col("__shared").alias("n_shared"),
-        F.col("__n").alias("n_item"),
-        share.alias("containment"),
-    )
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item; null ids stay."""
-    bad = find_contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    with Scratch(docs.sparkSession) as scratch:
+        found = _found(docs, F.col(id_col), items, text_col, item_col, item_text_col, words, at_least, scratch)
+        return checkpointed(
+            found.select(
+                F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.col("__shared").alias("n_shared"), F.col("__n").alias("n_item"), (F.col("__shared") / F.col("__n")).alias("containment")
+            )
+        )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 5, at_least: float = 0.8) -> DataFrame:
+    """The documents whose text holds no item (see find_contaminated()); each row is judged by its own text, whatever its id.
+
+    Columns come back as they are, whatever their names. Only rows that a bit set takes for such that go are shuffled.
+    """
+    key = row_key(F.col(text_col))
+    with Scratch(docs.sparkSession) as scratch:
+        bad = checkpointed(_found(docs, key, items, text_col, item_col, item_text_col, words, at_least, scratch).select(F.col("__doc").alias("__key_of_text")).distinct())
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)], key.alias("__key_of_text"))
+    return without(named, "__key_of_text", bad).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, columns)])
