@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpointed, count_words
+from seqloom.llm.common import checkpointed, count_words, row_key
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -39,12 +39,6 @@ def size_bin(size: Column) -> Column:
     return F.when(size < 32, size).otherwise((bits - 5) * 32 + top)
 
 
-def _join(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
-    """Inner join on equal names, nulls equal."""
-    right = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
-    return left.join(right, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in names]).drop(*[f"__r_{n}" for n in names])
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slice_digits: int = 2) -> DataFrame:
     """How often each document goes into the mix.
 
@@ -52,35 +46,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents in order of size, then of a hash; one random offset per source is added; a document is emitted once per
     whole number that its part of the sum crosses. Ordering by size keeps the words taken within about one
     document of the target. All documents of a source expect the same, so the prefix sum is the rank times that number;
-    the rank comes from counts over (size bin, hash slice) and a row number within each, so no task holds a source.
+    the rank comes from counts over (size bin, hash slice) and a row number within each, so no task holds a source. The hash
+    is of id and text, so rows that share an id, or have none, are spread like others. Whole rows are shuffled once.
     `slice_digits` hex digits cut each bin: 256 slices by default, of 4 M rows each at 10**9 rows a bin.
 
     Returns the input's columns plus size (words; null text: 0), source_size, target and copies; input columns with
-    these names are replaced. An empty table gives an empty table. Null sources are one source. Rows that repeat all of
-    id and size get their copies in any order among themselves. Sources without words have rate 0 and give nothing.
+    these names are replaced. An empty table gives an empty table. Null sources are one source. Rows that agree in id and
+    text share a slice and get their copies in any order among themselves. Sources without words have rate 0 and give nothing.
     """
     kept = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies"}]
     rows = docs.select(
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)],
         F.col(source_col).cast("string").alias("source"),
         count_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__hash"),
+        row_key(F.col(id_col), F.col(text_col)).alias("__hash"),
     )
     rows = rows.withColumn("__bin", size_bin(F.col("size"))).withColumn("__slice", F.substring("__hash", 1, slice_digits))
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    # one column names a cell, so that the window and the join share an exchange
+    rows = rows.withColumn("__cell", F.concat_ws("/", F.col("__bin").cast("string"), "__slice", named))
     # one narrow table of counts serves both the sources' sizes and the ranks
-    counts = checkpointed(rows.groupBy("source", "__bin", "__slice").agg(F.count("*").alias("__n"), F.sum("size").alias("__words")))
+    counts = checkpointed(rows.groupBy("__cell", "source", "__bin", "__slice").agg(F.count("*").alias("__n"), F.sum("size").alias("__words")))
     sizes = counts.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most)
+    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "__of")
     bins = counts.groupBy("source", "__bin").agg(F.sum("__n").alias("__n"))
     before_bin = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("source", "__bin", F.coalesce(F.sum("__n").over(before_bin), F.lit(0)).alias("__before_bin"))
+    bins = bins.select(F.col("source").alias("__of"), F.col("__bin").alias("__of_bin"), F.coalesce(F.sum("__n").over(before_bin), F.lit(0)).alias("__before_bin"))
     before = Window.partitionBy("source", "__bin").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\x00null"))))
-    starts = counts.select("source", "__bin", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    starts = _join(_join(starts, bins, "source", "__bin"), targets, "source")
-    starts = starts.withColumn("__first", F.col("__before_bin") + F.col("__before")).withColumn("__offset", F.conv(F.substring(offset, 1, 8), 16, 10).cast("double") / F.lit(2.0**32))
-    ranked = rows.withColumn("__row", F.row_number().over(Window.partitionBy("source", "__bin", "__slice").orderBy("size", "__hash")))
-    out = _join(ranked, starts, "source", "__bin", "__slice")
+    starts = counts.select("__cell", "source", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    starts = starts.join(bins, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__bin") == F.col("__of_bin"))).drop("__of", "__of_bin")
+    starts = starts.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    starts = starts.select("__cell", "source_size", "target", (F.col("__before_bin") + F.col("__before")).alias("__first"), (F.conv(F.substring(offset, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)).alias("__offset"))
+    ranked = rows.drop("source", "__bin", "__slice").withColumn("__row", F.row_number().over(Window.partitionBy("__cell").orderBy("size", "__hash")))
+    out = ranked.join(starts, "__cell")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("__first") + F.col("__row")
     copies = F.floor(F.col("__offset") + rate * rank) - F.floor(F.col("__offset") + rate * (rank - 1))

@@ -102,7 +102,7 @@ SQL = {
     "op1_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+         md5(coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents),
 b AS (SELECT *, CASE WHEN size < 32 THEN size ELSE (length(bin(size)) - 5) * 32 + (size >> (length(bin(size)) - 5)::BIGINT) END AS bin FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
@@ -144,11 +144,12 @@ FROM n LEFT JOIN m ON m.a = n.doc_id
     "op8_decontamination": rf"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS ws FROM documents),
 v AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS ws FROM benchmark),
-ds AS (SELECT DISTINCT id, list_aggregate(ws[i:i+4], 'string_agg', ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
-bs AS (SELECT DISTINCT id, list_aggregate(ws[i:i+4], 'string_agg', ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM v WHERE len(ws) >= 5)),
+l AS (SELECT DISTINCT least(len(ws), 5) AS n FROM v WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT id, n, list_aggregate(ws[i:i+n-1], 'string_agg', ' ') AS s FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w JOIN l ON len(ws) >= n)),
+bs AS (SELECT DISTINCT id, n, list_aggregate(ws[i:i+n-1], 'string_agg', ' ') AS s FROM (SELECT id, ws, least(len(ws), 5) AS n, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM v WHERE len(ws) > 0)),
 n AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
 SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n_shared, max(n.n) AS n_item, count(*) / max(n.n) AS containment
-FROM ds JOIN bs USING (s) JOIN n ON n.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) / max(n.n) >= 0.8
+FROM ds JOIN bs ON ds.s = bs.s AND ds.n = bs.n JOIN n ON n.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) / max(n.n) >= 0.8
 """,
     "op10_exact_dedup": rf"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), {_SPACES}, ' ', 'g')) AS text_sha256 FROM documents)
