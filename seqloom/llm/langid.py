@@ -4,53 +4,76 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import common
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(codes: Iterator[int]) -> str:
+    """Characters as ranges of a regular expression's class."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+#: Runs of letters as Unicode has them (general category L): word characters but digits, `_` and other numbers such as ½ and ②.
+LETTERS = re.compile(rf"[^\W\d_{_ranges(c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())}]+")
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log probabilities per language: of words, and of n-grams by their length; words stand between blanks in n-grams."""
+    """Log probabilities per language, of words and of n-grams; words stand between blanks in n-grams.
+
+    `words` and `grams` give the line of an item in word_scores and gram_scores, which are lines of float64, one number per language.
+    """
 
     langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    word_scores: bytes
+    grams: dict[str, int]
+    gram_scores: bytes
     longest: int
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(x).reshape(-1, max(len(self.langs), 1)) for x in (self.word_scores, self.gram_scores))
+
+    def word(self, word: str, lines: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The known word's score; else the mean over the positions of an unseen word, each scored by the longest known n-gram that starts there."""
+        words, grams = lines or self.lines()
         known = self.words.get(word)
         if known is not None:
-            return known
+            return words[known]
         padded, found, get = f" {word} ", [], self.grams.get
         lengths = range(self.longest, 0, -1)
         for i in range(len(padded) - 1):
             for n in lengths:
-                score = get(padded[i : i + n])
-                if score is not None:
-                    found.append(score)
+                at = get(padded[i : i + n])
+                if at is not None:
+                    found.append(at)
                     break
-        return tuple([sum(x) / len(found) for x in zip(*found)]) if found else (0.0,) * len(self.langs)
+        return grams[found].mean(axis=0) if found else np.zeros(len(self.langs))
 
     def scorer(self, memo_words: int = 1 << 17):
         """text -> (language, its probability). The memo of word scores is emptied when it is full; it holds 4096 words at least."""
         memo_words = max(memo_words, 4096)
-        table = np.zeros((memo_words, len(self.langs)))
+        table, lines = np.zeros((memo_words, len(self.langs))), self.lines()
 
         class Memo(dict):
             def __missing__(memo, word: str) -> int:
                 memo[word] = at = len(memo)
-                table[at] = self.word(word)
+                table[at] = self.word(word, lines)
                 return at
 
         memo = Memo()
@@ -71,57 +94,60 @@ class LanguageModel:
         return score
 
 
-def _log_frequencies(rows: list, langs: list[str], floor: float) -> dict[str, tuple[float, ...]]:
-    """Log frequency above the floor of an item that a language hasn't shown; rows: item, lang, n, total of lang."""
-    out: dict[str, list[float]] = {}
+def _log_frequencies(rows: list, langs: list[str], floor: float) -> tuple[dict[str, int], bytes]:
+    """Lines of log frequencies, above the floor of an item that a language hasn't shown; rows: item, by_lang (lang: share)."""
     at = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        out.setdefault(r["item"], [math.log(floor)] * len(langs))[at[r["lang"]]] = math.log(max(r["n"] / r["total"], floor))
-    return {k: tuple(v) for k, v in out.items()}
+    rows = sorted(rows, key=lambda r: r["item"])
+    scores = np.full((len(rows), len(langs)), math.log(floor))
+    for i, r in enumerate(rows):
+        for lang, share in r["by_lang"]:
+            scores[i, at[lang]] = math.log(max(share, floor))
+    return {r["item"]: i for i, r in enumerate(rows)}, scores.tobytes()
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, most_words: int = 30_000, most_grams: int = 30_000, longest: int = 4, order_col: str = "doc_id") -> LanguageModel:
-    """Learns from at most `most_rows` labelled rows: those with the smallest hash of `order_col`, a bounded sample by design.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, longest: int = 4, order_col: str = "doc_id") -> LanguageModel:
+    """Learns from at most `most_rows` different labelled rows, those with the smallest hash of `order_col`, text and label: a bounded sample by design.
 
-    Words and n-grams are counted by Spark; the `most_words` and `most_grams` most frequent ones come to the driver, so the
-    model is bounded whatever the input. Null labels and null texts teach nothing. Without any labelled row the model has no
-    language, and predicts `und`.
+    Spark counts words and n-grams; all that come more than once in the sample come to the driver, so the model is bounded by the
+    sample, whatever the input. Null labels and null texts teach nothing; repeated rows count once. Without any labelled row the model
+    has no language, and predicts `und`.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = common.hash_sample(rows, F.concat_ws(":", F.col(order_col).cast("string"), F.md5(text_col)), most_rows, 5)
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).alias("text"))
-    words = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(order_col).cast("string").alias("by"))
+    rows = common.hash_sample(rows, F.concat_ws(":", "by", F.xxhash64("text").cast("string"), "lang"), most_rows, 5)
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     words = words.persist()
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     starts = F.sequence(F.lit(1), F.length("item") + 1)
     spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("item") + 3 - i)), lambda n: F.substring(padded, i, n))))
     grams = words.select("lang", "n", F.explode(spans).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, most: int) -> list:
+    def known(counts: DataFrame) -> list:
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-        best = counts.groupBy("item").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "item").limit(most)
-        return counts.join(best, "item").join(totals, "lang").select("item", "lang", "n", "total").collect()
+        shares = counts.join(totals, "lang").groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", (F.col("n") / F.col("total")).alias("share"))).alias("by_lang"))
+        return shares.where("all > 1").select("item", "by_lang").collect()
 
-    known, parts = top(words, most_words), top(grams, most_grams)
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    model = LanguageModel(tuple(langs), *_log_frequencies(known(words), langs, 1e-7), *_log_frequencies(known(grams), langs, 1e-6), longest)
     words.unpersist()
-    return LanguageModel(tuple(langs), _log_frequencies(known, langs, 1e-7), _log_frequencies(parts, langs, 1e-6), longest)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score (its probability, 0 to 1) from the whole text; input columns with these names are replaced.
 
-    Null, empty and letterless texts get `und` with score 0. Ties go to the language that sorts first.
+    Null, empty and letterless texts get `und` with score 0. Ties go to the language that sorts first; repeated rows are judged alike; an
+    empty table gives an empty table.
     """
-    common.bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.longest))
+    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.word_scores, model.grams, model.gram_scores, model.longest))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def scored(batches):
             score = LanguageModel(*held.value).scorer()
             for batch in batches:
-                yield pd.DataFrame([score(x) for x in batch], columns=["lang_pred", "score"])
+                found = [score(x) for at in range(0, len(batch), 500) for x in batch.slice(at, 500).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
         yield from common.lean(scored)(texts)
 
