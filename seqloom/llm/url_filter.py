@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import hash_sample
+from seqloom.llm.common import checkpointed, hash_sample
 
 FEATURES = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio",
@@ -69,13 +69,18 @@ def _entropy(text: Column) -> Column:
     return F.when(size > 0, bits).otherwise(F.lit(0.0))
 
 
+def domain_of(labels: Column) -> Column:
+    """The last two labels of a host."""
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+
+
 def lexical(urls: DataFrame, url_col: str) -> DataFrame:
     """Adds host, path and the lexical features (named __f_...) that need no statistics, and the suffix and domain."""
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     digits = lambda c: F.regexp_count(c, F.lit("[0-9]"))
     out = urls.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     labels = F.split("host", r"\.")
-    out = out.withColumns({"__suffix": F.element_at(labels, -1), "__domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")})
+    out = out.withColumns({"__suffix": F.element_at(labels, -1), "__domain": domain_of(labels)})
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
     values = {
         "url_length": F.length(url),
@@ -94,50 +99,51 @@ def lexical(urls: DataFrame, url_col: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """trees: the fitted model, or None where the labels had one class only, which `constant` then gives."""
+    """trees: the fitted model, or None where the labels had one class only, which `constant` then gives.
+
+    suffixes, domains: tables of name, share and odds over all labelled urls; names without a row have 0 for both.
+    """
 
     trees: GBTClassificationModel | None
     constant: float
-    suffixes: dict[str, tuple[float, float]]
-    domains: dict[str, tuple[float, float]]
+    suffixes: DataFrame | None
+    domains: DataFrame | None
 
     def vector(self, rows: DataFrame) -> DataFrame:
-        for name, column, known in (("suffix", "__suffix", self.suffixes), ("domain", "__domain", self.domains)):
-            for i, kind in enumerate(("share", "odds")):
-                if known:
-                    pairs = F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, v[i])])
-                    rows = rows.withColumn(f"__f_{name}_{kind}", F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(0.0)))
-                else:
-                    rows = rows.withColumn(f"__f_{name}_{kind}", F.lit(0.0))
+        for name, known in (("suffix", self.suffixes), ("domain", self.domains)):
+            known = known.select(F.col("name").alias(f"__{name}_name"), F.col("share").alias(f"__f_{name}_share"), F.col("odds").alias(f"__f_{name}_odds"))
+            rows = rows.join(known, F.col(f"__{name}") == F.col(f"__{name}_name"), "left").drop(f"__{name}_name")
+        rows = rows.fillna(0.0, [f"__f_{n}_{k}" for n in ("suffix", "domain") for k in ("share", "odds")])
         return VectorAssembler(inputCols=[f"__f_{f}" for f in FEATURES], outputCol="__features").transform(rows)
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most_rows: int = 10_000, most_names: int = 200, rounds: int = 10, depth: int = 3, seed: int = 7) -> UrlModel:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most_rows: int = 10_000, rounds: int = 10, depth: int = 3, seed: int = 7) -> UrlModel:
     """Fits the trees on labelled urls; label 1 means block.
 
-    At most `most_rows` labelled rows are used, those with the smallest hash of the url; suffix and domain statistics
-    (share of the rows, smoothed log odds of block) keep the `most_names` most frequent names. Both bounds are parameters.
-    Rows with a null label or url are left out.
+    Suffix and domain statistics (share of the rows, smoothed log odds of block) are counted over all labelled rows and kept as
+    tables. The trees see at most `most_rows` different pairs of url and label, those with the smallest hash: a bounded sample,
+    a parameter. Rows with a null label or url are left out.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(url_col).isNotNull())
-    rows = rows.select(F.col(url_col).alias("__url"), F.col(label_col).cast("double").alias("__label"))
-    rows = hash_sample(rows, F.concat_ws(" ", "__url", F.col("__label").cast("string")), most_rows, seed)
-    rows = lexical(rows, "__url").persist()
+    rows = rows.select(F.col(url_col).cast("string").alias("__url"), F.col(label_col).cast("double").alias("__label"))
     total, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0.0))).first()
     if not 0 < blocked < total:
-        rows.unpersist()
-        return UrlModel(None, 1.0 if total and blocked == total else 0.0, {}, {})
+        return UrlModel(None, 1.0 if total and blocked == total else 0.0, None, None)
 
-    def known(column: str) -> dict[str, tuple[float, float]]:
-        counts = rows.groupBy(column).agg(F.count("*").alias("n"), F.sum("__label").alias("b")).orderBy(F.desc("n"), column).limit(most_names)
+    def known(names: DataFrame) -> DataFrame:
+        counts = names.groupBy("name").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
         odds = F.log((F.col("b") + 0.5) / (F.col("n") - F.col("b") + 0.5))
-        return {r[0]: (r[1], r[2]) for r in counts.select(column, F.col("n") / F.lit(total), odds).collect()}
-
-    model = UrlModel(None, blocked / total, known("__suffix"), known("__domain"))
+        return checkpointed(counts.select("name", (F.col("n") / F.lit(total)).alias("share"), odds.alias("odds")))
+
+    labels = F.split(host_of(F.col("__url")), r"\.")
+    domains = rows.select(domain_of(labels).alias("name"), F.col("__label").alias("b"), F.lit(1).alias("n"))
+    domains = checkpointed(domains.groupBy("name").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+    suffix = F.element_at(F.split("name", r"\."), -1)
+    model = UrlModel(None, blocked / total, known(domains.withColumn("name", suffix)), known(domains))
+    sample = lexical(hash_sample(rows, F.concat_ws(" ", "__url", F.col("__label").cast("string")), most_rows, seed), "__url")
     fit = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=-1)
     # one partition: a bounded sample, and the same trees whatever the partitioning
-    trees = fit.fit(model.vector(rows).select("__features", "__label").repartition(1).sortWithinPartitions(F.xxhash64(vector_to_array("__features")), "__label"))
-    rows.unpersist()
+    trees = fit.fit(model.vector(sample).select("__features", "__label").repartition(1).sortWithinPartitions(F.xxhash64(vector_to_array("__features")), "__label"))
     return UrlModel(trees, model.constant, model.suffixes, model.domains)
 
 
