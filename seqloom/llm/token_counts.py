@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm import common
+from seqloom.llm import common, wordhash
 
 #: Byte-level pre-tokenizers with the usual pattern always break before a space that something else than white space
 #: follows, and the part from there on is tokenized as if it stood alone. For other letters than these no break is assumed.
@@ -33,16 +33,31 @@ def pieces(text: str) -> list[str]:
     return text.split(" ") if UNSAFE.search(text) is None else SAFE.split(text)
 
 
+class Places(dict):
+    """A number for each piece in the order they are met; `new` lists those that came since it was emptied."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        self.new.append(key)
+        return at
+
+
 class Encoder:
     """Token ids or counts of many texts.
 
-    Texts are cut at safe boundaries and each different piece is encoded by the library once; pieces are kept until there
-    are `most_pieces` or `most_chars`, so the memory is bounded. Tokenizers without safe boundaries get whole texts.
+    Texts are cut at safe boundaries and each different piece is encoded by the library once. Pieces are kept until there
+    are `most_pieces` or `most_chars`; then the more frequent half of them stays, so the memory is bounded. New pieces go to the library
+    `joined` at a time as one text: each begins with a space and holds no other, so the tokens that begin with a space tell where
+    a piece begins. Tokenizers without safe boundaries get whole texts.
     """
 
-    def __init__(self, path: str, most_pieces: int = 1 << 17, most_chars: int = 1 << 22):
+    def __init__(self, path: str, most_pieces: int = 1 << 17, most_chars: int = 1 << 22, joined: int = 4096):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.most_pieces, self.most_chars = most_pieces, most_chars
+        self.most_pieces, self.most_chars, self.joined = most_pieces, most_chars, joined
         if path.endswith(".model"):
             import sentencepiece
 
@@ -63,42 +78,78 @@ class Encoder:
             special = [t["content"] for t in known.get("added_tokens", ())]
             self.cut = usual and not known.get("normalizer") and not any(" " in t for t in special)
             self.size = model.get_vocab_size()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.chars, self.used = 0, 0
-        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+            self.begins = np.zeros(self.size, bool)  # byte-level tokens that begin with a space
+            self.begins[[i for t, i in model.get_vocab().items() if t.startswith("\u0120")]] = True
+            # a piece with (part of) a special string is encoded alone
+            self.odd = re.compile("|".join([" ", *(re.escape(t) for t in special)]))
+        self.place, self.chars, self.used = Places(), 0, 0
+        self.flat, self.first, self.count, self.hits = np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _age(self) -> None:
+        """Keeps the more frequent half of the pieces, and of the characters."""
+        n, keys = len(self.place), list(self.place)
+        order, lengths = np.argsort(-self.hits[:n], kind="stable"), np.fromiter(map(len, keys), np.int64, n)
+        kept = np.sort(order[: min(n // 2, int(np.searchsorted(np.cumsum(lengths[order]), self.most_chars // 2)))])
+        count = self.count[kept]
+        ends = np.cumsum(count)
+        self.used, self.chars = int(count.sum()), int(lengths[kept].sum())
+        self.flat[: self.used] = self.flat[np.arange(self.used) + np.repeat(self.first[kept] - (ends - count), count)]
+        self.first[: len(kept)], self.count[: len(kept)], self.hits[: len(kept)] = ends - count, count, self.hits[kept] // 2
+        self.place = Places(zip(map(keys.__getitem__, kept.tolist()), range(len(kept))))
+
+    def _encoded(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where each one's begin and how many they are."""
+        texts = [k[1:] if k[:1] == " " else " " + k for k in keys]
+        alone = [i for i, t in enumerate(texts) if t[:1] != " " or self.odd.search(t, 1)]
+        rest = np.ones(len(texts), bool)
+        rest[alone] = False
+        rest = np.flatnonzero(rest)
+        whole = np.array(self.encode(["".join([texts[i] for i in rest.tolist()])])[0], np.uint32)
+        begins = np.flatnonzero(self.begins[whole])
+        if len(begins) != len(rest) or (len(rest) and begins[0]):
+            whole, begins, rest, alone = whole[:0], begins[:0], rest[:0], range(len(texts))
+        parts = self.encode([texts[i] for i in alone]) if len(alone) else []
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = np.concatenate([whole, np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))])
+        first, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        first[rest], count[rest] = begins, np.diff(np.append(begins, len(whole)))
+        alone = np.array(alone, np.int64)
+        first[alone], count[alone] = len(whole) + np.cumsum(sizes) - sizes, sizes
+        return ids, first, count
 
     def _add(self, keys: list[str]) -> None:
         """Encodes pieces; the first piece of a text has a space in front of its key, which no other key has."""
-        found = self.encode([k[1:] if k[:1] == " " else " " + k for k in keys])
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        ends = self.used + np.cumsum(count)
-        at, to, used = len(self.place), len(self.place) + len(keys), int(ends[-1])
-        while used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while to > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.flat[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
-        self.first[at:to], self.count[at:to], self.used = ends - count, count, used
-        self.place.update(zip(keys, range(at, to)))
+        for start in range(0, len(keys), self.joined):
+            part = keys[start : start + self.joined]
+            ids, first, count = self._encoded(part)
+            at = len(self.place) - len(keys) + start
+            to, used = at + len(part), self.used + len(ids)
+            while used > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while to > len(self.first):
+                self.first, self.count, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.hits))
+            self.flat[self.used : used] = ids
+            self.first[at:to], self.count[at:to], self.hits[at:to] = self.used + first, count, 0
+            self.used = used
         self.chars += sum(map(len, keys))
 
     def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all pieces, and how many pieces each text has."""
         if len(self.place) > self.most_pieces or self.chars > self.most_chars:
-            self._clear()
+            self._age()
         keys, sizes = [], []
         for text in texts:
             parts = pieces(text)
             parts[0] = " " + parts[0]
             keys += parts
             sizes.append(len(parts))
-        missing = [k for k in dict.fromkeys(keys) if k not in self.place]
-        if missing:
-            self._add(missing)
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys)), np.array(sizes, np.int64)
+        found = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        if self.place.new:
+            self._add(self.place.new)
+            self.place.new = []
+        n = len(self.place)
+        self.hits[:n] += np.bincount(found, minlength=n)
+        return found, np.array(sizes, np.int64)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         if not self.cut:
@@ -120,16 +171,9 @@ class Encoder:
         return np.split(flat, ends[np.cumsum(sizes) - 1][:-1])
 
 
-def by_bytes(texts: list[str], batch_bytes: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about batch_bytes characters each, one text at least."""
-    at = 0
-    while at < len(texts):
-        to, room = at, batch_bytes
-        while to < len(texts) and (to == at or room > 0):
-            room -= len(texts[to])
-            to += 1
-        yield at, to
-        at = to
+def by_bytes(texts: pa.Array, batch_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about batch_bytes of UTF-8 each, one text at least; a null has none."""
+    return wordhash.in_parts(texts, batch_bytes)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", limit: int = 1024, columns: list[str] | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
@@ -140,15 +184,14 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str =
     many short pieces and a piece that was met before costs a look-up. A null text counts as empty: 0 bytes, 0 tokens.
     Special strings inside texts are read as the library does by default.
     """
-    common.bound_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     kept = [c for c in (docs.columns if columns is None else columns) if c not in {"n_bytes", "n_tokens", "over_limit", "__text"}]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            lengths = [encoder.counts(texts[at:to]) for at, to in by_bytes(texts, batch_bytes)]
+            column = batch.column("__text")
+            lengths = [encoder.counts([t or "" for t in column.slice(at, to - at).to_pylist()]) for at, to in by_bytes(column, batch_bytes)]
             names = [c for c in batch.schema.names if c != "__text"]
             found = pa.array(np.concatenate([np.zeros(0, np.int64), *lengths]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, "__n"])

@@ -56,9 +56,9 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
         id_type, end = pa.int64(), np.array([end_id], np.uint32)
         for batch in batches:
             id_type = batch.schema.field("__id").type
-            ids, texts = batch.column("__id").to_pylist(), batch.column("__text").to_pylist()
+            ids, texts = batch.column("__id").to_pylist(), batch.column("__text")
             for at, to in by_bytes(texts, batch_bytes):
-                for doc, found in zip(ids[at:to], encoder.ids(texts[at:to])):
+                for doc, found in zip(ids[at:to], encoder.ids(texts.slice(at, to - at).to_pylist())):
                     docs.append(doc), lengths.append(len(found) + 1), arrays.extend((found, end))
                     size += len(found) + 1
                     if size >= segment_ids:
@@ -84,13 +84,13 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id
     An empty table gives files without rows.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, F.col("__id")).sortWithinPartitions("__id", F.xxhash64("__text"))
+    rows = rows.repartitionByRange(n, F.col("__id"), F.xxhash64("__text")).sortWithinPartitions("__id", F.xxhash64("__text"))
     schema = SEGMENT.format(id=rows.schema["__id"].dataType.simpleString())
     encode = _encoder(tokenizer or tokenizer_path(), end_id, block_ids, segment_ids, lanes, batch_bytes)
-    rows.mapInArrow(lean(encode), schema).write.mode("overwrite").parquet(path)
+    with bound_batches(spark):
+        rows.mapInArrow(lean(encode), schema).write.mode("overwrite").parquet(path)
 
 
 def _decoder(with_ids: bool, lanes: int):
@@ -131,7 +131,6 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes:
 
     Blocks whose checksum or length is wrong raise ValueError.
     """
-    bound_batches(spark)
     files = spark.read.parquet(path)
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = files.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
@@ -145,10 +144,12 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes:
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
-    """Writes the ids to a scratch folder, reads them back and returns doc_id, start, n_tokens, ids_crc32; the files go afterwards."""
+    """Writes the ids to a scratch folder, reads them back and returns doc_id, start, n_tokens, ids_crc32; the files go afterwards, after errors too."""
     spark = docs.sparkSession
     path = f"{scratch_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_token_ids(docs, path, **options)
-    found = checkpointed(read_token_ids(spark, path, with_ids=False))
-    remove(spark, path)
-    return found
+    try:
+        write_token_ids(docs, path, **options)
+        with bound_batches(spark):
+            return checkpointed(read_token_ids(spark, path, with_ids=False))
+    finally:
+        remove(spark, path)
