@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bitset, in_bitset, prefix_sums
-from seqloom.llm.decontam import decontaminate, find_contaminated
+from seqloom.llm.common import KeySet, Scratch, hash_sample, prefix_sums, row_key, without
+from seqloom.llm.decontam import _found, decontaminate, find_contaminated
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import emit, mix
 from seqloom.llm.sharding import shard, write_shards
@@ -21,14 +22,31 @@ from .conftest import ODD
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
-def test_prefix_sums_and_bitset(spark):
+def test_prefix_sums(spark):
     rows = spark.range(100).select(F.col("id").alias("o"), (F.col("id") % 3).alias("g"), F.lit(2).alias("n"))
     got = prefix_sums(rows, ["g"], "o", "n", "s", block=7).collect()
     assert all(r.s == 2 * sum(1 for i in range(r.o) if i % 3 == r.g) for r in got)
-    keys = spark.range(50).select(F.xxhash64("id").alias("k"))
-    bits = bitset(keys, "k")
-    assert spark.range(50).where(in_bitset(bits, F.xxhash64("id"))).count() == 50
-    assert spark.range(1000, 2000).where(in_bitset(bits, F.xxhash64("id"))).count() < 5
+
+
+def test_key_sets_follow_the_number_of_keys(spark):
+    for n in (0, 50, 30_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("k")).persist()
+        for most_bits in (1 << 26, 0):  # bits, and the join beyond them
+            held = KeySet(keys, most_bits)
+            assert held.filtered(spark.range(n), F.xxhash64("id")).count() == n
+            others = held.filtered(spark.range(10**6, 10**6 + 20_000), F.xxhash64("id")).count()
+            assert others < 20_000 * 0.13 and (most_bits or not others)
+    rows = spark.range(2000).select(row_key(F.col("id")).alias("k"), "id")
+    gone = rows.where("id % 3 = 0").select("k").persist()
+    for most_bits in (1 << 26, 0):
+        assert sorted(r.id for r in without(rows, "k", gone, most_bits).collect()) == [i for i in range(2000) if i % 3]
+
+
+def test_samples_take_different_rows(spark):
+    rows = spark.range(50_000).select((F.col("id") % F.when(F.col("id") < 40_000, 2).otherwise(9000)).cast("string").alias("u"))
+    got = [r.u for r in hash_sample(rows, F.col("u"), 500, 1).collect()]
+    assert len(got) == len(set(got)) == 500
+    assert hash_sample(rows.limit(0), F.col("u"), 500, 1).count() == 0 and hash_sample(rows.where("u < '2'"), F.col("u"), 500, 1).count() <= 500
 
 
 def test_exact_dedup(make):
@@ -100,9 +118,17 @@ def test_shard_reruns_and_files(make, spark, tmp_path):
     rows = [*ODD, *[(100 + i, f"text {i}") for i in range(300)]]
     one, two = (shard(make(rows, partitions=p), n_shards=7) for p in (3, 5))
     key = lambda df: sorted((r.doc_id or -1, r.text or "", r.shard, r.slot) for r in df.collect())
-    assert key(one) == key(two) and set(one.columns) >= {"size", "kept", "__id"}
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    found = key(two)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert key(one) == found and set(one.columns) >= {"size", "kept", "__id"}
     write_shards(one, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    files = sorted((tmp_path / "out" / "shard=3").glob("*.parquet"))
+    assert [x for f in files for x in pq.read_table(f)["slot"].to_pylist()] == list(range(sum(r.shard == 3 for r in one.collect())))
+    many = shard(make([(1, "same")] * 500 + [(2, "other")] * 3), n_shards=7)
+    counts = Counter(r.shard for r in many.collect())
+    assert sorted(counts.values()) == [71, 72, 72, 72, 72, 72, 72] and many.where("doc_id = 2").select("shard").count() == 3
     order = [r.doc_id for r in sorted(one.collect(), key=lambda r: (r.shard, r.slot)) if (r.doc_id or 0) >= 100]
     assert order != sorted(order)
 
@@ -122,10 +148,12 @@ def test_decontamination(make, spark):
         at = draw.randrange(len(body) + 1)
         docs.append((i, " \n".join(body[:at] + words + body[at:])))
     docs += [(None, items[0][1]), (500, None), (501, ""), (0, items[1][1])]
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    runs = lambda t, n: {tuple(w[i : i + n]) for w in [(t or "").lower().split()] for i in range(len(w) - n + 1)}
+    shingles = lambda t: runs(t, min(5, len((t or "").split()))) if (t or "").split() else set()
     by_doc, by_item = defaultdict(set), defaultdict(set)
     for d, t in docs:
-        by_doc[d] |= shingles(t)
+        for n in range(1, 6):
+            by_doc[d] |= runs(t, n)
     for i, t in items:
         by_item[i] |= shingles(t)
     want = {(d, i, len(x & y), len(y)) for d, x in by_doc.items() for i, y in by_item.items() if y and d is not None and i is not None and len(x & y) / len(y) >= 0.8}
@@ -133,10 +161,25 @@ def test_decontamination(make, spark):
     got = find_contaminated(make(docs), table).collect()
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got} == want and len(got) == len(want) > 20
     kept = decontaminate(make(docs), table).collect()
-    assert Counter(r.doc_id for r in kept) == Counter(d for d, _ in docs if d not in {x[0] for x in want})
+    holds = lambda t: any(y and len(y & set().union(*(runs(t, n) for n in range(1, 6)))) / len(y) >= 0.8 for i, y in by_item.items() if i is not None)
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((d, t) for d, t in docs if not holds(t))
     assert find_contaminated(make([]), table).count() == 0
     assert find_contaminated(make(docs), table.limit(0)).count() == 0
-    assert decontaminate(make(ODD), table).count() == len(ODD)
+    assert decontaminate(make(ODD), table).count() == len(ODD) and decontaminate(make(docs), table.limit(0)).count() == len(docs)
+    short = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "Beta")], "item_id long, text string")
+    got = find_contaminated(make([(1, "so ALPHA  beta\ngamma delta too"), (2, "alpha beta delta gamma"), (3, "alphabeta gamma delta")]), short).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got) == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1)]
+
+
+def test_only_sketches_are_searched(spark, make):
+    """Documents that hold shingles outside an item's sketch only are never looked at."""
+    words = [f"w{i}" for i in range(60)]
+    table = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    parts = make([(i, " ".join(words[i : i + 5])) for i in range(56)])
+    with Scratch(spark) as scratch:
+        _found(parts, F.col("doc_id"), table, "text", "item_id", "text", 5, 0.8, scratch)
+        looked_at = [df for df, _ in scratch.kept if df.columns == ["__doc", "__all", "__hits"]][0].count()
+    assert looked_at == 1 + int(0.2 * 63)
 
 
 RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]

@@ -2,10 +2,11 @@
 
 import functools
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.llm import rangecoder, wordhash
+from seqloom.llm.common import Scratch
 from seqloom.llm.graph import components
 from seqloom.llm.langid import UNKNOWN, identify, train
 from seqloom.llm.minhash import least_matches, near_duplicates, one_of_each, shingle_sets
@@ -61,7 +63,7 @@ ALPHABET = ["a", "b", "Z", "é", "ÿ", "3", "'s", "'", ",", "!!", " ", "  ", "\n
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join), min_size=1, max_size=4))
 def test_pieces_tokenize_like_whole_texts(texts):
-    encoder = Encoder(tokenizer_path(), most_pieces=5)
+    encoder = Encoder(tokenizer_path(), most_pieces=5, joined=3)
     for _ in range(2):
         want = [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
         assert [x.tolist() for x in encoder.ids(texts)] == want
@@ -153,8 +155,9 @@ def brute_repeats(rows, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "k", "vocabulary"), [(1, 13, 5000), (2, 6, 40), (3, 5, 3), (4, 13, 2)])
-def test_substring_dedup(make, seed, k, vocabulary):
+@pytest.mark.parametrize(("seed", "k", "vocabulary", "hash_bits"), [(1, 13, 5000, 64), (2, 6, 40, 64), (3, 5, 3, 64), (1, 13, 5000, 3), (2, 6, 40, 4)])
+def test_substring_dedup(make, seed, k, vocabulary, hash_bits):
+    """Few hash bits make different words meet: what is removed is the same, for spans are verified."""
     draw = random.Random(seed)
     passages = [[f"w{draw.randrange(vocabulary)}" for _ in range(draw.randrange(5, 80))] for _ in range(6)]
     rows = list(ODD)
@@ -166,7 +169,7 @@ def test_substring_dedup(make, seed, k, vocabulary):
             a = draw.randrange(len(p))
             words += p[a : a + draw.randrange(1, 80)]
         rows.append((draw.randrange(300) if i % 10 else 20 + i, draw.choice([" ", "\n"]).join(words)))
-    got = remove_repeats(make(rows), k=k, columns=["doc_id"], log2_words=10).collect()
+    got = remove_repeats(make(rows), k=k, columns=["doc_id"], hash_bits=hash_bits).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=repr) == brute_repeats(rows, k)
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed for r in got)
 
@@ -222,8 +225,27 @@ def test_near_duplicates(make, seed, k, edits, block):
             rows.append((draw.randrange(10_000) + 10, " ".join(words).title() if draw.random() < 0.5 else "\n".join(words)))
     got = near_duplicates(make(rows), words=k, block=block).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute_near(rows, k, 80)
-    ids = {r.doc_id for r in got if r.kept}
-    assert {r.doc_id for r in one_of_each(make(rows), words=k).collect()} == ids
+    ids = Counter(r.doc_id for r in got if r.kept and r.doc_id is not None and r.n_shingles)
+    left = one_of_each(make(rows), words=k).collect()
+    assert Counter(r.doc_id for r in left if r.doc_id is not None and shingles(r.text, k)) == Counter(set(ids))
+    assert Counter((r.doc_id, r.text) for r in left if not shingles(r.text, k)) == Counter((d, t) for d, t, *_ in rows if not shingles(t, k))
+    assert left[0].asDict().keys() >= {"__id", "__key", "kept"}
+
+
+def test_near_duplicates_when_keys_meet(make):
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randrange(30) if i % 3 else j}" for j in range(20))) for i in range(60)]
+    got = near_duplicates(make(rows), words=4, key_bits=3).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute_near(rows, 4, 80)
+    assert sorted(r.doc_id for r in one_of_each(make(rows), words=4, key_bits=3).collect()) == sorted(r.doc_id for r in got if r.kept)
+
+
+def test_one_of_each_without_ids(make):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (None, text + " end"), (None, None), (4, "other words stand here in a row"), (4, "other words stand here in a row"), (4, "and a different text under the same id")]
+    assert Counter((r.doc_id, r.text) for r in one_of_each(make(rows)).collect())[None, None] == 1
+    left = Counter(r.text for r in one_of_each(make(rows)).collect() if r.text)
+    assert sorted(left.values()) == [1, 1, 1] and one_of_each(make([])).count() == 0
 
 
 def test_near_duplicates_empty(make):
@@ -246,10 +268,15 @@ def test_whole_sets(spark):
     assert sizes == [2, 1, 0, 0, 1]
 
 
+def labels_of(spark, edges):
+    with Scratch(spark) as scratch:
+        return {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1064)] + [(5000, 5000 + i) for i in range(1, 90)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = labels_of(spark, edges)
     around = defaultdict(set)
     for a, b in edges:
         if a != b:
@@ -266,9 +293,9 @@ def test_components_long_path(spark):
     ids = list(range(3000))
     random.Random(4).shuffle(ids)
     path = [*zip(ids, ids[1:]), (9001, 9000)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    got = labels_of(spark, path)
     assert got == dict.fromkeys(ids, 0) | {9000: 9000, 9001: 9000}
-    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+    assert labels_of(spark, [(1, 1)]) == {}
 
 
 # ---- language
@@ -290,8 +317,39 @@ def test_language(make):
     assert got.where("score < 0.5 or score > 1").count() == 0
     unseen = identify(make([(1, "hous wate thee"), (2, "wassr nich"), (3, None), (4, "12 !"), (5, ""), (6, "Casas " * 40_000)]), model).collect()
     assert [r.lang_pred for r in sorted(unseen, key=lambda r: r.doc_id)] == ["aa", "bb", UNKNOWN, UNKNOWN, UNKNOWN, "cc"]
+    assert {r.lang_pred for r in identify(make([(1, "½ ②"), (2, "Ⅷ 7_7")]), model).collect()} == {UNKNOWN}
     assert train(docs.repartition(9).where("doc_id % 4 <> 2")) == model
     nothing = train(docs.limit(0))
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {UNKNOWN}
     assert identify(make(ODD), model).count() == len(ODD)
-    assert model.word("qqq") == pytest.approx(model.word("qqq")) and len(model.scorer(memo_words=5000)("und " * 10)) == 2
+    # the same in plain Python
+    learned = [r for r in docs.collect() if r.doc_id % 4 != 2]
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for r in learned:
+        for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+            words[r.lang][w] += 1
+            p = f" {w} "
+            for i in range(len(p) - 1):
+                for n in range(1, min(4, len(p) - i) + 1):
+                    grams[r.lang][p[i : i + n]] += 1
+
+    def plain(w):
+        known = {x for x in set().union(*words.values()) if sum(words[a][x] for a in LANGS) > 1}
+        parts = {x for x in set().union(*grams.values()) if sum(grams[a][x] for a in LANGS) > 1}
+        share = lambda c, a, x, floor: math.log(max(c[a][x] / sum(c[a].values()), floor))
+        if w in known:
+            return [share(words, a, w, 1e-7) for a in sorted(LANGS)]
+        p, found = f" {w} ", []
+        for i in range(len(p) - 1):
+            longest = next((p[i : i + n] for n in range(4, 0, -1) if len(p[i : i + n]) == n and p[i : i + n] in parts), None)
+            if longest is not None:
+                found.append([share(grams, a, longest, 1e-6) for a in sorted(LANGS)])
+        return [sum(x) / len(found) for x in zip(*found)] if found else [0.0] * len(LANGS)
+
+    for w in ("house", "hous", "wassr", "qqq", "x", "entonces", "dasagua"):
+        assert model.word(w).tolist() == pytest.approx(plain(w)), w
+    score = model.scorer(memo_words=5000)
+    for text in ("hous wassr QQQ agua", "Entonces 12 dasagua", "the " * 9000 + "der"):
+        total = np.sum([plain(w) for w in re.findall(r"[^\W\d_]+", text.lower())[:4]] if len(text) < 100 else [np.array(plain("the")) * 9000, plain("der")], axis=0)
+        best = int(total.argmax())
+        assert score(text) == (sorted(LANGS)[best], pytest.approx(1 / np.exp(total - total[best]).sum()))
