@@ -3,7 +3,7 @@ import json
 import pytest
 
 from seqloom.plans.cli import main
-from seqloom.plans.commands import COMMANDS
+from seqloom.plans.commands import COMMANDS, SHORT
 
 
 def lines(spark, path):
@@ -66,3 +66,29 @@ def test_pipe(spark, fa, tmp_path):
 
 def test_every_command_is_there():
     assert len(COMMANDS) == 22
+
+
+def test_short_options(spark, fa, tmp_path):
+    out = str(tmp_path / "out")
+    go = lambda *argv: main([*argv, "-o", out, "--merge"], spark)
+    go("seq", "-r", "-p", "-l", "-m", "5", fa)
+    assert lines(spark, out) == [">s1 one", "gtacgt", ">s1 again", "acgtac"]
+    fq = tmp_path / "a.fq"
+    fq.write_text("@a\nAC\n+\nhh\n@b\nAC\n+\nJJ\n")
+    go("seq", "-b", "64", "-Q", "30", "-n", str(fq))
+    assert lines(spark, out) == ["a"]
+    long = tmp_path / "long.fa"
+    long.write_text(">x\n" + "ACGT" * 3000 + "!\n")
+    go("seq", "-v", "-n", str(long))
+    assert lines(spark, out) == ["x"]
+    with pytest.raises(Exception, match="letters not of dna"):
+        go("seq", "-v", "-V", "0", "-s", str(long))
+    go("grep", "-n", "-i", "-p", "S2 TWO", fa)
+    assert lines(spark, out) == [">s2 two", "TTTT"]
+    go("range", "-r", "2:2", fa)
+    assert lines(spark, out) == [">s2 two", "TTTT"]
+    for argv, option in ((("range", fa), "range"), (("fa2fq", str(fq)), "fasta-file")):
+        with pytest.raises(ValueError, match=option):
+            go(*argv)
+    for name, short in SHORT.items():
+        assert set(short) <= set(COMMANDS[name].options) and len(set(short.values())) == len(short)
