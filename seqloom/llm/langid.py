@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,20 +15,14 @@ from pyspark.sql import functions as F
 from seqloom.llm import common
 
 
-def _ranges(codes: Iterator[int]) -> str:
-    """Characters as ranges of a regular expression's class."""
-    out: list[list[int]] = []
-    for c in codes:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+#: Runs of letters and of numbers that aren't digits, such as ½ and ②, which letters_of() takes out.
+RUNS = re.compile(r"[^\W\d_]+")
+UNKNOWN = "und"
 
 
-#: Runs of letters as Unicode has them (general category L): word characters but digits, `_` and other numbers such as ½ and ②.
-LETTERS = re.compile(rf"[^\W\d_{_ranges(c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())}]+")
-UNKNOWN = "und"
+def letters_of(run: str) -> list[str]:
+    """The runs of letters, as Unicode has them (general category L), in one of RUNS."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 @dataclass(frozen=True)
@@ -49,45 +42,75 @@ class LanguageModel:
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.frombuffer(x).reshape(-1, max(len(self.langs), 1)) for x in (self.word_scores, self.gram_scores))
 
-    def word(self, word: str, lines: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """The known word's score; else the mean over the positions of an unseen word, each scored by the longest known n-gram that starts there."""
-        words, grams = lines or self.lines()
-        known = self.words.get(word)
-        if known is not None:
-            return words[known]
-        padded, found, get = f" {word} ", [], self.grams.get
-        lengths = range(self.longest, 0, -1)
+    def parts(self, word: str) -> list[int]:
+        """Lines of an unseen word's n-grams: for each position the longest known one that starts there."""
+        padded, found, get, lengths = f" {word} ", [], self.grams.get, range(self.longest, 0, -1)
         for i in range(len(padded) - 1):
             for n in lengths:
                 at = get(padded[i : i + n])
                 if at is not None:
                     found.append(at)
                     break
-        return grams[found].mean(axis=0) if found else np.zeros(len(self.langs))
+        return found
+
+    def score(self, runs: list[str], lines: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of some RUNS the sum of its words' scores, and whether it has a letter.
+
+        A known word has its own score; an unseen one the mean over its parts().
+        """
+        words, grams = lines or self.lines()
+        table, lettered = np.zeros((len(runs), len(self.langs))), np.ones(len(runs), bool)
+        known, unseen, flat, sizes = ([], []), [], [], []
+        for i, run in enumerate(runs):
+            if not run.isalpha():
+                inner = letters_of(run)
+                lettered[i] = bool(inner)
+                if inner:
+                    table[i] = self.score(inner, (words, grams))[0].sum(axis=0)
+            elif (at := self.words.get(run)) is not None:
+                known[0].append(i), known[1].append(at)
+            elif found := self.parts(run):
+                unseen.append(i), sizes.append(len(found))
+                flat += found
+        table[known[0]] = words[known[1]]
+        if unseen:
+            sizes = np.array(sizes)
+            table[unseen] = np.add.reduceat(grams[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+        return table, lettered
 
     def scorer(self, memo_words: int = 1 << 17):
         """text -> (language, its probability). The memo of word scores is emptied when it is full; it holds 4096 words at least."""
         memo_words = max(memo_words, 4096)
-        table, lines = np.zeros((memo_words, len(self.langs))), self.lines()
+        table, lettered, lines = np.zeros((memo_words, len(self.langs))), np.zeros(memo_words, bool), self.lines()
 
         class Memo(dict):
-            def __missing__(memo, word: str) -> int:
-                memo[word] = at = len(memo)
-                table[at] = self.word(word, lines)
+            new: list[str] = []
+
+            def __missing__(memo, run: str) -> int:
+                memo[run] = at = len(memo)
+                memo.new.append(run)
                 return at
 
         memo = Memo()
 
         def score(text: str | None) -> tuple[str, float]:
-            words = LETTERS.findall(text.lower()) if text else []
-            if not words or not self.langs:
+            runs = RUNS.findall(text.lower()) if text else []
+            if not self.langs:
                 return UNKNOWN, 0.0
-            total = np.zeros(len(self.langs))
-            for start in range(0, len(words), 4096):
-                part = words[start : start + 4096]
+            total, any_letter = np.zeros(len(self.langs)), False
+            for start in range(0, len(runs), 4096):
+                part = runs[start : start + 4096]
                 if len(memo) + len(part) > memo_words:
                     memo.clear()
-                total += table[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0)
+                at = np.fromiter(map(memo.__getitem__, part), np.int64, len(part))
+                if memo.new:
+                    fresh = slice(len(memo) - len(memo.new), len(memo))
+                    table[fresh], lettered[fresh] = self.score(memo.new, lines)
+                    memo.new.clear()
+                total += table[at].sum(axis=0)
+                any_letter = any_letter or bool(lettered[at].any())
+            if not any_letter:
+                return UNKNOWN, 0.0
             best = int(total.argmax())
             return self.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
 
