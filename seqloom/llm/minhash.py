@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import wordhash
-from seqloom.llm.common import KeySet, Scratch, bound_batches, checkpointed, lean, row_key, without
+from seqloom.llm.common import KeySet, Scratch, bound_batches, checkpointed, lean, quick_key, without
 from seqloom.llm.graph import components
 
 
@@ -75,11 +75,11 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 2048
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    rows = sig.reshape(bands, -1).astype(np.uint64)
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for i in range(rows.shape[1]):
-        keys = wordhash.mixed(keys * wordhash.WORD_STEP + rows[:, i])
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """sigs: (documents, bands, hashes of a band)."""
+    keys = np.broadcast_to(np.arange(1, sigs.shape[1] + 1, dtype=np.uint64), sigs.shape[:2])
+    for i in range(sigs.shape[2]):
+        keys = wordhash.mixed(keys * wordhash.WORD_STEP + sigs[:, :, i])
     return keys.view(np.int64)
 
 
@@ -123,9 +123,9 @@ def _place(bands: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.repeat(batch.column("__key").to_numpy(), bands)
-            buckets = [band_keys(np.frombuffer(x.as_buffer(), np.uint32), bands) for x in batch.column("__sig")]
+            sigs = np.frombuffer(b"".join(batch.column("__sig").to_pylist()), np.uint32).reshape(batch.num_rows, bands, -1)
             band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), pa.array(np.concatenate([keys[:0], *buckets]))], names=["__key", "__band", "__bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), pa.array(band_keys(sigs).ravel())], names=["__key", "__band", "__bucket"])
 
     return place
 
@@ -339,17 +339,17 @@ def _labels(distinct: DataFrame, sets_of, by: Settings, scratch: Scratch) -> Dat
     leaders = buckets.where("__size > 2").select("__bucket", F.col("a").alias("__leader"))
     pairs = buckets.where("__size = 2").select("a", "b").union(members.join(leaders, "__bucket").where("__key <> __leader").select(F.col("__leader").alias("a"), F.col("__key").alias("b")))
     pairs = scratch.keep(pairs.distinct())
-    likely = scratch.keep(_both(pairs, distinct, "__sig").mapInArrow(lean(_bayes(by.batch, by.least)), "a long, b long"))
+    likely = scratch.keep(_both(pairs, distinct, "__sig", scratch).mapInArrow(lean(_bayes(by.batch, by.least)), "a long, b long"))
     sets = sets_of(scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("__key")).distinct()))
 
     # one leader for each member, so that its set is sent once; the other pairs only where members are still apart
     one = scratch.keep(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    joined = scratch.keep(_confirmed(one, sets, by.percent))
+    joined = scratch.keep(_confirmed(one, sets, by.percent, scratch))
     led = scratch.keep(one.join(joined.select("b", F.col("a").alias("__root")), "b", "left").select(F.col("b").alias("__node"), F.col("a").alias("__judged"), "__root"))
     rest = likely.join(led, likely["b"] == led["__node"]).where("a <> __judged").select("a", "b", F.coalesce("__root", "b").alias("__root_b"))
     over = led.select("__node", F.col("__root").alias("__root_a"))
     rest = rest.join(over, rest["a"] == over["__node"], "left").where(F.coalesce("__root_a", "a") != F.col("__root_b")).select("a", "b")
-    links = scratch.keep(joined.union(_confirmed(scratch.keep(rest), sets, by.percent)).distinct())
+    links = scratch.keep(joined.union(_confirmed(scratch.keep(rest), sets, by.percent, scratch)).distinct())
     labels = components(links, scratch)
     scratch.drop(pairs, likely, sets, large)
     scratch.sweep()
@@ -368,7 +368,7 @@ def _labels(distinct: DataFrame, sets_of, by: Settings, scratch: Scratch) -> Dat
         found = _spread(members, "__bucket", by.block, scratch).join(distinct, "__key")
         found = scratch.keep(found.groupBy("__bucket", "__lo", "__hi").applyInArrow(_blocks(by.batch, by.least, by.bands), "a long, b long"))
         sets = sets_of(scratch.keep(found.select(F.explode(F.array("a", "b")).alias("__key")).distinct()))
-        labels = components(scratch.keep(links.union(_confirmed(found, sets, by.percent))), scratch)
+        labels = components(scratch.keep(links.union(_confirmed(found, sets, by.percent, scratch))), scratch)
     return labels
 
 
@@ -400,16 +400,16 @@ def _spread(rows: DataFrame, by: str, block: int, scratch: Scratch) -> DataFrame
     return spread.select(*rows.columns, "__chunk", F.least("__chunk", "__other").alias("__lo"), F.greatest("__chunk", "__other").alias("__hi"))
 
 
-def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Adds the values of both ends; a's is looked up among those of the a's alone."""
-    of_a = values.join(pairs.select(F.col("a").alias("__key")).distinct(), "__key", "left_semi").select(F.col("__key").alias("a"), F.col(name).alias(f"{name}_a"))
+def _both(pairs: DataFrame, values: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """Adds the values of both ends. Those of the a's alone are written first, so that both sides of the join on a are plain exchanges and a hot a can be split."""
+    of_a = scratch.keep(values.join(pairs.select(F.col("a").alias("__key")).distinct(), "__key", "left_semi").select(F.col("__key").alias("a"), F.col(name).alias(f"{name}_a")))
     of_b = values.select(F.col("__key").alias("b"), F.col(name).alias(f"{name}_b"))
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", f"{name}_a", f"{name}_b")
 
 
-def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose full sets are similar enough, perhaps some of them twice."""
-    return _both(likely, sets, "__set").mapInArrow(lean(_confirm(percent)), "a long, b long")
+    return _both(likely, sets, "__set", scratch).mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -418,7 +418,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Options are those of near_duplicates(). Rows without words stay, all of them. Of rows that agree in id and text one stays. Columns come back as
     they are, whatever their names. Only rows that go, and those that a bit set takes for such, are shuffled.
     """
-    row = row_key(F.col(id_col), F.col(text_col))
+    row = quick_key(F.col(id_col), F.col(text_col))
     spark = docs.sparkSession
     with bound_batches(spark), Scratch(spark) as scratch:
         rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), row.alias("__row"))
