@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules["seqloom.llm"])
 
 #: Fixed patterns: a run of ASCII white space, and a word.
 SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -127,16 +128,24 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the session to hand Python workers no more than this many rows at a time, unless it asks for fewer.
+
+    For an application that reads lazy results with Python over long texts, such as the queries: what holds then counts. Operators don't
+    change their caller's session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 @contextlib.contextmanager
 def bound_batches(spark: SparkSession, rows: int = 1000):
     """Python workers and Arrow buffers hold a batch of whole texts: no more than this many rows for jobs of this block, unless the
     session asks for fewer. The session's own setting comes back after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(key, rows)
+    small_batches(spark, rows)
     try:
         yield
     finally:
@@ -204,15 +213,18 @@ def in_bitset(bits: Column, hashed: Column, log2_words: int) -> Column:
 class KeySet:
     """A table of hashes (one long column) that others are filtered by.
 
-    Its bit set follows the number of keys, so about one foreign key in `BITS_A_KEY` passes at any size. Beyond `most_bits` no bit
-    set is made, and filters are joins on the key. `keys` is a kept table: it is counted here and read again.
+    Its bit set follows the number of keys: about one foreign key in `bits_a_key` passes, up to one in BITS_A_KEY where that takes more
+    than `most_bits`. Beyond them no bit set is made, and filters are joins on the key. `keys` is a kept table: it is counted here
+    and read again.
     """
 
-    def __init__(self, keys: DataFrame, most_bits: int = MOST_BITS):
+    def __init__(self, keys: DataFrame, most_bits: int = MOST_BITS, bits_a_key: int = BITS_A_KEY):
         self.keys, self.name = keys, keys.columns[0]
-        n = max(keys.count(), 1)
-        self.log2_words = max(6, math.ceil(math.log2(n * BITS_A_KEY / 64)))
-        self.bits = bitset(keys, self.name, self.log2_words) if 64 << self.log2_words <= most_bits else None
+        words = lambda bits: max(6, math.ceil(math.log2(max(self.n, 1) * bits / 64)))
+        self.n = keys.count()
+        fits = 64 << words(BITS_A_KEY) <= most_bits
+        self.log2_words = min(words(bits_a_key), int(math.log2(most_bits // 64))) if fits else 0
+        self.bits = bitset(keys, self.name, self.log2_words) if fits else None
 
     def test(self, bits: Column, hashed: Column) -> Column:
         """Whether the set may hold the hash; `bits` is the set's own, or a column that it was put into."""
@@ -236,6 +248,12 @@ def row_key(*columns: Column) -> Column:
     return F.md5(F.concat(*parts))
 
 
+def quick_key(*columns: Column) -> Column:
+    """Like row_key(), of two fast 64-bit hashes."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)])
+
+
 def without(rows: DataFrame, key: str, gone: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows whose `key` is not in `gone` (a kept table of that one column). Only rows that a bit set of its hashes lets
     through are joined with it, so the others are not shuffled."""

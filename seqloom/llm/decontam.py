@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES, KeySet, Scratch, checkpointed, fence, let, row_key, without
+from seqloom.llm.common import BLANKS, SPACES, KeySet, Scratch, checkpointed, fence, let, quick_key, without
 
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words, lower-cased; empty for null and for blank texts."""
-    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{SPACES}|{SPACES}$", "")
-    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, SPACES), lambda w: F.xxhash64(w)))
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
+    return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(t, SPACES), lambda w: F.xxhash64(w))))
 
 
 def runs(hashes: Column, words: int) -> Column:
@@ -29,8 +29,8 @@ def _item_shingles(items: DataFrame, item_col: str, text_col: str, words: int) -
     return rows.select("__item", F.explode(shingles).alias("__h"), F.least(F.size("__ws"), F.lit(words)).alias("__length")).distinct()
 
 
-def _found(docs: DataFrame, key: Column, items: DataFrame, text_col: str, item_col: str, item_text_col: str, words: int, at_least: float, scratch: Scratch) -> DataFrame:
-    """__doc (the key), __item, __n, __shared of all pairs with the wanted containment."""
+def _found(docs: DataFrame, key: Column, items: DataFrame, item_col: str, item_text_col: str, words: int, at_least: float, scratch: Scratch) -> DataFrame:
+    """docs: __text, and what the key is made of. Returns __doc (the key), __item, __n, __shared of all pairs with the wanted containment."""
     rows = scratch.keep(_item_shingles(items, item_col, item_text_col, words))
     sizes = rows.groupBy("__item").agg(F.count("__h").alias("__n"))
     class_end = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("__n"))) - 1
@@ -40,22 +40,22 @@ def _found(docs: DataFrame, key: Column, items: DataFrame, text_col: str, item_c
     whole = scratch.keep(rows.groupBy("__item").agg(F.collect_list("__h").alias("__of_item")))
     lengths = sorted(r[0] for r in rows.select("__length").distinct().collect())  # 1 to `words`
 
-    # one pass over the texts: documents that hold a hash of a sketch, with those hashes and all their own
-    known = KeySet(scratch.keep(sketch.select("__h").distinct()))
-    hashes = let(word_hashes(F.col(text_col).cast("string")), lambda ws: F.flatten(F.array(*[runs(ws, n) for n in lengths])) if lengths else F.array().cast("array<bigint>"))
-    texts = docs.select(key.alias("__doc"), hashes.alias("__all")).where("__doc is not null")
+    # a document has many shingles, so one foreign hash in ten is too many here
+    known = KeySet(scratch.keep(sketch.select("__h").distinct()), bits_a_key=256)
+    all_runs = lambda ws: runs(ws, lengths[0]) if len(lengths) == 1 else F.flatten(F.array(F.array().cast("array<bigint>"), *[runs(ws, n) for n in lengths]))
+    hashes = fence(let(word_hashes(F.col("__text")), all_runs)).alias("__all")
+    rows = docs.select(key.alias("__doc"), hashes)
     if known.bits is not None:
-        texts = texts.withColumn("__bits", known.bits)
-        hits = F.filter("__all", lambda h: known.test(F.col("__bits"), h))
-        texts = texts.withColumn("__hits", fence(hits)).where(F.size("__hits") > 0).select("__doc", "__all", "__hits")
-        texts = scratch.keep(texts)
-    else:  # more sketch hashes than a bit set holds
-        texts = scratch.keep(texts.withColumn("__hits", F.col("__all")))
-    pairs = scratch.keep(texts.select("__doc", F.explode("__hits").alias("__h")).join(sketch, "__h").select("__doc", "__item").distinct())
+        rows = rows.withColumn("__bits", known.bits)
+        rows = rows.withColumn("__all", fence(F.filter("__all", lambda h: known.test(F.col("__bits"), h))))
+    hits = rows.select("__doc", F.explode("__all").alias("__h"))
+    pairs = scratch.keep(hits.join(sketch, "__h").select("__doc", "__item").distinct())
 
     # full shingles of candidate pairs only
+    open_docs = KeySet(scratch.keep(pairs.select(F.xxhash64("__doc").alias("h")).distinct()))
+    texts = open_docs.filtered(docs.withColumn("__doc", key), F.xxhash64("__doc")).select("__doc", hashes)
     judged = pairs.join(whole, "__item").withColumn("__n", F.size("__of_item").cast("long"))
-    judged = judged.join(texts.select("__doc", "__all"), "__doc").select("__doc", "__item", "__n", F.explode(F.array_intersect("__all", "__of_item")).alias("__h"))
+    judged = judged.join(texts, "__doc").select("__doc", "__item", "__n", F.explode(F.array_intersect("__all", "__of_item")).alias("__h"))
     shared = judged.groupBy("__doc", "__item", "__n").agg(F.count_distinct("__h").alias("__shared"))
     return shared.where(F.col("__shared") / F.col("__n") >= at_least)
 
@@ -75,7 +75,8 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     never match. Empty tables give an empty result.
     """
     with Scratch(docs.sparkSession) as scratch:
-        found = _found(docs, F.col(id_col), items, text_col, item_col, item_text_col, words, at_least, scratch)
+        rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
+        found = _found(rows, F.col("__id"), items, item_col, item_text_col, words, at_least, scratch)
         return checkpointed(
             found.select(
                 F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.col("__shared").alias("n_shared"), F.col("__n").alias("n_item"), (F.col("__shared") / F.col("__n")).alias("containment")
@@ -88,9 +89,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Columns come back as they are, whatever their names. Only rows that a bit set takes for such that go are shuffled.
     """
-    key = row_key(F.col(text_col))
+    text = F.col(text_col).cast("string").alias("__text")
     with Scratch(docs.sparkSession) as scratch:
-        bad = checkpointed(_found(docs, key, items, text_col, item_col, item_text_col, words, at_least, scratch).select(F.col("__doc").alias("__key_of_text")).distinct())
+        bad = checkpointed(_found(docs.select(text), quick_key(F.col("__text")), items, item_col, item_text_col, words, at_least, scratch).select(F.col("__doc").alias("__key_of_text")).distinct())
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)], key.alias("__key_of_text"))
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)], quick_key(text).alias("__key_of_text"))
     return without(named, "__key_of_text", bad).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, columns)])

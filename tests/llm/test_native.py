@@ -36,6 +36,8 @@ def test_key_sets_follow_the_number_of_keys(spark):
             assert held.filtered(spark.range(n), F.xxhash64("id")).count() == n
             others = held.filtered(spark.range(10**6, 10**6 + 20_000), F.xxhash64("id")).count()
             assert others < 20_000 * 0.13 and (most_bits or not others)
+        assert KeySet(keys, bits_a_key=500).filtered(spark.range(10**6, 10**6 + 20_000), F.xxhash64("id")).count() < 100
+        assert KeySet(keys, 1 << 19, 500).log2_words <= 13
     rows = spark.range(2000).select(row_key(F.col("id")).alias("k"), "id")
     gone = rows.where("id % 3 = 0").select("k").persist()
     for most_bits in (1 << 26, 0):
@@ -177,8 +179,8 @@ def test_only_sketches_are_searched(spark, make):
     table = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     parts = make([(i, " ".join(words[i : i + 5])) for i in range(56)])
     with Scratch(spark) as scratch:
-        _found(parts, F.col("doc_id"), table, "text", "item_id", "text", 5, 0.8, scratch)
-        looked_at = [df for df, _ in scratch.kept if df.columns == ["__doc", "__all", "__hits"]][0].count()
+        _found(parts.select("doc_id", F.col("text").alias("__text")), F.col("doc_id"), table, "item_id", "text", 5, 0.8, scratch)
+        looked_at = [df for df, _ in scratch.kept if df.columns == ["__doc", "__item"]][0].count()
     assert looked_at == 1 + int(0.2 * 63)
 
 
@@ -216,6 +218,11 @@ def test_url_model_learns(spark):
     tested = judge(table.where(F.xxhash64("url") % 3 == 0), [], model)
     right = tested.agg(F.avg((F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).cast("int"))).first()[0]
     assert right > 0.95
+    odd = [None, "", "no url", "http://win-cash99.biz/x", "http://win-cash99.biz/x", "http://" + "a" * 3000 + ".org/" + "b/" * 20_000]
+    got = judge(spark.createDataFrame([(u, "clash") for u in odd], "url string, verdict string"), [], model).collect()
+    assert len(got) == len(odd) and {r.verdict for r in got} <= {"allow", "block"} and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.url and "cash" in r.url}) == 1 and {r.verdict for r in got if r.url and "cash" in r.url} == {"block"}
+    assert judge(table.limit(0), [], model).count() == 0
     again = train(table.where(F.xxhash64("url") % 3 != 0).repartition(5))
     assert again.trees.toDebugString.split("\n", 1)[1] == model.trees.toDebugString.split("\n", 1)[1]
     assert train(table.where("label = 1")).constant == 1.0
