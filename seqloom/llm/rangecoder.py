@@ -30,6 +30,7 @@ WORD, TOP, BOTTOM, LOW_MASK = np.uint64(16), np.uint64(1 << 48), np.uint64(1 <<
 SURE = 7
 LEAST_HIT, MOST_HIT = 64, 3968
 ID_MASK = (1 << 28) - 1
+HASH_1, HASH_2 = 0x9E3779B1, 0x85EBCA6B
 
 
 def places(longest: int) -> list[int]:
@@ -60,37 +61,49 @@ class Mixer:
         self.seen = seen
         self.old[: len(distinct)] = (seen << 16) // (seen + distinct)
 
-    def share(self, n: int, last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, ...]:
-        self.at1 = self.base1[:n] + (((last * 0x9E3779B1) >> 13) & (SLOTS_1 - 1))
-        self.at2 = self.base2[:n] + (((last * 0x9E3779B1 + last2 * 0x85EBCA6B) >> 15) & (SLOTS_2 - 1))
-        one, two = self.next1[self.at1], self.next2[self.at2]
-        self.sure1, self.sure2 = (one >> 28).astype(np.int64), (two >> 28).astype(np.int64)
-        self.id1, self.id2 = (one & ID_MASK).astype(np.int64), (two & ID_MASK).astype(np.int64)
+    def share(self, n: int, one_back: np.ndarray, two_back: np.ndarray) -> tuple[np.ndarray, ...]:
+        """one_back, two_back: hashes of the last id and of the last two."""
+        self.at1 = self.base1[:n] + ((one_back >> 13) & (SLOTS_1 - 1))
+        self.at2 = self.base2[:n] + ((two_back >> 15) & (SLOTS_2 - 1))
+        one, two = self.next1.take(self.at1).astype(np.int64), self.next2.take(self.at2).astype(np.int64)
+        self.sure1, self.sure2, self.id1, self.id2 = one >> 28, two >> 28, one & ID_MASK, two & ID_MASK
         self.hit_at2 = self.hit_base2[:n] + (self.sure2 * 8 + self.sure1)
         self.hit_at1 = self.hit_base1[:n] + self.sure1
+        self.named2, named1 = self.sure2 > 0, self.sure1 > 0
         mixed = WHOLE - (1 << (self.bits + SPARE))
-        a2 = np.where(self.sure2 > 0, (self.hits2[self.hit_at2] * mixed) >> 12, 0)
+        self.hit2, self.hit1 = self.hits2.take(self.hit_at2), self.hits1.take(self.hit_at1)
+        a2 = (self.hit2 * mixed) >> 12
+        a2 *= self.named2
         rest = mixed - a2
-        self.two_ways = (self.sure1 > 0) & ((self.id1 != self.id2) | (self.sure2 == 0))
-        a1 = np.where(self.two_ways, (self.hits1[self.hit_at1] * rest) >> 12, 0)
+        self.two_ways = named1 & ((self.id1 != self.id2) | ~self.named2)
+        a1 = (self.hit1 * rest) >> 12
+        a1 *= self.two_ways
         rest -= a1
-        unit = ((rest * self.old[:n]) >> 16) // self.seen if self.seen else np.zeros(n, np.int64)
         a12 = a1 + a2
+        if not self.seen:
+            return a2, a12, a12, np.zeros(n, np.int64), (WHOLE - a12) >> self.bits
+        unit = ((rest * self.old[:n]) >> 16) // self.seen
         known = a12 + unit * self.seen
         return a2, a12, known, unit, (WHOLE - known) >> self.bits
 
     def update(self, value: np.ndarray) -> None:
-        right2 = (self.sure2 > 0) & (self.id2 == value)
-        hit = self.hits2[self.hit_at2]
-        hit += ((right2.astype(np.int64) << 12) - hit) >> 5
-        self.hits2[self.hit_at2] = np.minimum(np.maximum(hit, LEAST_HIT), MOST_HIT)
-        right1 = (self.sure1 > 0) & (self.id1 == value)
-        asked = self.two_ways & ~right2
-        hit = self.hits1[self.hit_at1]
-        hit += np.where(asked, ((right1.astype(np.int64) << 12) - hit) >> 5, 0)
-        self.hits1[self.hit_at1] = np.minimum(np.maximum(hit, LEAST_HIT), MOST_HIT)
-        self.next1[self.at1] = (np.where(right1, np.minimum(self.sure1 + 1, SURE), 1) << 28) | value
-        self.next2[self.at2] = (np.where(right2, np.minimum(self.sure2 + 1, SURE), 1) << 28) | value
+        right2, right1 = self.named2 & (self.id2 == value), (self.sure1 > 0) & (self.id1 == value)
+        step = ((right2.astype(np.int64) << 12) - self.hit2) >> 5
+        step += self.hit2
+        np.maximum(step, LEAST_HIT, out=step)
+        self.hits2[self.hit_at2] = np.minimum(step, MOST_HIT, out=step)
+        step = ((right1.astype(np.int64) << 12) - self.hit1) >> 5
+        step *= self.two_ways & ~right2
+        step += self.hit1
+        np.maximum(step, LEAST_HIT, out=step)
+        self.hits1[self.hit_at1] = np.minimum(step, MOST_HIT, out=step)
+        # the confidence that was right grows, another begins at 1
+        sure = np.minimum(self.sure1 * right1, SURE - 1)
+        sure += 1
+        self.next1[self.at1] = (sure << 28) | value
+        sure = np.minimum(self.sure2 * right2, SURE - 1)
+        sure += 1
+        self.next2[self.at2] = (sure << 28) | value
 
 
 def _moves(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
@@ -115,6 +128,11 @@ def _moves(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
     raise ValueError("block is damaged")
 
 
+def _filled(lengths: np.ndarray) -> list[int]:
+    """For each step the number of lanes that have an id there; lengths don't increase."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
+
+
 def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """blocks: longest first."""
     lanes, longest = len(blocks), len(blocks[0])
@@ -132,9 +150,8 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     used = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     mixer, marks = Mixer(lanes, bits), iter(places(longest))
-    mark, counted, last, last2 = next(marks, -1), 0, np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, "left"))
+    mark, counted, one_back, two_back, earlier = next(marks, -1), 0, *(np.zeros(lanes, np.int64) for _ in range(3))
+    for t, n in enumerate(_filled(lengths)):
         if t == mark:
             counts += np.bincount(dense[counted:t, :n].ravel(), minlength=lanes * width).astype(np.int32)
             by_lane = counts.reshape(lanes, width)
@@ -142,15 +159,16 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             mixer.learn(t, np.count_nonzero(by_lane[:n], axis=1))
             mark, counted = next(marks, -1), t
         value, lo, sp = ids[t, :n].astype(np.int64), low[:n], span[:n]
-        a2, a12, known, unit, new = mixer.share(n, last[:n], last2[:n])
-        at = dense[t, :n]
+        a2, a12, known, unit, new = mixer.share(n, one_back[:n], two_back[:n])
         start, size = known + value * new, new
-        times = counts[at]
-        old = (times > 0) & (unit > 0)
-        start, size = np.where(old, a12 + unit * before[at], start), np.where(old, unit * times, size)
+        if mixer.seen:
+            at = dense[t, :n]
+            times = counts.take(at)
+            old = (times > 0) & (unit > 0)
+            start, size = np.where(old, a12 + unit * before.take(at), start), np.where(old, unit * times, size)
         is1 = mixer.two_ways & (mixer.id1 == value) & (a12 > a2)
         start, size = np.where(is1, a2, start), np.where(is1, a12 - a2, size)
-        is2 = (mixer.sure2 > 0) & (mixer.id2 == value) & (a2 > 0)
+        is2 = (mixer.id2 == value) & (a2 > 0)
         start, size = np.where(is2, 0, start), np.where(is2, a2, size)
         sp >>= np.uint64(24)
         lo += sp * start.astype(np.uint64)
@@ -161,7 +179,8 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             lo[move] <<= WORD
             sp[move] <<= WORD
         mixer.update(value)
-        last, last2 = value, last
+        last = value * HASH_1
+        two_back, one_back, earlier = last + earlier[:n], last, value * HASH_2
     for _ in range(4):
         out[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
         used += 1
@@ -179,11 +198,10 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
     code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << WORD) | words[:, 3]
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     mixer, marks, ids = Mixer(lanes, bits), iter(places(longest)), np.zeros((longest, lanes), np.int32)
-    mark, last, last2 = next(marks, -1), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    mark, one_back, two_back, earlier = next(marks, -1), *(np.zeros(lanes, np.int64) for _ in range(3))
     kind = np.uint16 if bits <= 16 else np.uint32
     known_id = first = times = None
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, "left"))
+    for t, n in enumerate(_filled(lengths)):
         if t == mark:
             known = np.sort(ids[:t, :n].T.astype(kind), axis=1, kind="stable")
             head = np.ones((n, t), bool)
@@ -196,7 +214,7 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
             mixer.learn(t, head.reshape(n, t).sum(axis=1))
             mark = next(marks, -1)
         lo, sp, co = low[:n], span[:n], code[:n]
-        a2, a12, old, unit, new = mixer.share(n, last[:n], last2[:n])
+        a2, a12, old, unit, new = mixer.share(n, one_back[:n], two_back[:n])
         sp >>= np.uint64(24)
         goal = np.minimum((co - lo) // sp, np.uint64(WHOLE - 1)).astype(np.int64)
         value = np.minimum((goal - old) // new, (1 << bits) - 1)
@@ -218,7 +236,8 @@ def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray
             lo[move] <<= WORD
             sp[move] <<= WORD
         mixer.update(value)
-        ids[t, :n], last, last2 = value, value, last
+        ids[t, :n], last = value, value * HASH_1
+        two_back, one_back, earlier = last + earlier[:n], last, value * HASH_2
     return ids
 
 
