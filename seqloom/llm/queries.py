@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import table, text_or_empty
+from seqloom.llm.common import small_batches, table, text_or_empty
 
 #: The rules of the URL query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -42,12 +42,14 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.token_counts import count_tokens
 
+    small_batches(spark)
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.substring_dedup import remove_repeats
 
+    small_batches(spark)
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), k=13, columns=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -81,6 +83,7 @@ def held_out():
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.langid import identify, train
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()))
     return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
