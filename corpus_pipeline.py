@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, langid, minhash, mixing, token_output
-from seqloom.llm.common import remove, scratch_folder, shielded, table
+from seqloom.llm.common import remove, scratch_folder, shielded, small_batches, table
 
 #: A document stays if its language is certain to at least this degree.
 LEAST_CERTAIN = 0.5
@@ -25,6 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows and ties are judged alike, by the text only. If no row has a language to learn from, all languages stay open.
     """
 
+    small_batches(spark)  # the stage's rows are read after it has returned
+
     def certain(rows: DataFrame) -> DataFrame:
         found = langid.identify(rows, langid.train(docs))
         return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN))
