@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import operators as O
-from seqloom.plans.commands import ALIASES, COMMANDS, LONG, SHORT, run, run_pipe
+from seqloom.plans.commands import ALIASES, COMMANDS, LONG, SHORT, Command, run, run_pipe
 from seqloom.sources import fastx, sinks
 
 
@@ -119,6 +119,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     inputs = [None] if listing else [read(f) for f in files]
     if "seq_type" in command.options and options.get("seq_type", "auto") == "auto" and not listing and args.command != "seq":
         options["seq_type"] = O.seq_type(inputs[0], args.alphabet_guess_seq_length)
+    several = any(options.get(k) for k in ("save_unpaired", "dup_seqs_file", "dup_num_file"))
+    if several:  # more than one output: the inputs are read once
+        inputs = [df.persist() for df in inputs]
+    try:
+        _put(spark, args, command, inputs, options, files)
+    finally:
+        for df in inputs if several else ():
+            df.unpersist()
+
+
+def _put(spark: SparkSession, args: argparse.Namespace, command: Command, inputs: list[DataFrame], options: dict, files: list[str]) -> None:
+    """Runs a command and stores or prints what it gives, side files included."""
     result = run(spark, args.command, inputs, options, files, args.order)
     if command.output == "table":
         print(stats_table(result, bool(options.get("tabular"))))
