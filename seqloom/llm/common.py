@@ -226,14 +226,14 @@ class KeySet:
         self.log2_words = min(words(bits_a_key), int(math.log2(most_bits // 64))) if fits else 0
         self.bits = bitset(keys, self.name, self.log2_words) if fits else None
 
-    def test(self, bits: Column, hashed: Column) -> Column:
-        """Whether the set may hold the hash; `bits` is the set's own, or a column that it was put into."""
-        return in_bitset(bits, hashed, self.log2_words)
+    def test(self, hashed: Column) -> Column:
+        """Whether the set may hold the hash, by its bits."""
+        return in_bitset(self.bits, hashed, self.log2_words)
 
     def marked(self, rows: DataFrame, hashed: Column, out: str) -> DataFrame:
         """Adds `out`: whether the row's hash is in the set; by bits (which may say yes to others), or by a join."""
         if self.bits is not None:
-            return rows.withColumn(out, self.test(self.bits, hashed))
+            return rows.withColumn(out, self.test(hashed))
         known = self.keys.select(F.col(self.name).alias("__hash_of_key"), F.lit(True).alias("__known")).distinct()
         joined = rows.withColumn("__hash_of_row", hashed).join(known, F.col("__hash_of_row") == F.col("__hash_of_key"), "left")
         return joined.select(*rows.columns, F.col("__known").isNotNull().alias(out))
@@ -260,7 +260,7 @@ def without(rows: DataFrame, key: str, gone: DataFrame, most_bits: int = MOST_BI
     held = KeySet(gone.select(F.xxhash64(key).alias("__h")), most_bits)
     if held.bits is None:
         return rows.join(gone, key, "left_anti")
-    maybe = held.test(held.bits, F.xxhash64(key))
+    maybe = held.test(F.xxhash64(key))
     return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, key, "left_anti").select(*rows.columns))
 
 

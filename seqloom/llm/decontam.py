@@ -44,11 +44,9 @@ def _found(docs: DataFrame, key: Column, items: DataFrame, item_col: str, item_t
     known = KeySet(scratch.keep(sketch.select("__h").distinct()), bits_a_key=256)
     all_runs = lambda ws: runs(ws, lengths[0]) if len(lengths) == 1 else F.flatten(F.array(F.array().cast("array<bigint>"), *[runs(ws, n) for n in lengths]))
     hashes = fence(let(word_hashes(F.col("__text")), all_runs)).alias("__all")
-    rows = docs.select(key.alias("__doc"), hashes)
-    if known.bits is not None:
-        rows = rows.withColumn("__bits", known.bits)
-        rows = rows.withColumn("__all", fence(F.filter("__all", lambda h: known.test(F.col("__bits"), h))))
-    hits = rows.select("__doc", F.explode("__all").alias("__h"))
+    hits = docs.select(key.alias("__doc"), hashes).select("__doc", F.explode("__all").alias("__h"))
+    if known.bits is not None:  # tested on exploded rows, in generated code, so that the set is not copied for each document
+        hits = hits.where(known.test(F.col("__h")))
     pairs = scratch.keep(hits.join(sketch, "__h").select("__doc", "__item").distinct())
 
     # full shingles of candidate pairs only
