@@ -39,8 +39,11 @@ def _pieces(spark: SparkSession, paths: list[str], separator: str, blank: bool =
     splits = rows.groupBy("__input", "source", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__input", "source", "__block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    rows = rows.join(splits, ["__input", "source", "__block"])
-    return rows.select("source", (F.col("__before") + F.col("__at") - F.col("__first")).alias("ordinal"), "value")
+    rows = rows.join(splits, ["__input", "source", "__block"]).withColumn("__place", F.col("__at") - F.col("__first"))
+    # counts and records come from two scans: if the second deals the splits to tasks in another way, say so
+    moved = (F.col("__place") < 0) | (F.col("__place") >= F.col("__n"))
+    place = F.when(moved, F.raise_error(F.lit("the files were split in another way when they were read again")).cast("long")).otherwise(F.col("__place"))
+    return rows.select("source", (F.col("__before") + place).alias("ordinal"), "value")
 
 
 def _records(rows: DataFrame, name: Column, seq: Column, qual: Column, id_regexp: str | None, ncbi: bool, raw: Column | None = None) -> DataFrame:
