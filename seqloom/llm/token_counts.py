@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -55,7 +54,7 @@ class Encoder:
     a piece begins. Tokenizers without safe boundaries get whole texts.
     """
 
-    def __init__(self, path: str, most_pieces: int = 1 << 17, most_chars: int = 1 << 22, joined: int = 4096):
+    def __init__(self, path: str, most_pieces: int = 1 << 16, most_chars: int = 1 << 21, joined: int = 4096):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.most_pieces, self.most_chars, self.joined = most_pieces, most_chars, joined
         if path.endswith(".model"):
@@ -66,20 +65,19 @@ class Encoder:
             self.cut, self.size = False, model.get_piece_size()
         else:
             from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel
 
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
             self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            with open(path, encoding="utf-8") as f:
-                known = json.load(f)
-            before = known.get("pre_tokenizer") or {}
-            usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-            special = [t["content"] for t in known.get("added_tokens", ())]
-            self.cut = usual and not known.get("normalizer") and not any(" " in t for t in special)
+            before = model.pre_tokenizer
+            usual = isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
+            special = [t.content for t in model.get_added_tokens_decoder().values()]
+            self.cut = usual and model.normalizer is None and not any(" " in t for t in special)
             self.size = model.get_vocab_size()
-            self.begins = np.zeros(self.size, bool)  # byte-level tokens that begin with a space
-            self.begins[[i for t, i in model.get_vocab().items() if t.startswith("\u0120")]] = True
+            # byte-level tokens that begin with a space
+            self.begins = np.fromiter(((model.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)), bool, self.size)
             # a piece with (part of) a special string is encoded alone
             self.odd = re.compile("|".join([" ", *(re.escape(t) for t in special)]))
         self.place, self.chars, self.used = Places(), 0, 0
