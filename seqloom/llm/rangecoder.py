@@ -26,11 +26,14 @@ MAGIC = b"SLR2"
 SLOTS_1, SLOTS_2 = 4096, 8192
 #: Parts of a step's whole, and what new ids keep of it at least, as a power of two above the number of ids.
 WHOLE, SPARE = 1 << 24, 2
-WORD, TOP, BOTTOM, LOW_MASK = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+WORD, TOP, BOTTOM, LAST, LOW_MASK = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 32) - 1)
 SURE = 7
 LEAST_HIT, MOST_HIT = 64, 3968
 ID_MASK = (1 << 28) - 1
 HASH_1, HASH_2 = 0x9E3779B1, 0x85EBCA6B
+SHIFTS, MASKS = np.array([[13], [15]]), np.array([[SLOTS_1 - 1], [SLOTS_2 - 1]])
+#: Steps that the encoder prepares at once, and lanes that the decoder sorts at once.
+STEPS, SORTED_LANES = 64, 64
 
 
 def places(longest: int) -> list[int]:
@@ -42,17 +45,35 @@ def places(longest: int) -> list[int]:
     return out
 
 
+def _grown() -> np.ndarray:
+    """How often predictions of a kind have been right, of 4096: the next value in states 0 (not tried), 1 (wrong), 2 (right).
+
+    A state's line begins at state << 12. Kinds that predict nothing stay 0.
+    """
+    hit = np.arange(4096)
+    out = np.stack([hit, hit + (-hit >> 5), hit + ((4096 - hit) >> 5)])
+    out[1:] = np.clip(out[1:], LEAST_HIT, MOST_HIT)
+    out[:, 0] = 0
+    return out.ravel()
+
+
+GROWN = _grown()
+
+
 class Mixer:
-    """The models of all lanes. share() gives the line of one step: order 2, order 1, order 0 (whole units of its counts), new ids."""
+    """The models of all lanes. In pairs, order 1 comes first, then order 2.
+
+    `next` has what last followed an id, or two ids, as confidence << 28 | id; `hits` how often predictions of the same confidences were right.
+    """
 
     def __init__(self, lanes: int, bits: int):
-        self.bits = bits
-        self.next1 = np.zeros(lanes * SLOTS_1, np.int32)  # confidence << 28 | id
-        self.next2 = np.zeros(lanes * SLOTS_2, np.int32)
-        self.base1, self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS_1, np.arange(lanes, dtype=np.int64) * SLOTS_2
-        self.hits2 = np.full(lanes * 64, 1024, np.int64)
-        self.hits1 = np.full(lanes * 8, 1024, np.int64)
-        self.hit_base2, self.hit_base1 = np.arange(lanes, dtype=np.int64) * 64, np.arange(lanes, dtype=np.int64) * 8
+        self.bits, self.mixed, lane = bits, WHOLE - (1 << (bits + SPARE)), np.arange(lanes, dtype=np.int64)
+        self.next = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.int32)
+        self.bases = np.stack([lane * SLOTS_1, lane * SLOTS_2 + lanes * SLOTS_1])
+        hits1, hits2 = np.full((lanes, 8), 1024, np.int64), np.full((lanes, 8, 8), 1024, np.int64)
+        hits1[:, 0], hits2[:, 0] = 0, 0
+        self.hits = np.concatenate([hits1.ravel(), hits2.ravel()])
+        self.hit_bases = np.stack([lane * 8, lane * 64 + lanes * 8])
         self.seen = 0
         self.old = np.zeros(lanes, np.int64)  # share of ids that aren't new, of 65536
 
@@ -61,49 +82,72 @@ class Mixer:
         self.seen = seen
         self.old[: len(distinct)] = (seen << 16) // (seen + distinct)
 
-    def share(self, n: int, one_back: np.ndarray, two_back: np.ndarray) -> tuple[np.ndarray, ...]:
-        """one_back, two_back: hashes of the last id and of the last two."""
-        self.at1 = self.base1[:n] + ((one_back >> 13) & (SLOTS_1 - 1))
-        self.at2 = self.base2[:n] + ((two_back >> 15) & (SLOTS_2 - 1))
-        one, two = self.next1.take(self.at1).astype(np.int64), self.next2.take(self.at2).astype(np.int64)
-        self.sure1, self.sure2, self.id1, self.id2 = one >> 28, two >> 28, one & ID_MASK, two & ID_MASK
-        self.hit_at2 = self.hit_base2[:n] + (self.sure2 * 8 + self.sure1)
-        self.hit_at1 = self.hit_base1[:n] + self.sure1
-        self.named2, named1 = self.sure2 > 0, self.sure1 > 0
-        mixed = WHOLE - (1 << (self.bits + SPARE))
-        self.hit2, self.hit1 = self.hits2.take(self.hit_at2), self.hits1.take(self.hit_at1)
-        a2 = (self.hit2 * mixed) >> 12
-        a2 *= self.named2
-        rest = mixed - a2
-        self.two_ways = named1 & ((self.id1 != self.id2) | ~self.named2)
-        a1 = (self.hit1 * rest) >> 12
-        a1 *= self.two_ways
-        rest -= a1
-        a12 = a1 + a2
+    def at(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places in `next` after the ids one step and two steps back; pairs are the last axis but one."""
+        hashed = np.empty((*one.shape[:-1], 2, one.shape[-1]), np.int64)
+        hashed[..., 0, :] = one
+        hashed[..., 0, :] *= HASH_1
+        hashed[..., 1, :] = two
+        hashed[..., 1, :] *= HASH_2
+        hashed[..., 1, :] += hashed[..., 0, :]
+        hashed >>= SHIFTS
+        hashed &= MASKS
+        hashed += self.bases[:, : one.shape[-1]]
+        return hashed
+
+    def kinds(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `hits` of predictions as `next` has them, and whether both orders name the same id."""
+        sure = now >> 28
+        at = self.hit_bases[:, : now.shape[-1]] + sure[..., :1, :]
+        at[..., 1, :] += sure[..., 1, :] << 3
+        same = ((now[..., 0, :] ^ now[..., 1, :]) & ID_MASK) == 0
+        same &= sure[..., 1, :] > 0
+        return at, same
+
+    def share(self, hit: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The line of a step: order 2, order 1, order 0 (whole units of its counts), new ids. Order 1 has no part where both name the same."""
+        a2 = hit[..., 1, :] * self.mixed
+        a2 >>= 12
+        rest = self.mixed - a2
+        a12 = hit[..., 0, :] * ~same
+        a12 *= rest
+        a12 >>= 12
+        rest -= a12
+        a12 += a2
         if not self.seen:
-            return a2, a12, a12, np.zeros(n, np.int64), (WHOLE - a12) >> self.bits
-        unit = ((rest * self.old[:n]) >> 16) // self.seen
-        known = a12 + unit * self.seen
-        return a2, a12, known, unit, (WHOLE - known) >> self.bits
-
-    def update(self, value: np.ndarray) -> None:
-        right2, right1 = self.named2 & (self.id2 == value), (self.sure1 > 0) & (self.id1 == value)
-        step = ((right2.astype(np.int64) << 12) - self.hit2) >> 5
-        step += self.hit2
-        np.maximum(step, LEAST_HIT, out=step)
-        self.hits2[self.hit_at2] = np.minimum(step, MOST_HIT, out=step)
-        step = ((right1.astype(np.int64) << 12) - self.hit1) >> 5
-        step *= self.two_ways & ~right2
-        step += self.hit1
-        np.maximum(step, LEAST_HIT, out=step)
-        self.hits1[self.hit_at1] = np.minimum(step, MOST_HIT, out=step)
-        # the confidence that was right grows, another begins at 1
-        sure = np.minimum(self.sure1 * right1, SURE - 1)
-        sure += 1
-        self.next1[self.at1] = (sure << 28) | value
-        sure = np.minimum(self.sure2 * right2, SURE - 1)
-        sure += 1
-        self.next2[self.at2] = (sure << 28) | value
+            return a2, a12, a12, np.zeros_like(a12), (WHOLE - a12) >> self.bits
+        rest *= self.old[: rest.shape[-1]]
+        rest >>= 16
+        rest //= self.seen
+        known = rest * self.seen
+        known += a12
+        new = WHOLE - known
+        new >>= self.bits
+        return a2, a12, known, rest, new
+
+
+def _followed(now: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `next` has after the step, and its old confidence << 28 where it was right, else 0. first: the step's id with confidence 1.
+
+    The confidence that was right grows, another begins at 1.
+    """
+    right = now - first
+    right += 1 << 28
+    right *= (right & ID_MASK) == 0
+    then = np.minimum(right, (SURE - 1) << 28)
+    then += first
+    return then, right
+
+
+def _states(right: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Lines of GROWN for the step; order 1 was not tried where order 2 was right or both name the same."""
+    state = (right > 0).astype(np.int64)
+    untried = state[..., 1, :].astype(bool)
+    untried |= same
+    state += 1
+    state[..., 0, :] *= ~untried
+    state <<= 12
+    return state
 
 
 def _moves(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
@@ -133,112 +177,179 @@ def _filled(lengths: np.ndarray) -> list[int]:
     return np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
 
 
+def _step(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Moves out the words that both ends of a lane's span have in common, and returns their numbers."""
+    ends = low + span
+    ends ^= low
+    words = (ends < TOP).view(np.uint8) + (ends < BOTTOM).view(np.uint8)
+    words += (ends < LAST).view(np.uint8)
+    bits = words.astype(np.uint64)
+    bits <<= np.uint64(4)
+    low <<= bits
+    span <<= bits
+    return words
+
+
+def _placed(blocks: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids by step and lane, with two steps of 0 before them; places of ids in a table of `width` different ids for each lane; width."""
+    ids, places, width = np.zeros((longest + 2, len(blocks)), np.int32), np.zeros((longest, len(blocks)), np.int32), 0
+    for i, b in enumerate(blocks):
+        keys = b.astype(np.uint16) if int(b.max()) < 1 << 16 else b  # sorted by radix
+        order = keys.argsort(kind="stable")
+        keys = keys[order]
+        ids[2 : len(b) + 2, i], places[order, i] = b, np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+        width = max(width, int(places[order[-1], i]) + 1)
+    places += np.arange(len(blocks), dtype=np.int32) * np.int32(width)
+    return ids, places, width
+
+
 def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
-    """blocks: longest first."""
+    """blocks: longest first. Only what the step before decides goes step by step; the rest is prepared for some steps at once."""
     lanes, longest = len(blocks), len(blocks[0])
-    lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.int32)
-    dense = np.zeros((longest, lanes), np.int32)
-    kinds = np.zeros(lanes, np.int64)
-    for i, b in enumerate(blocks):
-        found, place = np.unique(b, return_inverse=True)
-        ids[: len(b), i], dense[: len(b), i], kinds[i] = b, place, len(found)
-    width = int(kinds.max())
-    dense += np.arange(lanes, dtype=np.int32) * np.int32(width)
+    ids, dense, width = _placed(blocks, longest)
+    filled = _filled(np.array([len(b) for b in blocks]))
     counts, before = np.zeros(lanes * width, np.int32), np.zeros(lanes * width, np.int32)
-    out = np.empty((lanes, longest * 2 + 8), np.uint16)
-    used = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, marks = Mixer(lanes, bits), iter(places(longest))
-    mark, counted, one_back, two_back, earlier = next(marks, -1), 0, *(np.zeros(lanes, np.int64) for _ in range(3))
-    for t, n in enumerate(_filled(lengths)):
-        if t == mark:
-            counts += np.bincount(dense[counted:t, :n].ravel(), minlength=lanes * width).astype(np.int32)
+    out: list[list[bytes]] = [[] for _ in range(lanes)]
+    mixer, marks, counted = Mixer(lanes, bits), set(places(longest)), 0
+    cuts = sorted({*range(0, longest, STEPS), *marks, longest})
+    for begin, end in zip(cuts, cuts[1:]):
+        n, steps = filled[begin], list(enumerate(filled[begin:end]))
+        if begin in marks:
+            counts += np.bincount(dense[counted:begin, :n].ravel(), minlength=lanes * width).astype(np.int32)
             by_lane = counts.reshape(lanes, width)
             before = (np.cumsum(by_lane, axis=1, dtype=np.int32) - by_lane).ravel()
-            mixer.learn(t, np.count_nonzero(by_lane[:n], axis=1))
-            mark, counted = next(marks, -1), t
-        value, lo, sp = ids[t, :n].astype(np.int64), low[:n], span[:n]
-        a2, a12, known, unit, new = mixer.share(n, one_back[:n], two_back[:n])
+            mixer.learn(begin, np.count_nonzero(by_lane[:n], axis=1))
+            counted = begin
+        value = ids[begin + 2 : end + 2, :n]
+        first, at = value + np.int32(1 << 28), mixer.at(ids[begin + 1 : end + 1, :n], ids[begin:end, :n])
+        now, right = np.zeros(at.shape, np.int32), np.zeros(at.shape, np.int32)
+        for i, m in steps:
+            place = at[i, :, :m]
+            now[i, :, :m] = named = mixer.next.take(place)
+            mixer.next[place], right[i, :, :m] = _followed(named, first[i, :m])
+        at, same = mixer.kinds(now)
+        hit, state = np.zeros(at.shape, np.int64), _states(right, same)
+        for i, m in steps:
+            place = at[i, :, :m]
+            hit[i, :, :m] = was = mixer.hits.take(place)
+            mixer.hits[place] = GROWN.take(was + state[i, :, :m])
+        a2, a12, known, unit, new = mixer.share(hit, same)
         start, size = known + value * new, new
         if mixer.seen:
-            at = dense[t, :n]
-            times = counts.take(at)
+            place = dense[begin:end, :n]
+            times = counts.take(place)
             old = (times > 0) & (unit > 0)
-            start, size = np.where(old, a12 + unit * before.take(at), start), np.where(old, unit * times, size)
-        is1 = mixer.two_ways & (mixer.id1 == value) & (a12 > a2)
+            start, size = np.where(old, a12 + unit * before.take(place), start), np.where(old, unit * times, size)
+        is1 = (right[:, 0] > 0) & ~same & (a12 > a2)
         start, size = np.where(is1, a2, start), np.where(is1, a12 - a2, size)
-        is2 = (mixer.id2 == value) & (a2 > 0)
-        start, size = np.where(is2, 0, start), np.where(is2, a2, size)
-        sp >>= np.uint64(24)
-        lo += sp * start.astype(np.uint64)
-        sp *= size.astype(np.uint64)
-        for move in _moves(lo, sp):
-            out[move, used[move]] = (lo[move] >> np.uint64(48)).astype(np.uint16)
-            used[move] += 1
-            lo[move] <<= WORD
-            sp[move] <<= WORD
-        mixer.update(value)
-        last = value * HASH_1
-        two_back, one_back, earlier = last + earlier[:n], last, value * HASH_2
-    for _ in range(4):
-        out[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
-        used += 1
-        low <<= WORD
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
+        is2 = (right[:, 1] > 0) & (a2 > 0)
+        start, size = np.where(is2, 0, start).view(np.uint64), np.where(is2, a2, size).view(np.uint64)
+        lows, words, late = np.zeros(start.shape, "<u8"), np.zeros(start.shape, np.uint8), []
+        for i, m in steps:
+            lo, sp = low[:m], span[:m]
+            sp >>= np.uint64(24)
+            lo += sp * start[i, :m]
+            sp *= size[i, :m]
+            lows[i, :m] = lo
+            words[i, :m] = _step(lo, sp)
+            if sp.min() < BOTTOM:
+                for move in _moves(lo, sp):
+                    late += [(lane, i, word) for lane, word in zip(move.tolist(), (lo[move] >> np.uint64(48)).tolist())]
+                    lo[move] <<= WORD
+                    sp[move] <<= WORD
+        words = words.T
+        made = lows.view("<u2").reshape(*start.shape, 4)[:, :, 3:0:-1].transpose(1, 0, 2)[words[:, :, None] > np.arange(3)]
+        ends = np.cumsum(words, dtype=np.int64).reshape(words.shape)
+        last = ends[:, -1].copy()
+        if late:
+            made = np.insert(made, [ends[lane, i] for lane, i, _ in late], [word for _, _, word in late])
+            last += np.cumsum(np.bincount([lane for lane, _, _ in late], minlength=n))
+        for lane, (a, b) in enumerate(zip([0, *last.tolist()], last.tolist())):
+            out[lane].append(made[a:b].tobytes())
+    tails = low.astype("<u8").view("<u2").reshape(lanes, 4)[:, ::-1]
+    return [b"".join([*parts, tail.tobytes()]) for parts, tail in zip(out, tails)]
 
 
 def _decode(payloads: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray:
     """lengths: not increasing. Returns ids (longest, lanes)."""
-    lanes, longest = len(payloads), int(lengths[0])
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), np.uint64)
+    lanes, longest, width = len(payloads), int(lengths[0]), max(len(p) for p in payloads) // 2 + 8
+    windows = np.zeros((lanes, width), np.uint64)  # four words from each on
     for i, p in enumerate(payloads):
-        words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    used = np.full(lanes, 4, np.int64)
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << WORD) | words[:, 3]
+        words = np.zeros(len(p) // 2 + 3, np.uint64)
+        words[: len(p) // 2] = np.frombuffer(p, "<u2")
+        for shift in range(4):
+            windows[i, : len(p) // 2] |= words[shift : shift + len(p) // 2] << np.uint64(48 - 16 * shift)
+    windows, used = windows.ravel(), np.arange(lanes, dtype=np.int64) * width
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mixer, marks, ids = Mixer(lanes, bits), iter(places(longest)), np.zeros((longest, lanes), np.int32)
-    mark, one_back, two_back, earlier = next(marks, -1), *(np.zeros(lanes, np.int64) for _ in range(3))
+    mixer, marks, ids = Mixer(lanes, bits), iter(places(longest)), np.zeros((longest + 2, lanes), np.int32)
+    mark, most, highest = next(marks, -1), np.uint64(WHOLE - 1), np.uint64((1 << bits) - 1)
     kind = np.uint16 if bits <= 16 else np.uint32
-    known_id = first = times = None
+    run = head = known_id = row = None
     for t, n in enumerate(_filled(lengths)):
         if t == mark:
-            known = np.sort(ids[:t, :n].T.astype(kind), axis=1, kind="stable")
-            head = np.ones((n, t), bool)
-            head[:, 1:] = known[:, 1:] != known[:, :-1]
-            head = head.ravel()
-            heads = np.flatnonzero(head)
-            run = np.cumsum(head, dtype=np.int32) - 1
-            first, times = (heads % t).astype(np.int32)[run], np.diff(np.append(heads, n * t)).astype(np.int32)[run]
-            known_id, row = known.ravel(), np.arange(n, dtype=np.int64) * t
-            mixer.learn(t, head.reshape(n, t).sum(axis=1))
+            run, head, known_id, row = np.empty(n * t, np.int32), [], [], np.arange(n, dtype=np.int64) * t
+            distinct = np.empty(n, np.int64)
+            for a in range(0, n, SORTED_LANES):
+                b = min(a + SORTED_LANES, n)
+                known = np.sort(np.ascontiguousarray(ids[2 : t + 2, a:b].T, kind), axis=1, kind="stable")
+                differs = np.ones(known.shape, bool)
+                differs[:, 1:] = known[:, 1:] != known[:, :-1]
+                distinct[a:b] = differs.sum(axis=1)
+                np.cumsum(differs, dtype=np.int32, out=run[a * t : b * t])
+                run[a * t : b * t] += sum(map(len, head)) - 1
+                head.append(np.flatnonzero(differs) + a * t)
+                known_id.append(known.ravel()[head[-1] - a * t].astype(np.int64))
+            head, known_id = np.concatenate([*head, [n * t]]), np.concatenate(known_id)
+            mixer.learn(t, distinct)
             mark = next(marks, -1)
-        lo, sp, co = low[:n], span[:n], code[:n]
-        a2, a12, old, unit, new = mixer.share(n, one_back[:n], two_back[:n])
+        lo, sp = low[:n], span[:n]
+        at = mixer.at(ids[t + 1, :n], ids[t, :n])
+        now = mixer.next.take(at)
+        place, same = mixer.kinds(now)
+        hit = mixer.hits.take(place)
+        a2, a12, old, unit, new = mixer.share(hit, same)
         sp >>= np.uint64(24)
-        goal = np.minimum((co - lo) // sp, np.uint64(WHOLE - 1)).astype(np.int64)
-        value = np.minimum((goal - old) // new, (1 << bits) - 1)
-        start, size = old + value * new, new
+        goal = windows.take(used[:n], mode="clip")
+        goal -= lo
+        goal //= sp
+        goal = np.minimum(goal, most).view(np.int64)
+        value = np.minimum((goal - old).view(np.uint64) // new.view(np.uint64), highest).view(np.int64)
+        start, size = value * new, new
+        start += old
         if mixer.seen:
+            rank = goal - a12
+            rank //= np.maximum(unit, 1)
+            np.maximum(rank, 0, out=rank)
+            np.minimum(rank, mixer.seen - 1, out=rank)
+            rank += row[:n]
+            of = run.take(rank)
+            begins = head.take(of)
+            times = head.take(of + 1)
+            times -= begins
+            times *= unit
+            begins -= row[:n]
+            begins *= unit
+            begins += a12
             is0 = goal < old
-            at = row[:n] + np.minimum(np.maximum((goal - a12) // np.maximum(unit, 1), 0), mixer.seen - 1)
-            value = np.where(is0, known_id[at], value)
-            start, size = np.where(is0, a12 + unit * first[at], start), np.where(is0, unit * times[at], size)
-        is1 = goal < a12
-        value, start, size = np.where(is1, mixer.id1, value), np.where(is1, a2, start), np.where(is1, a12 - a2, size)
+            value, start, size = np.where(is0, known_id.take(of), value), np.where(is0, begins, start), np.where(is0, times, size)
+        named, is1 = now & ID_MASK, goal < a12
+        value, start, size = np.where(is1, named[0], value), np.where(is1, a2, start), np.where(is1, a12 - a2, size)
         is2 = goal < a2
-        value, start, size = np.where(is2, mixer.id2, value), np.where(is2, 0, start), np.where(is2, a2, size)
-        lo += sp * start.astype(np.uint64)
-        sp *= size.astype(np.uint64)
-        for move in _moves(lo, sp):
-            co[move] = (co[move] << WORD) | words[move, np.minimum(used[move], words.shape[1] - 1)]
-            used[move] += 1
-            lo[move] <<= WORD
-            sp[move] <<= WORD
-        mixer.update(value)
-        ids[t, :n], last = value, value * HASH_1
-        two_back, one_back, earlier = last + earlier[:n], last, value * HASH_2
-    return ids
+        value, start, size = np.where(is2, named[1], value), np.where(is2, 0, start), np.where(is2, a2, size)
+        lo += sp * start.view(np.uint64)
+        sp *= size.view(np.uint64)
+        used[:n] += _step(lo, sp)
+        if sp.min() < BOTTOM:
+            for move in _moves(lo, sp):
+                used[move] += 1
+                lo[move] <<= WORD
+                sp[move] <<= WORD
+        ids[t + 2, :n] = value
+        mixer.next[at], right = _followed(now, ids[t + 2, :n] + np.int32(1 << 28))
+        hit += _states(right, same)
+        mixer.hits[place] = GROWN.take(hit)
+    return ids[2:]
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -252,7 +363,7 @@ def head_of(frame: bytes) -> tuple:
     return struct.unpack_from(HEADER, frame)
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 256) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 512) -> list[bytes]:
     """One frame per block of ids; ids are below 2 ** bits, bits from 8 to 20."""
     if not 8 <= bits <= 20:
         raise ValueError("bits is 8 to 20")
@@ -268,7 +379,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int = 16, lanes: int = 256) ->
     return frames
 
 
-def decode_frames(frames: list[bytes], lanes: int = 256) -> list[np.ndarray]:
+def decode_frames(frames: list[bytes], lanes: int = 512) -> list[np.ndarray]:
     """The ids of each frame; raises ValueError where a frame is damaged."""
     heads = [head_of(f) for f in frames]
     if any(len(f) != HEADER_BYTES + h[3] or h[3] % 2 for f, h in zip(frames, heads)):

@@ -29,15 +29,12 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
         encoder = Encoder(path)
         bits = max(16, max(encoder.size - 1, end_id).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple[list, list, list]] = []  # ids of documents, their lengths, arrays of token ids
+        held: list[tuple[list, list, np.ndarray]] = []  # ids of documents, their lengths, token ids
         docs, lengths, arrays, size, waiting = [], [], [], 0, 0
 
         def rows() -> pa.RecordBatch:
             nonlocal seq
-            cut = []
-            for _, _, parts in held:
-                ids = np.concatenate(parts)
-                cut.append([ids[i : i + block_ids] for i in range(0, len(ids), block_ids)])
+            cut = [[ids[i : i + block_ids] for i in range(0, len(ids), block_ids)] for _, _, ids in held]
             frames = iter(rangecoder.encode_blocks([b for blocks in cut for b in blocks], bits, lanes))
             made = pa.RecordBatch.from_arrays(
                 [
@@ -62,21 +59,21 @@ def _encoder(path: str, end_id: int, block_ids: int, segment_ids: int, lanes: in
                     docs.append(doc), lengths.append(len(found) + 1), arrays.extend((found, end))
                     size += len(found) + 1
                     if size >= segment_ids:
-                        held.append((docs, lengths, arrays))
+                        held.append((docs, lengths, np.concatenate(arrays)))
                         waiting += size
                         docs, lengths, arrays, size = [], [], [], 0
                     if waiting >= lanes * block_ids:
                         yield rows()
                         waiting = 0
         if docs:
-            held.append((docs, lengths, arrays))
+            held.append((docs, lengths, np.concatenate(arrays)))
         if held:
             yield rows()
 
     return encode
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 256, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = 8192, segment_ids: int = 1 << 16, lanes: int = 512, partitions: int | None = None, batch_bytes: int = 1 << 20) -> None:
     """Encodes every whole text (null: empty), appends `end_id`, and writes the ids in ascending order of id_col.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their text. A text that alone is longer than a
@@ -126,7 +123,7 @@ def _decoder(with_ids: bool, lanes: int):
     return decode
 
 
-def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 256) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True, lanes: int = 512) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids (or ids_crc32, their checksum).
 
     Blocks whose checksum or length is wrong raise ValueError.
