@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the columns of
 `documents`, as they are, whatever their names. The result is what the token files say of each document; the stages have no
-common SQL, so tests compare them with brute force. An empty table of documents gives empty results in every stage.
+common SQL, so tests compare them with brute force. An empty table of documents gives empty results in every stage. Before each
+stage the executors' JVMs return the heap that the one before needed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, langid, minhash, mixing, token_output
-from seqloom.llm.common import remove, scratch_folder, shielded, small_batches, table
+from seqloom.llm.common import give_back, remove, scratch_folder, shielded, small_batches, table
 
 #: A document stays if its language is certain to at least this degree.
 LEAST_CERTAIN = 0.5
@@ -25,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows and ties are judged alike, by the text only. If no row has a language to learn from, all languages stay open.
     """
 
+    give_back(spark)
     small_batches(spark)  # the stage's rows are read after it has returned
 
     def certain(rows: DataFrame) -> DataFrame:
@@ -40,6 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest id stays, null last, then the smallest hash of id and text; of rows that agree in both one stays. Documents without
     words (null and blank texts) are linked with nothing and stay.
     """
+    give_back(spark)
     return minhash.one_of_each(docs, words=5, percent=80)
 
 
@@ -48,6 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     An empty benchmark drops nothing.
     """
+    give_back(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), words=5, at_least=0.8)
 
 
@@ -56,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that agree in id and text are counted one by one. Sources without words (null and empty texts only) give nothing.
     """
+    give_back(spark)
     return shielded(docs, ("doc_id", "text", "source"), lambda rows: mixing.emit(mixing.mix(rows)))
 
 
@@ -64,6 +69,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are repeated in the files. A null or empty text is an end id alone.
     """
+    give_back(spark)
     return token_output.token_digest(docs)
 
 

@@ -128,6 +128,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, after which they return heap that they don't need to the system.
+
+    For an application of several steps, before one: JVMs keep the heap of the largest step so far, and Python workers need theirs beside it.
+    One task for each core reaches all executors where they are idle; one that is missed only keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    collect = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sets the session to hand Python workers no more than this many rows at a time, unless it asks for fewer.
 

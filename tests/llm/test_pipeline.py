@@ -82,6 +82,25 @@ def test_stages_keep_columns_and_run_on_nothing(spark, tmp_path):
     assert not left
 
 
+def test_stages_return_heap(spark, tmp_path, monkeypatch):
+    """Each stage has the executors' heap collected before its own work; here they share the driver's JVM."""
+    folder = str(tmp_path / "in")
+    corpus(folder, spark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    calls = []
+    give_back = corpus_pipeline.give_back
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda s: calls.append(-full()) or give_back(s) or calls.append(full()))
+    for _, stage in corpus_pipeline.STAGES:
+        calls.clear()
+        stage(spark, docs, folder)
+        assert len(calls) == 2 and sum(calls) > 0
+
+
 def test_queries_without_sql(spark, tmp_path):
     """The registered op2, op3, op4 and op6 against plain Python."""
     folder = str(tmp_path / "in")
