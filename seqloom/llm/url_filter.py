@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import checkpointed, hash_sample
 
+#: Of features that split equally well a tree takes the first: what labels say of names goes before lengths and counts.
 FEATURES = (
-    "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio",
-    "entropy", "n_params", "n_hyphens", "suffix_share", "suffix_odds", "domain_share", "domain_odds",
+    "suffix_odds", "domain_odds", "suffix_share", "domain_share", "url_length", "host_length", "path_length", "host_depth",
+    "path_depth", "digit_ratio", "host_digit_ratio", "entropy", "n_params", "n_hyphens",
 )
 
 
