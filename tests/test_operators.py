@@ -1,6 +1,7 @@
 """Golden cases on tiny inputs; each runs with one and with several partitions."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from seqloom import operators as O
 from seqloom.functions import codes
 from seqloom.functions import sequence as S
+from seqloom.operators import join
 from seqloom.schema import RECORD
 
 
@@ -250,3 +252,19 @@ def test_properties(spark):
     assert 2 * O.pair(df, other).count() + O.unpaired(df, other).count() == 80 + other.count()
     renamed = O.rename(df)
     assert renamed.select("id").distinct().count() == 80
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_concat_of_a_frequent_id_is_dealt_out(spark, monkeypatch, full):
+    """All pairs once and nothing else, and no partition with most of them."""
+    for name, value in (("CELL", 8), ("TASK_PAIRS", 64)):
+        monkeypatch.setattr(join, name, value, raising=False)
+    rows = lambda spec: spark.createDataFrame([(i, x, f"{x} d{i}", f"d{i}", "A" * (i % 5), "I" * (i % 5)) for i, x in enumerate(spec)], "ordinal long, id string, name string, descr string, seq string, qual string")
+    one, two = [*["hot"] * 40, *["left"] * 20, "both", None], [*["hot"] * 50, *["right"] * 20, "both", "both", None]
+    want = [(i, k) for i, x in enumerate(one) for k, y in enumerate(two) if x is not None and x == y]
+    if full:
+        want += [(i, None) for i, x in enumerate(one) if x in ("left", None)] + [(k, k) for k, y in enumerate(two) if y in ("right", None)]
+    got = O.concat(rows(one), rows(two), full=full).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r.ordinal, -1 if r.ordinal_b is None else r.ordinal_b) for r in got) == sorted((i, -1 if k is None else k) for i, k in want)
+    assert all(r.seq == "A" * (r.ordinal % 5 + r.ordinal_b % 5) and r.name == f"{r.id} d{r.ordinal}|d{r.ordinal_b}" for r in got if r.id in ("hot", "both"))
+    assert max(Counter(r.p for r in got).values()) < len(got) / 2
