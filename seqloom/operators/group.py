@@ -107,24 +107,34 @@ def faidx_index(df: DataFrame, *, full_head: bool = False, block: int = 4096) ->
     Offsets are byte counts of the records before, as prefix sums over blocks and within them. Lines of
     unequal length but for the last are an error.
     """
-    rows = df.withColumns({"__bytes": F.octet_length("raw") + 1, "__block": F.floor(F.col("ordinal") / block)})
-    blocks = rows.groupBy("__block").agg(F.sum("__bytes").alias("__sum"))
-    blocks = blocks.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum("__bytes").over(Window.partitionBy("__block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("__inside", inside).join(blocks, "__block")
     head = F.octet_length(F.substring_index("raw", "\n", 1)) + 1
     body = F.when(F.col("qual").isNull(), F.substring(F.col("raw"), F.length(F.substring_index("raw", "\n", 1)) + 2, F.length("raw"))).otherwise(F.col("seq"))
     lines = F.filter(F.split(F.regexp_replace(body, r"\n+\z", ""), "\n"), lambda x: x != "")
     widths = F.transform(lines, lambda x: F.length(F.regexp_replace(x, r"\r", "")))
     first = F.coalesce(F.try_element_at(widths, F.lit(1)), F.lit(0))
     bad = F.exists(F.slice(widths, 1, F.greatest(F.size(widths) - 1, F.lit(0))), lambda w: w != first) | (F.coalesce(F.try_element_at(widths, F.lit(-1)), F.lit(0)) > first)
-    breaks = F.when(F.col("raw").contains("\r\n"), 2).otherwise(1)
-    offset = F.col("__before") + F.col("__inside") + head
-    return rows.select(
+    # what is dealt to blocks has no text but the name
+    rows = df.select(
         F.col("name" if full_head else "id").alias("name"),
         F.length("seq").cast("long").alias("length"),
-        offset.cast("long").alias("offset"),
         F.when(bad, F.raise_error(F.concat(F.lit("lines differ in length before the last one of record "), F.col("id"))).cast("long")).otherwise(first.cast("long")).alias("line_bases"),
-        F.when(first > 0, first + breaks).otherwise(0).cast("long").alias("line_width"),
-        F.when(F.col("qual").isNotNull(), offset + F.length("seq") + breaks + 1 + breaks).cast("long").alias("qual_offset"),
+        F.when(F.col("raw").contains("\r\n"), 2).otherwise(1).alias("__breaks"),
+        F.col("qual").isNotNull().alias("__fastq"),
+        head.alias("__head"),
+        (F.octet_length("raw") + 1).alias("__bytes"),
+        "ordinal",
+        F.floor(F.col("ordinal") / block).alias("__block"),
+    )
+    blocks = rows.groupBy("__block").agg(F.sum("__bytes").alias("__sum"))
+    blocks = blocks.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__bytes").over(Window.partitionBy("__block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__inside", inside).join(blocks, "__block")
+    offset, breaks = F.col("__before") + F.col("__inside") + F.col("__head"), F.col("__breaks")
+    return rows.select(
+        "name",
+        "length",
+        offset.cast("long").alias("offset"),
+        "line_bases",
+        F.when(F.col("line_bases") > 0, F.col("line_bases") + breaks).otherwise(0).cast("long").alias("line_width"),
+        F.when(F.col("__fastq"), offset + F.col("length") + breaks + 1 + breaks).cast("long").alias("qual_offset"),
     )

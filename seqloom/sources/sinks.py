@@ -51,4 +51,5 @@ def write_pairs(pairs: DataFrame, unpaired: DataFrame | None, folder: str, width
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    index.coalesce(1).sort("offset").write.mode("overwrite").csv(path, sep="\t")
+    """Part files whose names follow the offsets."""
+    index.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").csv(path, sep="\t")

@@ -105,3 +105,19 @@ def test_pairs_and_locations(spark, tmp_path):
     assert [r.v for r in found.select(sinks.bed_text().alias("v")).collect()] == ["r\t0\t1\tp\t0\t+"]
     assert found.select(sinks.gtf_text().alias("v")).first().v.startswith("r\tseqloom\tlocation\t1\t1\t0\t+\t.\tgene_id")
     assert found.where(F.col("matched") == "A").count() == 1
+
+
+def test_index_is_dealt_out(spark, tmp_path):
+    """No task writes the whole index, and the part files follow one another."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.col("id").alias("ordinal"), F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("r"), "id").alias("name"), F.repeat(F.lit("A"), F.col("id").cast("int") % 50).alias("seq"))
+        index = O.faidx_index(df.withColumn("qual", F.col("seq")).withColumn("raw", sinks.fastx_text()), block=256)
+        sinks.write_index(index, str(tmp_path / "fai"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    parts = [f.read_text().splitlines() for f in sorted((tmp_path / "fai").glob("part-*"))]
+    assert sum(map(len, parts)) == 4000 and max(map(len, parts)) < 3000
+    offsets = [int(line.split("\t")[2]) for part in parts for line in part]
+    assert offsets == sorted(offsets)
