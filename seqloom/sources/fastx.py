@@ -64,7 +64,14 @@ def read_fasta(spark: SparkSession, path: str | list[str], id_regexp: str | None
     body = F.when(F.instr("value", "\n") > 0, F.regexp_replace("value", r"\A[^\n]*\n", "")).otherwise(F.lit(""))
     seq = F.regexp_replace(body, r"[\r\n]", "")
     out = _records(rows, name, seq, F.lit(None).cast("string"), id_regexp, ncbi, F.concat(F.lit(">"), F.col("value")) if with_raw else None)
-    return out.repartitionByRange(min_partitions, "ordinal") if min_partitions else out
+    return _at_least(out, min_partitions)
+
+
+def _at_least(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """Not fewer partitions than asked for, nor than a shuffle of the session has, so that they don't grow with the input."""
+    if not partitions:
+        return rows
+    return rows.repartitionByRange(max(partitions, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "ordinal")
 
 
 def _checked(name: Column, seq: Column, qual: Column) -> Column:
@@ -91,7 +98,7 @@ def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None
     qual = _checked(name, seq, F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")))
     out = _records(rows, name, seq, qual, id_regexp, ncbi, F.concat(F.lit("@"), F.col("value")) if with_raw else None)
     out = _dense(out, torn_before)
-    return out.repartitionByRange(min_partitions, "ordinal") if min_partitions else out
+    return _at_least(out, min_partitions)
 
 
 def _dense(rows: DataFrame, torn: DataFrame) -> DataFrame:

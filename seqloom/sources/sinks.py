@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import wrap
@@ -24,16 +26,47 @@ def gtf_text(source: str = "seqloom") -> Column:
 
 
 def write_text(df: DataFrame, value: Column, path: str, order: str | None = "ordinal", merge: bool = False, partitions: int | None = None) -> None:
-    """Lines in order over part files, or in one file with `merge`."""
+    """Lines in order over part files, or in one file with `merge`: tasks write parts all the same, whose bytes the driver joins as a stream."""
     rows = df.select(*([F.col(order).alias("__order")] if order else []), value.alias("value"))
-    if merge:
-        rows = rows.orderBy("__order").coalesce(1) if order else rows.coalesce(1)
-    elif order:
-        rows = rows.repartitionByRange(partitions, "__order") if partitions else rows.repartitionByRange("__order")
+    if order:
+        rows = rows.repartitionByRange(partitions, "__order") if partitions and not merge else rows.repartitionByRange("__order")
         rows = rows.sortWithinPartitions("__order")
-    elif partitions:
+    elif partitions and not merge:
         rows = rows.repartition(partitions)
-    rows.select("value").write.mode("overwrite").text(path)
+    if not merge:
+        rows.select("value").write.mode("overwrite").text(path)
+        return
+    parts = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    try:
+        rows.select("value").write.text(parts)
+        _join_parts(df.sparkSession, parts, path)
+    finally:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parts)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _join_parts(spark: SparkSession, parts: str, path: str) -> None:
+    """One file with the bytes of all parts in the folder `path`; a part goes when it is copied, so bytes are on disk about once."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    place = lambda folder, name: hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    target = hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    names = sorted((n for f in fs.listStatus(hadoop.fs.Path(parts)) if (n := f.getPath().getName()).startswith("part-")), key=lambda n: (len(n), n))
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    out = fs.create(place(path, "_joined"), True)
+    try:
+        for name in names:
+            part = fs.open(place(parts, name))
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+            fs.delete(place(parts, name), False)
+    finally:
+        out.close()
+    fs.rename(place(path, "_joined"), place(path, names[0] if names else "part-00000.txt"))
+    fs.create(place(path, "_SUCCESS"), True).close()
 
 
 def write_fastx(df: DataFrame, path: str, width: int = 60, merge: bool = False, partitions: int | None = None) -> None:

@@ -1,6 +1,7 @@
 """Files: layouts, round trips, small tables."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,32 @@ def test_index_is_dealt_out(spark, tmp_path):
     assert sum(map(len, parts)) == 4000 and max(map(len, parts)) < 3000
     offsets = [int(line.split("\t")[2]) for part in parts for line in part]
     assert offsets == sorted(offsets)
+
+
+@pytest.mark.parametrize("order", ["ordinal", None])
+def test_merged_file_has_no_task_with_all_lines(spark, tmp_path, order):
+    """One file in order, of lines that several tasks wrote; what was there before goes."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    marked = F.concat(F.lit("r"), "ordinal")
+    out = tmp_path / "out"
+    try:
+        df = spark.range(4000, numPartitions=5).select(F.col("id").alias("ordinal"))
+        for rows in (df.limit(3), df):
+            sinks.write_text(rows, marked, str(out), order, merge=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    files = list(out.glob("part-*"))
+    assert len(files) == 1 and [f.name for f in tmp_path.iterdir()] == ["out"]
+    lines = files[0].read_text().splitlines()
+    assert lines == [f"r{i}" for i in range(4000)]
+
+
+def test_merge_uses_several_tasks(spark, tmp_path, monkeypatch):
+    """The joined parts are more than one."""
+    seen, joined = [], sinks._join_parts
+    monkeypatch.setattr(sinks, "_join_parts", lambda s, parts, path: (seen.extend(p.name for p in Path(parts).glob("part-*")), joined(s, parts, path)))
+    df = spark.range(4000, numPartitions=5).select(F.col("id").alias("ordinal"))
+    sinks.write_text(df, F.col("ordinal").cast("string"), str(tmp_path / "out"), None, merge=True)
+    assert len(seen) == 5
+    assert spark.read.text(str(tmp_path / "out")).count() == 4000
