@@ -82,8 +82,8 @@ def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None
     """Records of FASTQ files. A quality of another length than its sequence is an error.
 
     Four-line records: files are split at line ends followed by @. A quality that starts with @ is torn off its record by that;
-    its part has one line only and is put back by its place. With multi_line a record may span lines; such files
-    cannot be split at any byte, so each is read by one task.
+    its part has one line only and is put back by its place. With multi_line a record may span lines; the lines
+    of such a file are parsed by one task, as a stream.
     """
     if multi_line:
         return _multi_line(spark, _paths(path), id_regexp, ncbi)
@@ -113,29 +113,60 @@ def _dense(rows: DataFrame, torn: DataFrame) -> DataFrame:
     return rows.join(blocks, "__block").withColumn("ordinal", F.col("__before") + F.col("__row")).drop("__block", "__row", "__before")
 
 
+#: Rows and letters with qualities that the parser of records over several lines holds before it passes them on.
+_ROWS, _LETTERS = 1000, 4 << 20
+
+
+def _parse_lines(lines: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
+    """Records from (source, input, line), the lines of a file being together and in order; holds one record."""
+    file, row, name, seq, qual, size, got, at = None, 0, "", [], [], 0, 0, "header"
+    for source, i, line in lines:
+        if (i, source) != file:
+            if at != "header":
+                yield (file[1], file[0], row, name, "".join(seq), "".join(qual))
+            file, row, at = (i, source), 0, "header"
+        line = line.replace("\r", "")
+        if at == "header":
+            if line:
+                name, seq, qual, size, got, at = line[1:], [], [], 0, 0, "sequence"
+            continue
+        if at == "sequence" and not line.startswith("+"):
+            seq.append(line)
+            size += len(line)
+            continue
+        if at == "sequence":
+            at = "quality"
+        else:
+            qual.append(line)
+            got += len(line)
+        if got >= size:
+            yield (source, i, row, name, "".join(seq), "".join(qual))
+            row, at = row + 1, "header"
+    if at != "header":
+        yield (file[1], file[0], row, name, "".join(seq), "".join(qual))
+
+
 def _multi_line(spark: SparkSession, paths: list[str], id_regexp: str | None, ncbi: bool) -> DataFrame:
+    """Files are read in splits; the lines of a file go to one task in order, as a stream of which Python holds a batch and a record."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, at, text in zip(batch["source"], batch["__input"], batch["value"]):
-                rows, lines, i = [], text.replace("\r", "").split("\n"), 0
-                while i < len(lines):
-                    if not lines[i]:
-                        i += 1
-                        continue
-                    name, seq, qual, i = lines[i][1:], "", "", i + 1
-                    while i < len(lines) and not lines[i].startswith("+"):
-                        seq, i = seq + lines[i], i + 1
-                    i += 1
-                    while i < len(lines) and len(qual) < len(seq):
-                        qual, i = qual + lines[i], i + 1
-                    rows.append((source, at, len(rows), name, seq, qual))
-                yield pd.DataFrame(rows, columns=["source", "__input", "__row", "__n", "__s", "__q"])
+        frame = lambda rows: pd.DataFrame(rows, columns=["source", "__input", "__row", "__n", "__s", "__q"])
+        rows, letters = [], 0
+        for row in _parse_lines(line for batch in batches for line in zip(batch["source"], batch["__input"], batch["value"])):
+            rows.append(row)
+            letters += len(row[4]) + len(row[5])
+            if len(rows) >= _ROWS or letters >= _LETTERS:
+                yield frame(rows)
+                rows, letters = [], 0
+        if rows:
+            yield frame(rows)
 
     read = None
     for i, p in enumerate(paths):
-        one = spark.read.text(p, wholetext=True).select("value", F.lit(i).alias("__input"), F.col("_metadata.file_path").alias("source"))
+        one = spark.read.option("lineSep", "\n").text(p).select("value", F.lit(i).alias("__input"), F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__block"))
         read = one if read is None else read.unionAll(one)
-    rows = read.mapInPandas(parse, "source string, __input int, __row long, __n string, __s string, __q string")
+    lines = read.withColumn("__at", F.monotonically_increasing_id()).repartition("__input", "source").sortWithinPartitions("__input", "source", "__block", "__at")
+    rows = lines.select("source", "__input", "value").mapInPandas(parse, "source string, __input int, __row long, __n string, __s string, __q string")
     files = rows.groupBy("__input", "source").agg(F.count("*").alias("__c"))
     before = Window.orderBy("__input", "source").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("__input", "source", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))

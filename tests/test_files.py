@@ -151,3 +151,41 @@ def test_merge_uses_several_tasks(spark, tmp_path, monkeypatch):
     sinks.write_text(df, F.col("ordinal").cast("string"), str(tmp_path / "out"), None, merge=True)
     assert len(seen) == 5
     assert spark.read.text(str(tmp_path / "out")).count() == 4000
+
+
+def test_records_over_lines_are_a_stream():
+    """A record comes before the lines behind it are taken; ends and blanks as ever."""
+    taken = []
+
+    def lines(*texts):
+        for n, text in enumerate(texts):
+            for line in text.split("\n"):
+                taken.append(line)
+                yield f"f{n}", 0, line
+
+    text = "\n@a x\r\nAC\nGT\n+a\n@I\n+I\n\n@b\nA\n+\n@\n@none\n\n+\n@cut\nAC\n+\nI"
+    stream = fastx._parse_lines(lines(text, "@c\nAC", "@d\nG\n+\nI\n"))
+    assert next(stream) == ("f0", 0, 0, "a x", "ACGT", "@I+I") and len(taken) == 7
+    assert list(stream) == [("f0", 0, 1, "b", "A", "@"), ("f0", 0, 2, "none", "", ""), ("f0", 0, 3, "cut", "AC", "I"), ("f1", 0, 0, "c", "AC", ""), ("f2", 0, 0, "d", "G", "I")]
+
+
+@pytest.mark.parametrize("split", [50, 1 << 20])
+def test_records_over_lines_in_splits(spark, tmp_path, split):
+    """A file's records are the same however it is split; ordinals go on from file to file."""
+    draw = random.Random(split)
+    want, paths = [], []
+    for x in "zb":
+        text = ""
+        for _ in range(40):
+            seq = "".join(draw.choice("ACGT") for _ in range(draw.randrange(1, 40)))
+            qual = "".join(draw.choice("@+I5") for _ in seq)
+            fold = lambda s: "\n".join(s[k : k + 9] for k in range(0, len(s), 9))
+            text += f"@r{len(want)} d\n{fold(seq)}\n+\n{fold(qual)}\n"
+            want.append((len(want), f"r{len(want)}", seq, qual))
+        paths.append(put(tmp_path / f"{x}.fq", text))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert rows(fastx.read_fastq(spark, paths, multi_line=True), "ordinal", "id", "seq", "qual") == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
